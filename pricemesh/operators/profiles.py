@@ -40,7 +40,9 @@ def members(listings: DataFrame) -> DataFrame:
         .withColumn("image_hash", F.coalesce("image_hash", F.lit("")))
     )
     signed = F.sha2(F.concat_ws("\u0001", "text_tokens", "title_tokens", "attribute_text", "image_hash"), 256)
-    return staged.withColumn("signature", signed)
+    # Never null, and said so: otherwise a join on it would push a null test,
+    # with the whole text chain written into it, below every column above.
+    return staged.withColumn("signature", F.coalesce(signed, F.lit("")))
 
 
 def _family(name: Column) -> Column:
