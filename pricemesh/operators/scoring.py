@@ -97,7 +97,10 @@ def reasons(first: str = "a", second: str = "b") -> Column:
         .when(text >= 0.45, _reason("Partially similar title", "warn"))
         .otherwise(_reason("Titles differ", "warn"))
     )
-    return F.concat(F.filter(of_attributes, lambda r: r.isNotNull()), F.array(of_image, of_text))
+    listed = "array<struct<label:string,status:string>>"
+    return F.concat(
+        F.filter(of_attributes, lambda r: r.isNotNull()).cast(listed), F.array(of_image, of_text).cast(listed)
+    )
 
 
 def classify(score: Column, exact: float = 0.90, similar: float = 0.70) -> Column:
