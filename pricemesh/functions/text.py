@@ -15,6 +15,15 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def digest(c: Column) -> Column:
+    """Join key standing for a long text.
+
+    Declared never null: for a nullable key a join adds a null test, which the
+    optimizer writes out in full, text rules and all, below every column.
+    """
+    return F.coalesce(F.sha2(c, 256), F.lit(""))
+
+
 def lookup(c: Column, table: dict[str, str], default: Column | None = None) -> Column:
     """Literal map lookup; values outside the table fall back to ``default``."""
     entries = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])

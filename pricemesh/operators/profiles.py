@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pricemesh import vocab
 from pricemesh.config import MatchConfig
 from pricemesh.functions.attributes import with_attributes
-from pricemesh.functions.text import product_text, tokens
+from pricemesh.functions.text import digest, product_text, tokens
 from pricemesh.operators.embedding import gram_buckets, word_buckets
 from pricemesh.operators.idf import corpus_idf, unseen_idf
 
@@ -39,10 +39,8 @@ def members(listings: DataFrame) -> DataFrame:
         )
         .withColumn("image_hash", F.coalesce("image_hash", F.lit("")))
     )
-    signed = F.sha2(F.concat_ws("\u0001", "text_tokens", "title_tokens", "attribute_text", "image_hash"), 256)
-    # Never null, and said so: otherwise a join on it would push a null test,
-    # with the whole text chain written into it, below every column above.
-    return staged.withColumn("signature", F.coalesce(signed, F.lit("")))
+    parts = F.concat_ws("\u0001", "text_tokens", "title_tokens", "attribute_text", "image_hash")
+    return staged.withColumn("signature", digest(parts))
 
 
 def _family(name: Column) -> Column:

@@ -14,8 +14,7 @@ outcome:
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +24,10 @@ from pricemesh.functions.identity import (
 )
 from pricemesh.functions.text import clean_rule_title
 from pricemesh.operators import rulematch
+from pricemesh.session import cut_lineage
 
 _BLOCK = ["query_id", "model", "condition", "accessory"]
-_ROW = (
-    "query_id string, position double, listing_id string, price double, specificity int, brand string,"
-    " storage string, ram string, colour string, quantity string, family array<string>"
-)
+_FACTS = ["brand", "storage", "ram", "colour", "quantity"]
 
 
 def identified(raws: DataFrame) -> DataFrame:
@@ -58,67 +55,75 @@ def _price_bands(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
     ).drop("_gap")
 
 
-def _fold(rows: pd.DataFrame, cfg: RuleConfig) -> pd.DataFrame:
+def _fits(x: dict, y: dict, no_model: bool, cfg: RuleConfig) -> bool:
+    """The rule comparison of two rows that already share model, condition and accessory flag."""
+    for fact in _FACTS:
+        if x[fact] and y[fact] and x[fact] != y[fact]:
+            return False
+    silent = not any(row[k] for row in (x, y) for k in ("storage", "colour", "quantity"))
+    limit = cfg.vague_price_ratio if silent else cfg.price_ratio
+    low, high = sorted((x["price"], y["price"]))
+    if high / max(1.0, low) > limit:
+        return False
+    both = len(x["family"] & y["family"])
+    if no_model:
+        size = len(x["family"]) + len(y["family"])
+        return both > 0 and 2 * both / size >= cfg.family_dice
+    return bool(both) or not x["family"] or not y["family"]
+
+
+def _fold(block: pa.Table, cfg: RuleConfig) -> pa.Table:
     """Assign each row, in order, to the first group all of whose members it fits."""
-    rows = rows.sort_values(["specificity", "position", "listing_id"], ascending=[False, True, True], ignore_index=True)
-    n = len(rows)
-    price = rows["price"].to_numpy(float)
-    no_model = len(rows["model"].iloc[0]) == 0
-    facts = ["brand", "storage", "ram", "colour", "quantity"]
-    # 0 means not stated; two stated values must be equal.
-    codes = np.stack([pd.factorize(rows[f])[0] + 1 for f in facts], axis=1)
-    silent = (codes[:, [1, 3, 4]] == 0).all(1)
-    families = [frozenset(f) for f in rows["family"]]
-    specific = rows["specificity"].to_numpy()
-    group = np.full(n, -1)
-    lowest: list[float] = []
-    for r in range(n):
-        clash = ((codes[:r] != codes[r]) & (codes[:r] > 0) & (codes[r] > 0)).any(1)
-        ratio = np.maximum(price[:r], price[r]) / np.maximum(1.0, np.minimum(price[:r], price[r]))
-        limit = np.where(silent[:r] & silent[r], cfg.vague_price_ratio, cfg.price_ratio)
-        fits = ~clash & (ratio <= limit)
-        mine = families[r]
-        for i in np.nonzero(fits)[0]:
-            both = len(mine & families[i])
-            if no_model:
-                size = len(mine) + len(families[i])
-                fits[i] = bool(mine) and bool(families[i]) and 2 * both / size >= cfg.family_dice
-            elif mine and families[i] and not both:
-                fits[i] = False
-        open_groups = np.ones(len(lowest), dtype=bool)
-        open_groups[group[:r][~fits]] = False
-        options = np.nonzero(open_groups)[0]
-        if len(options) > 1 and specific[r] == 0:
-            near = [g for g in options if abs(price[r] - lowest[g]) / max(1.0, price[r]) <= cfg.near_price]
+    rows = block.to_pylist()
+    rows.sort(key=lambda r: (-r["specificity"], r["position"], r["listing_id"]))
+    no_model = not rows[0]["model"]
+    groups: list[list[dict]] = []
+    for row in rows:
+        row["family"] = frozenset(row["family"])
+        options = [g for g in groups if all(_fits(m, row, no_model, cfg) for m in g)]
+        if len(options) > 1 and row["specificity"] == 0:
+            near = [
+                g for g in options
+                if abs(row["price"] - min(m["price"] for m in g)) / max(1.0, row["price"]) <= cfg.near_price
+            ]
             options = near if len(near) == 1 else []
-        if len(options):
-            group[r] = options[0]
-            lowest[group[r]] = min(lowest[group[r]], price[r])
+        if options:
+            options[0].append(row)
         else:
-            group[r] = len(lowest)
-            lowest.append(price[r])
-    lead = rows["listing_id"].groupby(group).transform("first")
-    return pd.DataFrame({"query_id": rows["query_id"], "listing_id": rows["listing_id"], "group_id": lead})
+            groups.append([row])
+    placed = [(m["query_id"], m["listing_id"], g[0]["listing_id"]) for g in groups for m in g]
+    names = ("query_id", "listing_id", "group_id")
+    return pa.table({n: [p[i] for p in placed] for i, n in enumerate(names)})
 
 
 def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Add ``group_id`` (the listing that opened the group) to identified rows."""
     c = F.col
+    rows = cut_lineage(rows)   # read three times below
     flat = rows.select(
         "query_id", "position", "listing_id", "price", "specificity",
-        *[c(f"identity.{k}").alias(k) for k in ("brand", "storage", "ram", "colour", "quantity")],
+        *[c(f"identity.{k}").alias(k) for k in _FACTS],
         c("identity.family").alias("family"), c("identity.model").alias("model"),
         c("identity.condition").alias("condition"), "accessory",
     )
-    facts = [*_BLOCK, "price", "specificity", "brand", "storage", "ram", "colour", "quantity", "family"]
+    facts = [*_BLOCK, "price", "specificity", *_FACTS, "family"]
     place = F.struct(c("position").cast("double").alias("position"), "listing_id")
     said = c("specificity") > 0
     # A listing without any stated fact stays a row of its own.
     keyed = flat.withColumn("own", F.when(~said, c("listing_id")).otherwise(""))
     leads = keyed.groupBy(*facts, "own").agg(F.min(place).alias("lead")).select(*facts, "own", "lead.*")
     banded = leads.join(_price_bands(leads, cfg), [*_BLOCK, "price"])
-    folded = banded.groupBy(*_BLOCK, "band").applyInPandas(
-        lambda pdf: _fold(pdf, cfg), "query_id string, listing_id string, group_id string"
+    # A row alone in its block is its own group; only the others need the pass.
+    sizes = banded.groupBy(*_BLOCK, "band").agg(F.count("*").alias("_n"))
+    sized = banded.join(sizes, [*_BLOCK, "band"])
+    folded = (
+        sized.filter("_n > 1")
+        .drop("_n")
+        .groupBy(*_BLOCK, "band")
+        .applyInArrow(lambda block: _fold(block, cfg), "query_id string, listing_id string, group_id string")
+        .unionByName(
+            sized.filter("_n = 1").select("query_id", "listing_id", F.col("listing_id").alias("group_id"))
+        )
     )
     led = leads.join(folded, ["query_id", "listing_id"])
     match = None
@@ -126,7 +131,7 @@ def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
         test = F.col(f"k.{k}").eqNullSafe(F.col(f"g.{k}"))
         match = test if match is None else match & test
     back = keyed.alias("k").join(led.alias("g"), match).select("k.query_id", "k.listing_id", "g.group_id")
-    return rows.join(back, ["query_id", "listing_id"])
+    return cut_lineage(rows.join(back, ["query_id", "listing_id"]))
 
 
 def one_offer_per_store(grouped: DataFrame) -> DataFrame:

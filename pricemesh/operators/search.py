@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from pricemesh import vocab
 from pricemesh.config import SearchConfig
-from pricemesh.functions.text import tokens
+from pricemesh.functions.text import digest, tokens
 from pricemesh.operators.idf import corpus_idf, micros
+from pricemesh.session import cut_lineage
 
 
 def distinct_texts(docs: DataFrame, text: str = "search_text") -> DataFrame:
     """(text_id, words, copies): one row per distinct search text."""
     words = F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
     return docs.groupBy(text).agg(F.count("*").alias("copies")).select(
-        F.sha2(text, 256).alias("text_id"), words.alias("words"), "copies"
+        digest(F.col(text)).alias("text_id"), words.alias("words"), "copies"
     )
 
 
@@ -88,6 +89,7 @@ def coverage(queries: DataFrame, texts: DataFrame, cfg: SearchConfig = SearchCon
     ``queries`` holds (query_id, query); ``texts`` comes from ``distinct_texts``.
     """
     c = F.col
+    texts = cut_lineage(texts)   # read for the weights, the vocabulary, the postings and the check
     idf = corpus_idf(texts, "words", "copies")
     asked = query_tokens(queries, idf, cfg)
     leading = asked.filter(~c("droppable"))
@@ -126,7 +128,7 @@ def coverage(queries: DataFrame, texts: DataFrame, cfg: SearchConfig = SearchCon
 
 def listing_relevance(hits: DataFrame, listings: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Listings found by each query, with their relevance."""
-    keyed = listings.withColumn("text_id", F.sha2("search_text", 256))
+    keyed = listings.withColumn("text_id", digest(F.col("search_text")))
     bonus = cfg.review_bonus * F.least(F.lit(1.0), F.col("review_count") / cfg.review_cap)
     return (
         hits.join(keyed, "text_id")

@@ -21,6 +21,7 @@ from pricemesh.operators import (
 from pricemesh.operators.filters import Filters
 from pricemesh.plans import catalog as batch
 from pricemesh.plans.search import search_groups
+from pricemesh.session import cut_lineage
 from pricemesh.sources import derived, feeds, tables
 from pricemesh.streaming import history as stream_history_job
 from pricemesh.streaming import upsert as stream_upsert_job
@@ -208,13 +209,14 @@ def search_coverage(spark: SparkSession, folder: str) -> DataFrame:
         F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query")
     )
     hits = search.coverage(queries, search.distinct_texts(docs))
-    keyed = docs.select("doc_id", F.sha2("search_text", 256).alias("text_id"))
+    keyed = docs.select("doc_id", text.digest(F.col("search_text")).alias("text_id"))
     return hits.join(keyed, "text_id").select("query_id", "doc_id", F.round("coverage", 6).alias("coverage"))
 
 
 def _search_listings(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_attributes(_listings(spark, folder))
-    return rows.withColumn("search_text", text.search_text(F.col("title"), F.col("attributes")))
+    found = rows.withColumn("search_text", text.search_text(F.col("title"), F.col("attributes")))
+    return cut_lineage(found)   # stands for the written listing table
 
 
 def _query_table(spark: SparkSession, folder: str) -> DataFrame:
