@@ -1,10 +1,11 @@
 """Keyword search for a whole table of queries at once.
 
-Texts that read the same are searched once.  A text can only reach the
-coverage floor through the rarer words of a query, so candidates are looked up
-over those words alone; a word found in a third of all texts is a join key only
-for queries in which it carries real weight.  Coverage itself is then worked
-out over all words of the query.
+Texts that read the same are searched once.  The commonest words of a query,
+up to half the coverage floor by weight, are kept out of the lookup: a text
+must earn the other half from the rarer words, which are matched by joins.  A
+word found in a third of all texts is then a join key only for queries in which
+it carries real weight.  The few texts that pass are checked for the common
+words too, so the result is whole.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ def distinct_texts(docs: DataFrame, text: str = "search_text") -> DataFrame:
 def query_tokens(queries: DataFrame, idf: DataFrame, cfg: SearchConfig) -> DataFrame:
     """One row per distinct (query, token): weight, repeats and whether it can be left out of the lookup.
 
-    ``droppable`` tokens, the common ones, do not reach the coverage floor even
-    all together.
+    ``droppable`` tokens are the commonest ones, together below half the floor.
     """
     said = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
     counted = said.groupBy("query_id", "token").agg(F.count("*").alias("times"))
@@ -45,7 +45,7 @@ def query_tokens(queries: DataFrame, idf: DataFrame, cfg: SearchConfig) -> DataF
     return (
         weighed.withColumn("total", F.sum(weight).over(of_query))
         .withColumn("_light", F.sum(weight).over(lightest))
-        .withColumn("droppable", F.col("_light") < F.col("total") * (cfg.min_coverage - 1e-6))
+        .withColumn("droppable", F.col("_light") < F.col("total") * (cfg.min_coverage / 2))
         .drop("_light")
     )
 
@@ -63,8 +63,8 @@ def _grams(word: Column, n: int) -> Column:
     )
 
 
-def query_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
-    """(token, word): vocabulary words that contain the token or are its synonym.
+def query_words(vocabulary: DataFrame, asked: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """(token, word, tenths, holds): words that contain the token or are its synonym, and their credit.
 
     Containment is an equi-join on the token's first one to three characters
     against the words' character n-grams, then a check.
@@ -73,14 +73,25 @@ def query_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     distinct = asked.select("token").distinct()
     keyed = distinct.withColumn("gram", F.substring("token", 1, 3))
     grams = F.array_distinct(F.concat(*[_grams(word, n) for n in (1, 2, 3)]))
+    starts = (F.length(token) >= cfg.prefix_min_chars) & word.startswith(token)
     inside = (
         vocabulary.select("word", F.explode(grams).alias("gram"))
         .join(keyed, "gram")
         .filter(F.contains(word, token))
-        .select("token", "word")
+        .select(
+            "token",
+            "word",
+            F.when(word == token, 10).when(starts, round(cfg.prefix_credit * 10)).otherwise(0).alias("tenths"),
+            F.lit(True).alias("holds"),
+        )
+    )
+    synonyms = distinct.select(
+        "token",
+        F.explode(_synonyms(token)).alias("word"),
+        F.lit(round(cfg.synonym_credit * 10)).alias("tenths"),
+        F.lit(False).alias("holds"),
     )
-    synonyms = distinct.select("token", F.explode(_synonyms(token)).alias("word"))
-    return inside.unionByName(synonyms).distinct()
+    return inside.unionByName(synonyms)
 
 
 def coverage(queries: DataFrame, texts: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
@@ -91,39 +102,55 @@ def coverage(queries: DataFrame, texts: DataFrame, cfg: SearchConfig = SearchCon
     c = F.col
     texts = cut_lineage(texts)   # read for the weights, the vocabulary, the postings and the check
     idf = corpus_idf(texts, "words", "copies")
-    asked = query_tokens(queries, idf, cfg)
+    asked = cut_lineage(query_tokens(queries, idf, cfg))
     leading = asked.filter(~c("droppable"))
     vocabulary = idf.select(c("token").alias("word"))
-    lookup = leading.select("query_id", "token").join(query_words(vocabulary, leading), "token").select("query_id", "word")
+    lookup = leading.join(query_words(vocabulary, leading, cfg), "token").select(
+        "query_id", "token", (c("times") * c("idf_micros")).alias("weight"), "word", "tenths", "holds"
+    )
     postings = texts.select("text_id", F.explode("words").alias("word"))
-    candidates = lookup.distinct().join(postings, "word").select("query_id", "text_id").distinct()
+    per_token = (
+        lookup.join(postings, "word")
+        .groupBy("query_id", "text_id", "token", "weight")
+        .agg(F.max("tenths").alias("tenths"), F.max("holds").alias("holds"))
+    )
+    earned = per_token.groupBy("query_id", "text_id").agg(
+        F.sum(c("tenths") * c("weight")).alias("earned"), F.max("holds").alias("holds")
+    )
 
+    # A query has as many entries here as it has words.
+    light = F.when(
+        c("droppable"), F.struct("token", (c("times") * c("idf_micros")).alias("weight"), _synonyms(c("token")).alias("synonyms"))
+    )
     whole = asked.groupBy("query_id").agg(
-        F.collect_list(F.struct("token", "times", "idf_micros", _synonyms(c("token")).alias("synonyms"))).alias("asked"),
+        F.collect_list(light).alias("light"),
         F.max("total").alias("total"),
+        F.sum(F.when(c("droppable"), c("times") * c("idf_micros")).otherwise(0)).alias("light_total"),
     )
-    met = candidates.join(whole, "query_id").join(texts.select("text_id", "words"), "text_id")
+    floor = c("total") * 10 * cfg.min_coverage
+    possible = earned.join(whole, "query_id").filter(c("earned") + 10 * c("light_total") >= floor - 1)
+    met = possible.join(texts.select("text_id", "words"), "text_id")
 
     def credit(t: Column) -> Column:
         starts = F.exists(c("words"), lambda w: w.startswith(t["token"]))
         tenths = (
             F.when(F.array_contains(c("words"), t["token"]), 10)
-            .when(F.arrays_overlap(c("words"), t["synonyms"]), int(cfg.synonym_credit * 10))
-            .when((F.length(t["token"]) >= cfg.prefix_min_chars) & starts, int(cfg.prefix_credit * 10))
+            .when(F.arrays_overlap(c("words"), t["synonyms"]), round(cfg.synonym_credit * 10))
+            .when((F.length(t["token"]) >= cfg.prefix_min_chars) & starts, round(cfg.prefix_credit * 10))
             .otherwise(0)
         )
-        return tenths * t["times"] * t["idf_micros"]
+        return tenths * t["weight"]
 
-    got = F.aggregate(F.transform("asked", credit), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    more = F.aggregate(F.transform("light", credit), F.lit(0).cast("bigint"), lambda s, x: s + x)
     # A synonym alone never makes a text a candidate: some token must occur in it.
-    found = F.exists("asked", lambda t: F.exists(c("words"), lambda w: F.contains(w, t["token"])))
+    found = c("holds") | F.exists("light", lambda t: F.exists(c("words"), lambda w: F.contains(w, t["token"])))
     scored = met.select(
         "query_id",
         "text_id",
-        (got.cast("double") / (c("total") * 10)).alias("coverage"),
+        ((c("earned") + more).cast("double") / (c("total") * 10)).alias("coverage"),
         found.alias("found"),
     )
-    return scored.filter(c("found") & (c("coverage") >= cfg.min_coverage)).drop("found")
+    return scored.filter((c("coverage") >= cfg.min_coverage) & c("found")).drop("found")
 
 
 def listing_relevance(hits: DataFrame, listings: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:

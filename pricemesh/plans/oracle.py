@@ -270,5 +270,194 @@ FROM v a JOIN v b ON b.position = a.position + 1""",
     }
 
 
+
+# --- scored matching -------------------------------------------------------------------
+
+
+def _pairs() -> str:
+    title = "p_name || ' ' || p_brand || ' size ' || p_size"
+    text = _normalize("title || ' ' || descr")
+    colour = _first_option("text", vocab.COLOURS)
+    product = "concat_ws(' ', title, lower(brand), lower(category), colour, size)"
+    return f"""
+cat AS (SELECT p_partkey AS pos, {title} AS title, p_type || ' ' || p_name AS descr, p_brand AS brand, p_type AS category,
+               CAST(p_size AS VARCHAR) AS size, substring(md5(p_name), 1, 16) AS h FROM part),
+col AS (SELECT *, {_case(colour, vocab.COLOUR_ALIASES, colour)} AS colour FROM (SELECT *, {text} AS text FROM cat)),
+tok AS (SELECT *, {_tokens(_normalize(product))} AS toks, list_sort(list_distinct({_tokens(_normalize('title'))})) AS names FROM col),
+prof AS (SELECT toks, names, lower(brand) AS brand, lower(category) AS category, colour, size, h, min(pos) AS pid, count(*) AS copies
+         FROM tok GROUP BY ALL),
+member AS (SELECT t.*, p.pid FROM tok t JOIN prof p ON t.toks = p.toks AND t.names = p.names AND lower(t.brand) = p.brand
+           AND lower(t.category) = p.category AND t.colour IS NOT DISTINCT FROM p.colour AND t.size = p.size AND t.h = p.h),
+idf AS (SELECT w, CAST(round((1 + ln(n / count(*))) * 1000000) AS BIGINT) AS micros
+        FROM (SELECT unnest(names) AS w FROM tok), (SELECT CAST(count(*) AS DOUBLE) AS n FROM tok) GROUP BY w, n),
+pw AS (SELECT pid, p.w, coalesce(micros, CASE WHEN regexp_matches(p.w, '[0-9]') THEN 3000000 ELSE 2000000 END) AS micros
+       FROM (SELECT pid, unnest(list_distinct(toks)) AS w FROM prof) p LEFT JOIN idf USING (w)),
+tot AS (SELECT pid, sum(micros) AS total FROM pw GROUP BY pid),
+pt AS (SELECT pid, unnest(toks) AS t FROM prof),
+pf AS (SELECT pid, 'w:' || t AS f, 2 AS x FROM pt UNION ALL
+       SELECT pid, 'g:' || substring('#' || t || '#', i, 3), 1 FROM (SELECT pid, t, unnest(range(1, length(t) + 1)) AS i FROM pt)),
+pb AS (SELECT pid, CAST('0x' || substring(md5(f), 1, 8) AS BIGINT) % 512 AS b, sum(x) AS x FROM pf GROUP BY 1, 2),
+nrm AS (SELECT pid, sqrt(CAST(sum(x * x) AS DOUBLE)) AS n FROM pb GROUP BY pid)"""
+
+
+_SCORED = r"""
+shared AS (SELECT a, b, sum(x.micros) AS shared FROM asked JOIN pw x ON x.pid = a JOIN pw y ON y.pid = b AND y.w = x.w GROUP BY 1, 2),
+dots AS (SELECT a, b, sum(x.x * y.x) AS dot FROM asked JOIN pb x ON x.pid = a JOIN pb y ON y.pid = b AND y.b = x.b GROUP BY 1, 2),
+sc AS (
+  SELECT k.a, k.b, pa.copies AS ca, pb2.copies AS cb, pa.brand AS ba, pb2.brand AS bb, pa.category AS ga, pb2.category AS gb,
+         pa.colour AS la, pb2.colour AS lb, pa.size AS sa, pb2.size AS sb,
+         round(0.5 * (2.0 * coalesce(shared, 0) / (ta.total + tb.total)) + 0.5 * least(1.0, coalesce(dot, 0) / (na.n * nb.n)), 4) AS text_score,
+         round(1 - (bit_count(xor(CAST('0x' || pa.h[1:8] AS BIGINT), CAST('0x' || pb2.h[1:8] AS BIGINT)))
+                  + bit_count(xor(CAST('0x' || pa.h[9:16] AS BIGINT), CAST('0x' || pb2.h[9:16] AS BIGINT)))) / 64.0, 4) AS image_score
+  FROM asked k JOIN prof pa ON pa.pid = k.a JOIN prof pb2 ON pb2.pid = k.b
+  LEFT JOIN shared USING (a, b) LEFT JOIN dots USING (a, b)
+  JOIN tot ta ON ta.pid = k.a JOIN tot tb ON tb.pid = k.b JOIN nrm na ON na.pid = k.a JOIN nrm nb ON nb.pid = k.b),
+att0 AS (
+  SELECT *, round((CASE WHEN ba = bb THEN 3.0 ELSE 0 END + CASE WHEN ga = gb THEN 2.0 ELSE 0 END + CASE WHEN la = lb THEN 2.0 ELSE 0 END
+                   + CASE WHEN sa = sb THEN 2.0 ELSE 0 END)
+                  / (7.0 + CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN 2.0 ELSE 0 END), 4) AS attribute_score,
+         ba <> bb OR ga <> gb AS other, sa <> sb OR coalesce(la <> lb, false) AS variant FROM sc),
+rw AS (SELECT *, round(least(1.0, text_score * 0.4 + attribute_score * 0.25 + image_score * 0.35), 4) AS raw FROM att0),
+scored AS (
+  SELECT *, CASE WHEN other THEN 'DIFFERENT' WHEN raw >= 0.9 AND NOT variant THEN 'EXACT_MATCH' WHEN raw >= 0.7 THEN 'SIMILAR' ELSE 'DIFFERENT' END AS match_type,
+         round(CASE WHEN other THEN least(raw, 0.69) WHEN raw >= 0.7 AND variant THEN least(raw, 0.89) ELSE raw END, 4) AS combined_score,
+         CASE WHEN a = b THEN ca * (ca - 1) // 2 ELSE ca * cb END AS n_pairs,
+         concat_ws(';', CASE WHEN ba = bb THEN 'Same brand:ok' ELSE 'Brand differs (' || ba || ' vs ' || bb || '):warn' END,
+           CASE WHEN ga = gb THEN 'Same product category:ok' ELSE 'Product category differs (' || ga || ' vs ' || gb || '):warn' END,
+           CASE WHEN la = lb THEN 'Same colour:ok' WHEN la <> lb THEN 'Colour differs (' || la || ' vs ' || lb || '):warn' END,
+           CASE WHEN sa = sb THEN 'Same size:ok' ELSE 'Size differs (' || sa || ' vs ' || sb || '):warn' END,
+           CASE WHEN image_score >= 0.9 THEN 'Similar product imagery:ok' WHEN image_score >= 0.75 THEN 'Partially similar imagery:warn' ELSE 'Imagery differs:warn' END,
+           CASE WHEN text_score >= 0.7 THEN 'Similar product title:ok' WHEN text_score >= 0.45 THEN 'Partially similar title:warn' ELSE 'Titles differ:warn' END) AS reasons
+  FROM rw),
+kept AS (SELECT * FROM scored WHERE match_type <> 'DIFFERENT')"""
+
+# Pairs of another brand or category always end as different.
+_ALL_PAIRS = """
+asked AS (SELECT x.pid AS a, y.pid AS b FROM prof x JOIN prof y ON x.brand = y.brand AND x.category = y.category
+          AND (x.pid < y.pid OR (x.pid = y.pid AND x.copies > 1)))"""
+
+_CLASSES = """
+edge AS (SELECT a, b FROM kept WHERE match_type = 'EXACT_MATCH' UNION SELECT b, a FROM kept WHERE match_type = 'EXACT_MATCH'),
+reach AS (SELECT pid AS x, pid AS y FROM prof UNION SELECT r.x, e.b FROM reach r JOIN edge e ON e.a = r.y),
+class AS (SELECT x AS pid, min(y) AS cid FROM reach GROUP BY x),
+memc AS (SELECT m.*, cid FROM member m JOIN class USING (pid))"""
+
+
+def _matching() -> dict[str, str]:
+    pairs = f"WITH RECURSIVE {_pairs()}, {_ALL_PAIRS}, {_SCORED}"
+    columns = "text_score, attribute_score, image_score, combined_score, match_type"
+    clean = r"""trim(regexp_replace(regexp_replace(regexp_replace(title, '\s*\([^)]*\)\s*', ' ', 'g'), '(?i)\s*,\s*[^,]*\d+\s*(w|g|ml|l|ltrs)?\s*$', ''), '\s+', ' ', 'g'), ' -,')"""
+    central = """
+incl AS (SELECT a AS pid, combined_score * (cb - CASE WHEN a = b THEN 1 ELSE 0 END) AS pts, a, b FROM kept
+         UNION ALL SELECT b, combined_score * ca, a, b FROM kept WHERE a <> b),
+cen AS (SELECT i.pid, sum(CAST(pts AS DECIMAL(18, 4))) AS c FROM incl i JOIN class x ON x.pid = i.a JOIN class y ON y.pid = i.b WHERE x.cid = y.cid GROUP BY 1)"""
+    votes = """
+kv AS (SELECT cid, pos, unnest(['brand', 'category', 'colour', 'size']) AS k, unnest([lower(brand), lower(category), colour, size]) AS v FROM memc),
+vt AS (SELECT cid, k, v, count(*) AS n, min(pos) AS f FROM kv WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+bst AS (SELECT cid, k, first(v ORDER BY n DESC, f) AS v FROM vt GROUP BY 1, 2),
+att AS (SELECT cid, string_agg(k || '=' || v, ';' ORDER BY k) AS attributes, max(v) FILTER (WHERE k = 'brand') AS brand,
+               max(v) FILTER (WHERE k = 'category') AS category FROM bst GROUP BY 1)"""
+    return {
+        "pair_scores": f"{pairs} SELECT a AS profile_a, b AS profile_b, n_pairs, {columns} FROM kept",
+        "pair_reasons": f"{pairs} SELECT a AS profile_a, b AS profile_b, reasons FROM kept",
+        "requested_pairs": f"""WITH {_pairs()}, asked AS (SELECT x.pid AS a, y.pid AS b FROM prof x JOIN prof y ON y.pid = x.pid + 1), {_SCORED}
+SELECT a AS profile_a, b AS profile_b, {columns} FROM scored""",
+        "product_components": f"{pairs}, {_CLASSES} SELECT CAST(pos AS VARCHAR) AS listing_id, cid AS product_id FROM memc",
+        "canonical_products": f"""{pairs}, {_CLASSES}, {central}, {votes},
+shown AS (
+  SELECT cid, first(title ORDER BY coalesce(c, 0) DESC, pos) AS title, first(descr ORDER BY length(descr) DESC, pos) AS description,
+         first('/img/' || pos ORDER BY pos * 7 % 1000 DESC, pos) AS canonical_image, count(*) AS listing_count
+  FROM memc LEFT JOIN cen USING (pid) GROUP BY cid)
+SELECT cid AS product_id, {clean} AS canonical_title, brand, category, description, canonical_image, attributes, listing_count
+FROM shown JOIN att USING (cid)""",
+        "explanations": f"""{pairs}, {_CLASSES},
+inside AS (SELECT k.*, x.cid FROM kept k JOIN class x ON x.pid = k.a JOIN class y ON y.pid = k.b WHERE x.cid = y.cid AND match_type = 'EXACT_MATCH'),
+agg AS (
+  SELECT cid, CAST(sum(n_pairs) AS BIGINT) AS pair_count, CAST(round(sum(combined_score * n_pairs) / sum(n_pairs) * 100) AS BIGINT) AS confidence,
+         round(sum(text_score * n_pairs) / sum(n_pairs), 3) AS text, round(sum(attribute_score * n_pairs) / sum(n_pairs), 3) AS attribute,
+         round(sum(image_score * n_pairs) / sum(n_pairs), 3) AS image FROM inside GROUP BY cid),
+said AS (SELECT cid, a, b, n_pairs, unnest(string_split(reasons, ';')) AS r, unnest(range(len(string_split(reasons, ';')))) AS k FROM inside),
+cnt AS (SELECT cid, r, sum(n_pairs) AS n, min(ROW(a, b, k)) AS f FROM said GROUP BY 1, 2),
+good AS (SELECT cid, r, n, f FROM cnt JOIN agg USING (cid)
+         WHERE CASE WHEN r LIKE '%:ok' THEN n * 2 >= pair_count ELSE n * 3 >= greatest(3, pair_count) END)
+SELECT cid AS product_id, pair_count, confidence, text, attribute, image, string_agg(r, ';' ORDER BY r NOT LIKE '%:ok', n DESC, f) AS reasons
+FROM agg JOIN good USING (cid) GROUP BY ALL""",
+        "similar_products": f"""{pairs}, {_CLASSES},
+way AS (SELECT x.cid AS f, y.cid AS t, k.* FROM kept k JOIN class x ON x.pid = k.a JOIN class y ON y.pid = k.b WHERE x.cid <> y.cid AND match_type = 'SIMILAR'
+        UNION ALL SELECT y.cid, x.cid, k.* FROM kept k JOIN class x ON x.pid = k.a JOIN class y ON y.pid = k.b WHERE x.cid <> y.cid AND match_type = 'SIMILAR'),
+bst AS (SELECT f, t, first(combined_score ORDER BY combined_score DESC, a, b) AS s, first(reasons ORDER BY combined_score DESC, a, b) AS reasons FROM way GROUP BY 1, 2)
+SELECT f AS product_id, t AS other_product, CAST(round(s * 100) AS BIGINT) AS similarity, reasons,
+       array_to_string([regexp_replace(r, ':warn$', '') FOR r IN string_split(reasons, ';') IF r LIKE '%:warn'][1:3], ';') AS telling FROM bst""",
+        "batch_summary": f"""{pairs}, {_CLASSES}, g AS (SELECT cid, count(*) AS n FROM memc GROUP BY 1)
+SELECT 'marketplaces' AS measure, count(DISTINCT pos % 7) AS value FROM tok UNION ALL SELECT 'listings', count(*) FROM tok
+UNION ALL SELECT 'products', count(*) FROM g UNION ALL SELECT 'multi_listing_groups', count(*) FROM g WHERE n > 1
+UNION ALL SELECT 'matches', CAST(coalesce(sum(n_pairs), 0) AS BIGINT) FROM kept""",
+    }
+
+
+# --- search --------------------------------------------------------------------------------
+
+
+def _coverage(queries: str, texts: str) -> str:
+    """CTE ``hits``(query_id, text, coverage) from ``queries``(query_id, query) and ``texts``(text, copies)."""
+    synonyms = ", ".join(f"({_q(k)}, {_q(w)})" for k, ws in vocab.SEARCH_SYNONYMS.items() for w in ws)
+    return f"""
+syn(q, w) AS (VALUES {synonyms}),
+qt AS (SELECT query_id, q, count(*) AS times FROM (SELECT query_id, unnest({_tokens(_normalize('query'))}) AS q FROM {queries}) GROUP BY 1, 2),
+words AS (SELECT DISTINCT text, unnest(string_split(text, ' ')) AS w FROM {texts} WHERE text <> ''),
+sidf AS (SELECT w, CAST(round((1 + ln(n / sum(copies))) * 1000000) AS BIGINT) AS micros
+         FROM words JOIN {texts} USING (text), (SELECT CAST(sum(copies) AS DOUBLE) AS n FROM {texts}) GROUP BY w, n),
+qw AS (SELECT query_id, q, times, coalesce(micros, 2500000) AS micros FROM qt LEFT JOIN sidf ON w = q),
+vocab AS (SELECT DISTINCT w FROM words),
+near AS (
+  SELECT q, w, CASE WHEN w = q THEN 10 WHEN length(q) >= 4 AND starts_with(w, q) THEN 6 ELSE 0 END AS tenths, 1 AS holds
+  FROM (SELECT DISTINCT q FROM qt) JOIN vocab ON contains(w, q)
+  UNION ALL SELECT q, w, 7, 0 FROM syn),
+credit AS (SELECT text, q, max(tenths) AS tenths, max(holds) AS holds FROM near JOIN words USING (w) GROUP BY 1, 2),
+allq AS (SELECT query_id, sum(times * micros) AS total FROM qw GROUP BY 1),
+hits AS (SELECT query_id, text, CAST(sum(tenths * times * micros) AS DOUBLE) / (10 * any_value(total)) AS coverage
+         FROM qw JOIN credit USING (q) JOIN allq USING (query_id) GROUP BY 1, 2
+         HAVING max(holds) = 1 AND CAST(sum(tenths * times * micros) AS DOUBLE) / (10 * any_value(total)) >= 0.55)"""
+
+
+def _search() -> dict[str, str]:
+    title = _first_option("nt", vocab.COLOURS)
+    attrs = f"concat_ws(' ', title, lower(brand), lower(category), {_case(title, vocab.COLOUR_ALIASES, title)}, p_size)"
+    results = f"""WITH {OFFERS},
+norm AS (SELECT title, brand, category, p_size, {_normalize("title || ' '")} AS nt FROM (SELECT DISTINCT title, brand, category, p_size FROM l)),
+st AS (SELECT title, brand, category, p_size, array_to_string({_tokens(_normalize(attrs))}, ' ') AS text FROM norm),
+lt AS (SELECT l.*, st.text FROM l JOIN st USING (title, brand, category, p_size)),
+texts AS (SELECT text, count(*) AS copies FROM lt GROUP BY text),
+qs AS (SELECT p_name || ' ' || p_type AS query, p_name || ' ' || p_type AS query_id, max(p_size) AS z FROM part GROUP BY 1),
+{_coverage('qs', 'texts')},
+found AS (SELECT h.query_id, lt.*, round(coverage + 0.05 * least(1.0, review_count / 10000), 4) AS relevance FROM hits h JOIN lt USING (text)),
+pass AS (
+  SELECT f.*, f.query_id || chr(1) || f.product_id AS g FROM found f JOIN qs USING (query_id)
+  WHERE (z % 2 <> 0 OR price <= 50000) AND (z % 3 <> 0 OR delivery_days <= 4) AND rating >= 1.5 AND (z % 5 <> 0 OR availability <> 'out_of_stock')),
+best AS (SELECT query_id, product_id, round(max(relevance), 3) AS relevance FROM found GROUP BY 1, 2),
+{_rollup('pass', 'g', 'relevance DESC, rating DESC')},
+named AS (SELECT DISTINCT g, query_id, product_id FROM pass)"""
+    history = """
+ev AS (SELECT CASE WHEN user_id % 3 = 0 THEN upper(event_type[1]) || event_type[2:] ELSE event_type END || ' ' || (user_id % 4) AS query, ts FROM events),
+late AS (SELECT query, ts, lower(query) AS low FROM ev ORDER BY ts DESC, query LIMIT 50),
+plain AS (SELECT low, max(ts) AS shown FROM late WHERE query = low AND contains(low, 'i') GROUP BY low),
+hist AS (SELECT query AS text, row_number() OVER (ORDER BY ts DESC, query) AS place FROM late LEFT JOIN plain USING (low)
+         WHERE contains(low, 'i') AND (shown IS NULL OR ts > shown OR (query = low AND ts = shown)) ORDER BY place LIMIT 5),
+prod AS (SELECT p_name || ' ' || p_brand || ' size ' || p_size AS text, p_partkey FROM part),
+few AS (SELECT text, row_number() OVER (ORDER BY text, p_partkey) AS place FROM prod WHERE contains(lower(text), 'gear brand#1') ORDER BY place LIMIT 8)"""
+    return {
+        "search_coverage": f"""WITH docs AS (SELECT doc_id, array_to_string({_tokens(_normalize('text'))}, ' ') AS text FROM documents),
+texts AS (SELECT text, count(*) AS copies FROM docs GROUP BY text),
+qs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark),
+{_coverage('qs', 'texts')}
+SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM hits JOIN docs USING (text)""",
+        "search_results": f"""{results} SELECT query_id, product_id, relevance, {_ROLLUP} FROM groups JOIN named USING (g) JOIN best USING (query_id, product_id)""",
+        "search_totals": f"""{results} SELECT query_id, count(*) AS total_groups, CAST(sum(listing_count) AS BIGINT) AS total_listings FROM groups JOIN named USING (g) GROUP BY 1""",
+        "suggestions": f"""WITH {history},
+allof AS (SELECT text, 0 AS src, place FROM hist UNION ALL SELECT text, 1, place FROM few WHERE text NOT IN (SELECT text FROM hist))
+SELECT text, row_number() OVER (ORDER BY src, place) AS place FROM (SELECT * FROM allof ORDER BY src, place LIMIT 8)""",
+    }
+
+
 def registered() -> dict[str, str]:
-    return {**_offers(), **_text()}
+    return {**_offers(), **_text(), **_matching(), **_search()}
