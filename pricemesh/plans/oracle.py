@@ -296,13 +296,13 @@ tot AS (SELECT pid, sum(micros) AS total FROM pw GROUP BY pid),
 pt AS (SELECT pid, unnest(toks) AS t FROM prof),
 pf AS (SELECT pid, 'w:' || t AS f, 2 AS x FROM pt UNION ALL
        SELECT pid, 'g:' || substring('#' || t || '#', i, 3), 1 FROM (SELECT pid, t, unnest(range(1, length(t) + 1)) AS i FROM pt)),
-pb AS (SELECT pid, CAST('0x' || substring(md5(f), 1, 8) AS BIGINT) % 512 AS b, sum(x) AS x FROM pf GROUP BY 1, 2),
+pb AS (SELECT pid, CAST('0x' || substring(md5(f), 1, 8) AS BIGINT) % 512 AS bkt, sum(x) AS x FROM pf GROUP BY 1, 2),
 nrm AS (SELECT pid, sqrt(CAST(sum(x * x) AS DOUBLE)) AS n FROM pb GROUP BY pid)"""
 
 
 _SCORED = r"""
 shared AS (SELECT a, b, sum(x.micros) AS shared FROM asked JOIN pw x ON x.pid = a JOIN pw y ON y.pid = b AND y.w = x.w GROUP BY 1, 2),
-dots AS (SELECT a, b, sum(x.x * y.x) AS dot FROM asked JOIN pb x ON x.pid = a JOIN pb y ON y.pid = b AND y.b = x.b GROUP BY 1, 2),
+dots AS (SELECT a, b, sum(x.x * y.x) AS dot FROM asked JOIN pb x ON x.pid = a JOIN pb y ON y.pid = b AND y.bkt = x.bkt GROUP BY 1, 2),
 sc AS (
   SELECT k.a, k.b, pa.copies AS ca, pb2.copies AS cb, pa.brand AS ba, pb2.brand AS bb, pa.category AS ga, pb2.category AS gb,
          pa.colour AS la, pb2.colour AS lb, pa.size AS sa, pb2.size AS sb,
@@ -459,5 +459,250 @@ SELECT text, row_number() OVER (ORDER BY src, place) AS place FROM (SELECT * FRO
     }
 
 
+# --- stores, delivery, places, feeds ---------------------------------------------------------
+
+
+def _store(source: str, name: str = "stored") -> str:
+    """CTE ``stored``: ``source`` rows (column ``source``) with listed_slug, store_slug, store_name, store_colour."""
+    slug = {a: row[0] for a, row in vocab.STORE_ALIASES.items()}
+    listed = lambda c: f"CASE WHEN {c} NOT IN {_in(vocab.AMBIGUOUS_STORE_WORDS)} THEN {_case(c, slug)} END"
+    names = {row[0]: row[1] for row in vocab.STORES}
+    colours = {row[0]: row[2] for row in vocab.STORES}
+    return f"""
+{name}1 AS (SELECT *, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(trim(coalesce(source, '')), '(?s)\\s+[-–|]\\s+.*$', ''))),
+            '^(www|buy|shop|store|m)\\.', ''), '\\.(com|in|co\\.in|shop|store)$', '')) AS key_ FROM {source}),
+{name}2 AS (SELECT *, string_split(key_, ' ')[1] AS one_, array_to_string(string_split(key_, ' ')[1:2], ' ') AS two_ FROM {name}1),
+{name}3 AS (SELECT *, coalesce({_case('key_', slug)}, {listed('two_')}, {listed('one_')},
+            CASE WHEN regexp_matches(key_, '^(apple|samsung) .*(store|shop|india)$') THEN {_case('one_', slug)} END) AS listed_slug FROM {name}2),
+{name} AS (SELECT * EXCLUDE (key_, one_, two_),
+            coalesce(listed_slug, nullif(left(trim(regexp_replace(coalesce(nullif(key_, ''), 'store'), '[^a-z0-9]+', '-', 'g'), '-'), 40), ''), 'store') AS store_slug,
+            coalesce({_case('listed_slug', names)}, left(trim(coalesce(nullif(source, ''), 'Store')), 90)) AS store_name,
+            {_case('listed_slug', colours, _q(vocab.OTHER_STORE_COLOUR))} AS store_colour FROM {name}3)"""
+
+
+def _days(source: str, line: str, name: str = "timed") -> str:
+    """CTE ``timed``: ``source`` rows with delivery_days read from column ``line``."""
+    months = "|".join(vocab.MONTHS)
+    first, second = rf"\b(\d{{1,2}})\s*({months})", rf"\b({months})[a-z]*\s*(\d{{1,2}})\b"
+    number = {m: str(i + 1) for i, m in enumerate(vocab.MONTHS)}
+    in_days = r"(\d+)\s*(?:-|to)?\s*(\d+)?\s*(?:business\s+|working\s+)?days?"
+    weekday = "CASE " + " ".join(rf"WHEN regexp_matches(t_, '\b{d}') THEN {i}" for i, d in enumerate(vocab.WEEKDAYS)) + " END"
+    ahead = f"(({weekday}) - (isodow({AS_OF}) - 1) + 7) % 7"
+    made = lambda year: f"TRY_CAST(({year}) || '-' || lpad(mon_, 2, '0') || '-' || lpad(day_, 2, '0') AS DATE)"
+    return f"""
+{name}1 AS (SELECT *, lower(trim(coalesce({line}, ''))) AS t_ FROM {source}),
+{name}2 AS (SELECT *, CASE WHEN regexp_matches(t_, {_q(first)}) THEN regexp_extract(t_, {_q(first)}, 1) ELSE regexp_extract(t_, {_q(second)}, 2) END AS day_,
+            {_case(f"CASE WHEN regexp_matches(t_, {_q(first)}) THEN regexp_extract(t_, {_q(first)}, 2) ELSE regexp_extract(t_, {_q(second)}, 1) END", number)} AS mon_ FROM {name}1),
+{name}3 AS (SELECT *, {made(f"year({AS_OF})")} AS d0_, {made(f"year({AS_OF}) + 1")} AS d1_ FROM {name}2),
+{name} AS (SELECT * EXCLUDE (t_, day_, mon_, d0_, d1_), CAST(CASE
+    WHEN t_ = '' THEN 99
+    WHEN regexp_matches(t_, '\\b\\d+\\s*(min|mins|minutes|hr|hrs|hour|hours)\\b') OR contains(t_, 'today') OR contains(t_, 'same day') THEN 0
+    WHEN contains(t_, 'tomorrow') OR contains(t_, 'next day') THEN 1
+    WHEN regexp_matches(t_, {_q(in_days)}) THEN CAST(coalesce(nullif(regexp_extract(t_, {_q(in_days)}, 2), ''), regexp_extract(t_, {_q(in_days)}, 1)) AS INTEGER)
+    WHEN d0_ >= {AS_OF} THEN date_diff('day', {AS_OF}, d0_)
+    WHEN d0_ IS NOT NULL AND d1_ IS NOT NULL THEN date_diff('day', {AS_OF}, d1_)
+    WHEN {weekday} IS NOT NULL THEN CASE WHEN {ahead} = 0 THEN 7 ELSE {ahead} END
+    ELSE 99 END AS INTEGER) AS delivery_days FROM {name}3)"""
+
+
+SHOPPING = f"""
+rows_ AS (
+  SELECT p_name || ' s' || p_size AS query_id, p AS product_key, CAST((p * 31 + s * 7) % 1000 + 1 AS INTEGER) AS position, p, s,
+         {_pick(derived.BRAND_WORDS, 'p')} || ' ' || p_name || ' S' || p_size || CASE WHEN s % 4 = 0 THEN ' Pro' WHEN s % 4 = 1 THEN ' 5G' ELSE '' END
+         || {_pick(derived.TITLE_FACTS, 'p + s')} || CASE WHEN (p + s) % 17 = 0 THEN ' - Refurbished' ELSE '' END
+         || CASE WHEN (p + 2 * s) % 19 = 0 THEN ' Case' ELSE '' END || CASE WHEN s % 10 = 0 THEN ' | free delivery' ELSE '' END AS title,
+         {_pick(derived.STORE_NAMES, 's')} AS source, 10000 + (p % 50) * 100 + (s % 7) * 700 AS rupees, rating, review_count,
+         {_pick(derived.DELIVERY_TEXTS, 'p + s')} AS delivery FROM l),
+priced AS (SELECT *, rupees + CASE WHEN (p + s) % 23 = 0 THEN 0.14 ELSE 0 END AS price_, CASE WHEN (p + s) % 29 = 0 THEN '$' ELSE '₹' END AS sign FROM rows_)
+"""
+
+
+def _feed() -> str:
+    return f"""WITH {OFFERS}, {SHOPPING}, {_store('priced')},
+ok AS (SELECT * FROM stored WHERE listed_slug IS NOT NULL AND sign = '₹' AND (p + s) % 23 <> 0),
+{_days('ok', 'delivery')},
+fs AS (SELECT query_id, 'g-' || CASE WHEN p % 4 <> 0 THEN 'pid' || p ELSE substring(md5(title || source), 1, 16) END || '-' || store_slug || '-' || substring(md5(lower(title)), 1, 8) AS listing_id,
+  store_slug AS marketplace, source AS seller_name, title, CAST(price_ AS DOUBLE) AS price,
+  CAST(CASE WHEN p % 3 = 0 THEN rupees + 500 ELSE rupees END AS DOUBLE) AS mrp, rating,
+  CASE WHEN s % 5 = 0 THEN 0 ELSE review_count END AS review_count, delivery_days,
+  CASE WHEN delivery = '' THEN 'See store for delivery' ELSE delivery END AS delivery_text, CAST(position AS DOUBLE) AS position,
+  CASE WHEN s % 3 = 0 THEN 'tok' || s ELSE 'q' || s END AS page_token, '' AS product_url, p, s FROM timed)"""
+
+
+def _stores() -> dict[str, str]:
+    feed_columns = """query_id, listing_id, marketplace, seller_name, title, price, mrp, rating, review_count, delivery_days,
+delivery_text, position, page_token, product_url"""
+    url = _case("marketplace", vocab.STORE_SEARCH_URLS, _q(vocab.ANY_STORE_SEARCH_URL))
+    quoted = "replace(replace(replace(replace(array_to_string(string_split(regexp_replace(trim(title), '\\s+', ' ', 'g'), ' ')[1:8], ' '), '(', '%28'), ')', '%29'), ',', '%2C'), '|', '%7C')"
+    return {
+        "store_resolution": f"""WITH named AS (SELECT s_suppkey, {_pick(derived.STORE_NAMES, 's_suppkey')} || CASE WHEN s_suppkey % 4 = 3 THEN ' India' ELSE '' END AS source FROM supplier),
+{_store('named')} SELECT s_suppkey, source, listed_slug, store_slug, store_name, store_colour FROM stored""",
+        "delivery_parse": f"""WITH told AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Delivery by ' || strftime(o_orderdate, '%-d %b')
+  WHEN o_orderkey % 3 = 1 THEN 'Arrives ' || strftime(o_orderdate, '%A, %B %-d') ELSE {_pick(derived.DELIVERY_TEXTS, 'o_orderkey')} END AS line FROM orders),
+{_days('told', 'line')} SELECT o_orderkey, line, delivery_days FROM timed""",
+        "locations": f"""WITH c AS (SELECT c_custkey, left(CAST(100000 + c_custkey * 37 AS VARCHAR), 3) || CASE WHEN c_custkey % 4 = 0 THEN '12' ELSE '123' END AS pin,
+  lower({_pick(["Bangalore", "Gurgaon", "Pune", "Bombay", "Trivandrum"], 'c_custkey')}) AS name FROM customer)
+SELECT c_custkey, CASE WHEN length(pin) = 6 THEN pin END AS pincode, {_case('name', vocab.CITY_ALIASES, 'name')} AS city FROM c""",
+        "feed_shopping": f"{_feed()} SELECT {feed_columns} FROM fs",
+        "store_links": f"""{_feed()} SELECT DISTINCT query_id, listing_id, CASE WHEN CAST(position AS INTEGER) % 3 = 0 THEN 'https://shop.example/p/' || p
+  ELSE replace({url}, '{{q}}', replace({quoted}, ' ', '+')) END AS link FROM fs""",
+        "feed_marketplace": f"""WITH {OFFERS}, {SHOPPING},
+own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, title) AS n FROM priced WHERE position % 11 <> 0),
+linked AS (SELECT *, CASE WHEN position % 2 = 0 THEN 'https://m.example/c/' || position WHEN position % 7 <> 0 THEN 'https://m.example/d/' || position ELSE '' END AS link,
+  CASE WHEN contains(lower(delivery), 'deliver') OR contains(lower(delivery), 'get it') THEN delivery ELSE 'Or get it Today' END AS line FROM own WHERE n <= 20),
+ok AS (SELECT * FROM linked WHERE link <> '' AND (p + s) % 23 <> 0), {_days('ok', 'line')}
+SELECT query_id, 'a-' || CASE WHEN position % 3 <> 0 THEN 'B0' || p || 'X' || position ELSE substring(md5(title), 1, 10) END AS listing_id, 'amazon' AS marketplace,
+  'Amazon.in' AS seller_name, title, CAST(price_ AS DOUBLE) AS price, CAST(CASE WHEN p % 3 = 0 THEN rupees + 500 ELSE rupees END AS DOUBLE) AS mrp, rating,
+  CASE WHEN s % 5 = 0 THEN 0 ELSE review_count END AS review_count, delivery_days, line AS delivery_text, position + 0.5::DOUBLE AS position, '' AS page_token, link AS product_url FROM timed""",
+    }
+
+
+# --- identity ------------------------------------------------------------------------------------
+
+
+def _rule_text(x: str) -> str:
+    t = f"replace(replace(lower({x}), '’', ''''), 'é', 'e')"
+    for pattern, to in [
+        (r"(iphone|galaxy|pixel|redmi|note|ipad)(\d)", r"\1 \2"), (r"(\d+)\s*(gb|tb)\b", r"\1\2"), (r"\[[^\]]*\]", " "),
+        (r'[()\[\],|/+–—:;!"*]', " "), (r"\s-\s|\s-|-\s", " "), (r"\s+", " "),
+    ]:
+        t = f"regexp_replace({t}, {_q(pattern)}, {_q(to)}, 'g')"
+    return f"trim({t})"
+
+
+def _identity(source: str, title: str, n: str) -> str:
+    """CTE ``n``: ``source`` rows with n_brand, n_model, n_family, n_storage, n_ram, n_colour, n_condition, n_quantity, n_guess, n_words, n_acc, n_spare."""
+    colour = r"\b(" + "|".join(sorted(vocab.RULE_COLOURS, key=len, reverse=True)) + r")\b"
+    ram = r"\b(\d{1,2})gb\s*ram\b|\bram\s*(\d{1,2})gb\b"
+    amount = r"\b(\d+(?:\.\d+)?)\s?(ml|l|g|kg|mah|w|inch|cm)\b"
+    plain = r"regexp_replace(t_, '\b[2-5]g\b', ' ', 'g')"
+    qty = f"regexp_extract({plain}, {_q(amount)}, 1) || regexp_extract({plain}, {_q(amount)}, 2)"
+    implied = "ram0_ IS NULL AND len(sizes_) >= 2 AND sizes_[1].v <= 24"
+    model = f"regexp_matches(w, '[0-9]') OR w IN {_in(vocab.RULE_VARIANT_WORDS)}"
+    brand = f"coalesce(list_filter(words_[1:3], lambda w: w IN {_in(vocab.RULE_BRANDS)})[1], {_case(f'list_filter(words_, lambda w: w IN {_in(vocab.RULE_BRAND_WORDS)})[1]', vocab.RULE_BRAND_WORDS)})"
+    return f"""
+{n}1 AS (SELECT *, {_rule_text(title)} AS t_, {_rule_text(f"string_split({title}, '|')[1]")} AS h_ FROM {source}),
+{n}2 AS (SELECT * REPLACE (CASE WHEN h_ = '' THEN t_ ELSE h_ END AS h_) FROM {n}1),
+{n}3 AS (SELECT *, list_filter(string_split(h_, ' '), lambda w: w <> '') AS words_, regexp_extract_all(t_, {_q(colour)}, 1) AS cols_,
+         nullif(regexp_extract(t_, {_q(ram)}, 1) || regexp_extract(t_, {_q(ram)}, 2), '') || 'gb' AS ram0_ FROM {n}2),
+{n}4 AS (SELECT *, list_filter(list_sort([{{'v': CAST(regexp_extract(m, '[0-9.]+') AS DOUBLE) * CASE WHEN right(m, 2) = 'tb' THEN 1024 ELSE 1 END, 'n': m}}
+         FOR m IN regexp_extract_all(t_, '\\b(?:[0-9]+(?:\\.[0-9]+)?)(?:gb|tb)\\b')]), lambda z: ram0_ IS NULL OR z.n <> ram0_) AS sizes_, {brand} AS b_ FROM {n}3),
+{n}5 AS (SELECT *, {_case('b_', vocab.RULE_BRAND_FOLDS, 'b_')} AS {n}_brand FROM {n}4),
+{n}6 AS (SELECT *, list_filter(list_transform(words_, lambda w: trim(w, '.''')), lambda w: w <> '' AND w NOT IN {_in(vocab.RULE_FILLER_WORDS)}
+         AND NOT list_contains(string_split(array_to_string(cols_, ' '), ' '), w) AND w IS DISTINCT FROM {n}_brand
+         AND NOT regexp_matches(w, '^([0-9]+(\\.[0-9]+)?(gb|tb)|5g|4g)$') AND NOT regexp_matches(w, '[0-9]{{5,}}')) AS tell_ FROM {n}5),
+{n} AS (SELECT * EXCLUDE (t_, h_, words_, cols_, ram0_, sizes_, b_, tell_),
+         list_sort(list_distinct(list_filter(tell_, lambda w: {model}))) AS {n}_model,
+         list_sort(list_distinct(list_filter(tell_, lambda w: NOT ({model}) AND length(w) > 1))) AS {n}_family,
+         CASE WHEN {implied} THEN sizes_[2:][-1].n ELSE sizes_[-1].n END AS {n}_storage,
+         CASE WHEN ram0_ IS NOT NULL THEN ram0_ WHEN {implied} THEN sizes_[1].n END AS {n}_ram,
+         replace(cols_[-1], 'gray', 'grey') AS {n}_colour,
+         CASE WHEN regexp_matches(t_, {_q(vocab.CONDITION_PATTERN)}) THEN 'refurbished' ELSE 'new' END AS {n}_condition,
+         CASE WHEN {qty} NOT IN ('', '2g', '3g', '4g', '5g') THEN {qty} END AS {n}_quantity,
+         coalesce({n}_brand, CASE WHEN length(words_[1]) > 1 AND NOT regexp_matches(words_[1], '^[0-9]') THEN words_[1] END) AS {n}_guess,
+         words_ AS {n}_words, list_has_any(tell_, {list(vocab.RULE_ACCESSORY_WORDS)}) AS {n}_acc,
+         regexp_matches(h_, {_q(vocab.SPARE_PATTERN)}) OR starts_with(h_, 'for ')
+           OR (regexp_matches(h_, '\\b(display|screen)\\b') AND NOT regexp_matches(t_, '[0-9]+\\s?(gb|tb)\\b')) AS {n}_spare FROM {n}6)"""
+
+
+def _accessory(n: str, words: str) -> str:
+    return (
+        f"(({n}_acc AND NOT list_has_any({words}, {list(vocab.RULE_ACCESSORY_WORDS)})) "
+        f"OR ({n}_spare AND NOT list_has_any({words}, {list(vocab.SPARE_QUERY_WORDS)})))"
+    )
+
+
+def _rules() -> dict[str, str]:
+    words = f"list_filter(string_split({_rule_text('query')}, ' '), lambda w: w <> '')"
+    extra = (
+        f"len(list_filter(i_model, lambda m: NOT list_contains(q_model, m) AND (m IN {_in(vocab.RULE_VARIANT_WORDS)} OR m = 'e' "
+        "OR len(list_filter(q_model, lambda x: x <> m AND starts_with(m, x) AND regexp_matches(x, '^[0-9]+$'))) > 0)))"
+    )
+    return {
+        "title_identity": f"""WITH {OFFERS}, {SHOPPING}, d AS (SELECT DISTINCT title, query_id AS query FROM priced), {_identity('d', 'title', 'i')}
+SELECT title, query, i_brand AS brand, array_to_string(i_model, ' ') AS model, array_to_string(i_family, ' ') AS family, i_storage AS storage, i_ram AS ram,
+       i_colour AS colour, i_condition AS condition, i_quantity AS quantity, i_guess AS brand_guess, {_accessory('i', words)} AS accessory FROM i""",
+        "rule_relevance": f"""{_feed()},
+g AS (SELECT query_id, title AS canonical_title, min(CASE WHEN CAST(position AS INTEGER) % 9 = 0 THEN price / 4 ELSE price END) AS price_min,
+             count(DISTINCT marketplace) AS n_stores FROM fs GROUP BY 1, 2),
+ranked AS (SELECT query_id, price_min, row_number() OVER (PARTITION BY query_id ORDER BY price_min) - 1 AS k, count(*) OVER (PARTITION BY query_id) AS n FROM g),
+med AS (SELECT query_id, price_min AS median FROM ranked WHERE k = n // 2),
+qd AS (SELECT DISTINCT query_id, query_id AS query FROM g), {_identity('qd', 'query', 'q')}, {_identity('g', 'canonical_title', 'i')},
+x AS (SELECT i.*, q.* EXCLUDE (query_id), median, {words} AS qwords,
+             list_distinct(list_concat(q_model, q_family)) AS want, list_distinct(list_concat(i_model, i_family)) AS have
+      FROM i JOIN q USING (query_id) JOIN med USING (query_id)),
+y AS (SELECT *, len(list_intersect(want, have)) + CASE WHEN q_storage = i_storage THEN 1 ELSE 0 END AS hit,
+             len(want) + CASE WHEN q_storage IS NULL THEN 0 ELSE 1 END AS total, {extra} AS extra,
+             q_brand IS NOT NULL AND i_guess IS DISTINCT FROM q_brand AS wrong,
+             i_condition = 'refurbished' AND NOT list_has_any(string_split(lower(query), ' '), {list(vocab.REFURBISHED_QUERY_WORDS)}) AS refurb,
+             {_accessory('i', 'qwords')} AS acc, price_min < 0.4 * median AS cheap FROM x)
+SELECT query_id, canonical_title, price_min,
+       round(CASE WHEN total > 0 THEN hit / total ELSE 0.5 END - 0.2 * extra - CASE WHEN wrong THEN 0.6 ELSE 0 END - CASE WHEN refurb THEN 0.25 ELSE 0 END
+             - CASE WHEN acc THEN 0.6 ELSE 0 END - CASE WHEN cheap THEN 0.9 ELSE 0 END + 0.05 * (n_stores - 1), 3) AS relevance,
+       concat_ws(',', CASE WHEN refurb THEN 'refurbished' END, CASE WHEN acc THEN 'accessory' END, CASE WHEN cheap THEN 'unusually_low_price' END) AS flags FROM y""",
+    }
+
+
+# --- ingest and enrichment --------------------------------------------------------------------------
+
+_FRESH = """
+fresh AS (SELECT CASE WHEN (p + s) % 3 = 0 THEN listing_id ELSE 'n-' || s || '-' || (p % 100) END AS listing_id, position, floor(price * 0.9) AS price, floor(mrp) AS mrp FROM l),
+one AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY position) = 1),
+new_ AS (SELECT *, CASE WHEN mrp > 0 THEN round(greatest(0, (mrp - price) / mrp * 100), 1) ELSE 0 END AS d FROM one)"""
+
+_OFFER_ROWS = f"""
+li AS (SELECT * REPLACE (CASE WHEN s % 2 = 0 THEN {_pick(derived.STORE_NAMES, 's')} ELSE seller_name END AS seller_name) FROM l),
+so AS (SELECT product_id, p, s, s AS offer_order, {_pick(derived.STORE_NAMES, 'p + s')} AS source, CASE WHEN s % 3 = 0 THEN '' ELSE title || {_pick(derived.TITLE_FACTS, 's')} END AS title,
+  CASE WHEN s % 9 <> 0 THEN 'https://store' || (s % 12) || '.example/p/' || p END AS link, CASE WHEN s % 8 = 0 THEN floor(price) + 0.5 ELSE floor(price) END AS price,
+  CASE WHEN s % 2 = 0 THEN floor(price) + 900 ELSE CASE WHEN s % 8 = 0 THEN floor(price) + 0.5 ELSE floor(price) END END AS mrp,
+  {_pick(derived.DELIVERY_TEXTS, 'p + 2 * s')} AS dl FROM l)"""
+
+
+def _ingest() -> dict[str, str]:
+    snaps = """
+h AS (SELECT left(lower(trim(event_type)) || ' shoes', 200) || '|city' || user_id AS query_key, date_trunc('day', ts) AS day, event_id % 97 AS pid, min(value) AS r FROM events GROUP BY 1, 2, 3),
+sn AS (SELECT query_key, day, list(pid ORDER BY r, pid) AS ids FROM h GROUP BY 1, 2),
+cur AS (SELECT query_key, arg_max(ids, day) AS ids, max(day) AS day FROM sn GROUP BY 1)"""
+    judged = f"""WITH {OFFERS}, {_OFFER_ROWS}, {_store('so')},
+bs AS (SELECT product_id, first(title ORDER BY position, listing_id) AS base_title, min(price) AS low FROM li GROUP BY 1),
+jo AS (SELECT * FROM stored JOIN bs USING (product_id)), {_identity('jo', 'title', 'o')}, {_identity('o', 'base_title', 'b')},
+jd AS (SELECT *, CASE WHEN listed_slug IS NULL THEN 'store' WHEN coalesce(link, '') = '' OR price = 0 OR round(price, 2) <> round(price, 0) THEN 'link'
+       WHEN greatest(price, low) / greatest(1, least(price, low)) > 1.6 THEN 'price'
+       WHEN title <> '' AND (coalesce(o_storage <> b_storage, false) OR coalesce(o_ram <> b_ram, false) OR coalesce(o_colour <> b_colour, false) OR o_condition <> b_condition) THEN 'variant'
+       ELSE 'ok' END AS verdict FROM b),
+{_store("(SELECT product_id, position, listing_id, seller_name AS source FROM li)", "ls")}"""
+    return {
+        "upsert": f"""WITH {OFFERS}, {_FRESH}
+SELECT l.listing_id, l.product_id, coalesce(n.price, l.price) AS price, coalesce(n.mrp, l.mrp) AS mrp, coalesce(n.d, l.discount_percentage) AS discount_percentage
+FROM l LEFT JOIN new_ n USING (listing_id)
+UNION ALL SELECT listing_id, NULL, price, mrp, d FROM new_ WHERE listing_id NOT IN (SELECT listing_id FROM l)""",
+        "new_stores": f"""WITH {OFFERS}, {_OFFER_ROWS}, {_store('so')}, f AS (SELECT store_slug, min(store_name) AS name, min(link) AS link, min(store_colour) AS colour FROM stored GROUP BY 1)
+SELECT store_slug AS slug, name, '' AS logo_url, coalesce('https://' || regexp_extract(link, '^https://([^/]+)', 1), '') AS base_url, colour AS brand_color
+FROM f WHERE store_slug NOT IN ('amazon', 'croma')""",
+        "snapshots": f"""WITH {snaps} SELECT query_key, array_to_string(ids, ',') AS product_ids, strftime(day, '%Y-%m-%d %H:%M:%S') AS fetched_at,
+  day > TIMESTAMP '2024-01-29 22:00:00' AS fresh FROM cur""",
+        "snapshot_products": f"""WITH {snaps}, e AS (SELECT query_key, unnest(ids) AS product_id, unnest(range(len(ids))) AS place FROM cur)
+SELECT query_key, place, product_id, p_name FROM e JOIN part ON p_partkey = product_id""",
+        "enrich_links": f"""{judged},
+lastv AS (SELECT product_id, store_slug, arg_max(price, offer_order) AS price, arg_max(link, offer_order) AS link FROM jd WHERE verdict = 'ok' GROUP BY 1, 2),
+fl AS (SELECT product_id, store_slug, first(listing_id ORDER BY position, listing_id) AS listing_id FROM ls GROUP BY 1, 2)
+SELECT listing_id, v.price, li.mrp, v.link AS product_url FROM lastv v JOIN fl USING (product_id, store_slug) JOIN li USING (listing_id)""",
+        "enrich_added": f"""{judged},
+nw AS (SELECT * FROM jd WHERE verdict = 'ok' AND NOT EXISTS (SELECT 1 FROM ls WHERE ls.product_id = jd.product_id AND ls.store_slug = jd.store_slug)
+       QUALIFY row_number() OVER (PARTITION BY product_id, store_slug ORDER BY offer_order) = 1),
+ln AS (SELECT *, CASE WHEN regexp_matches(lower(dl), 'deliver|arrives|shipping') THEN dl ELSE 'Ships in 6 days' END AS line FROM nw), {_days('ln', 'line')}
+SELECT 's-' || product_id || '-' || store_slug AS listing_id, product_id, store_slug AS marketplace, source AS seller_name, coalesce(nullif(title, ''), base_title) AS title,
+       price, greatest(price, mrp) AS mrp, delivery_days, line AS delivery_text, link AS product_url FROM timed""",
+        "enrich_notes": f"""{judged}, ks AS (SELECT DISTINCT product_id, store_slug, true AS known FROM ls),
+j AS (SELECT jd.*, known FROM jd LEFT JOIN ks USING (product_id, store_slug))
+SELECT product_id, count(*) AS offers, count(*) FILTER (WHERE verdict = 'ok' AND known) AS linked,
+       count(DISTINCT store_slug) FILTER (WHERE verdict = 'ok' AND known IS NULL) AS added, count(*) FILTER (WHERE verdict = 'store') AS not_listed,
+       count(*) FILTER (WHERE verdict = 'link') AS no_link, count(*) FILTER (WHERE verdict = 'price') AS price_far, count(*) FILTER (WHERE verdict = 'variant') AS other_variant
+FROM j GROUP BY 1""",
+    }
+
+
 def registered() -> dict[str, str]:
-    return {**_offers(), **_text(), **_matching(), **_search()}
+    out = {**_offers(), **_text(), **_matching(), **_search(), **_stores(), **_rules(), **_ingest()}
+    out["stream_upsert"] = out["upsert"]   # the streamed upsert must leave the same table
+    return out
