@@ -14,9 +14,8 @@ from pricemesh.session import local_session  # noqa: E402
 
 HEADLINE = [
     "offer_rollup", "offers_sorted_price_asc", "group_sort_delivery_fastest", "attributes_inferred", "document_tokens",
-    "corpus_idf", "search_coverage", "search_results", "pair_scores", "product_components", "canonical_products",
-    "explanations", "similar_products", "title_identity", "rule_groups", "rule_results", "feed_shopping", "upsert",
-    "enrich_notes",
+    "corpus_idf", "search_coverage", "pair_scores", "product_components", "canonical_products", "title_identity",
+    "feed_shopping", "rule_groups", "upsert", "enrich_notes",
 ]
 
 

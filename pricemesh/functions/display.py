@@ -25,7 +25,7 @@ def number_or(value: Column, default: Column | float = 0.0) -> Column:
 
 
 def compact_number(n: Column) -> Column:
-    plain = lambda c, d: F.replace(F.format_number(c, d), F.lit(","), F.lit(""))
+    plain = lambda c, d: F.replace(F.format_number(F.round(c, d), d), F.lit(","), F.lit(""))
     return (
         F.when(n >= 100000, F.concat(plain(n / 100000, 1), F.lit("L")))
         .when(n >= 10000, F.concat(plain(n / 1000, 0), F.lit("k")))

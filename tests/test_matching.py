@@ -25,7 +25,7 @@ SHOP = [
     ("Nike Court Vision Low White Sneakers UK 9", "shoe", "Nike", "Shoes", H, {"colour": "White", "size": "UK 9"}),
     ("Nike Court Vision Low White Sneakers", "", "Nike", "sneakers", H, {"colour": "White", "size": "UK 8"}),
     ("Court Vision Low White Sneakers UK 9", "", "Adidas", "sneakers", H, {"colour": "White", "size": "UK 9"}),
-    ("Court Vision Low White Sneakers UK 9", "", None, None, H, {"colour": "White", "size": "UK 9"}),
+    ("Court Vision Low White Sneakers UK 7", "", None, None, H, {"colour": "White", "size": "UK 7"}),
     ("Black Cotton Hoodie", "", None, "hoodie", "00000000000000ff", {"material": "Cotton"}),
     ("Black Cotton Sweatshirt", "", None, "sweatshirt", "00000000000000fe", {"material": "Cotton"}),
     ("Black Fleece Hoodie", "", None, "hoodie", "00000000000000ff", {"material": "Fleece"}),
