@@ -300,8 +300,8 @@ pb AS (SELECT pid, CAST('0x' || substring(md5(f), 1, 8) AS BIGINT) % 512 AS bkt,
 nrm AS (SELECT pid, sqrt(CAST(sum(x * x) AS DOUBLE)) AS n FROM pb GROUP BY pid)"""
 
 
-# The combined score is rounded as a decimal: many sums of scores lie next to a
-# tie, where rounding through a multiplication goes the wrong way.
+# The combined score is rounded on its shortest decimal form: many sums of scores
+# lie next to a tie, where rounding through a multiplication goes the wrong way.
 _SCORED = r"""
 shared AS (SELECT a, b, sum(x.micros) AS shared FROM asked JOIN pw x ON x.pid = a JOIN pw y ON y.pid = b AND y.w = x.w GROUP BY 1, 2),
 dots AS (SELECT a, b, sum(x.x * y.x) AS dot FROM asked JOIN pb x ON x.pid = a JOIN pb y ON y.pid = b AND y.bkt = x.bkt GROUP BY 1, 2),
@@ -319,8 +319,8 @@ att0 AS (
                    + CASE WHEN sa = sb THEN 2.0 ELSE 0 END)
                   / (7.0 + CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN 2.0 ELSE 0 END), 4) AS attribute_score,
          ba <> bb OR ga <> gb AS other, sa <> sb OR coalesce(la <> lb, false) AS variant FROM sc),
-rw AS (SELECT *, CAST(round(CAST(least(1.0, CAST(text_score AS DOUBLE) * CAST(0.4 AS DOUBLE) + CAST(attribute_score AS DOUBLE) * CAST(0.25 AS DOUBLE)
-       + CAST(image_score AS DOUBLE) * CAST(0.35 AS DOUBLE)) AS DECIMAL(30, 18)), 4) AS DOUBLE) AS raw FROM att0),
+rw AS (SELECT *, CAST(round(CAST(CAST(least(1.0, CAST(text_score AS DOUBLE) * CAST(0.4 AS DOUBLE) + CAST(attribute_score AS DOUBLE) * CAST(0.25 AS DOUBLE)
+       + CAST(image_score AS DOUBLE) * CAST(0.35 AS DOUBLE)) AS VARCHAR) AS DECIMAL(30, 18)), 4) AS DOUBLE) AS raw FROM att0),
 scored AS (
   SELECT *, CASE WHEN other THEN 'DIFFERENT' WHEN raw >= 0.9 AND NOT variant THEN 'EXACT_MATCH' WHEN raw >= 0.7 THEN 'SIMILAR' ELSE 'DIFFERENT' END AS match_type,
          round(CASE WHEN other THEN least(raw, 0.69) WHEN raw >= 0.7 AND variant THEN least(raw, 0.89) ELSE raw END, 4) AS combined_score,
