@@ -708,4 +708,6 @@ FROM j GROUP BY 1""",
 def registered() -> dict[str, str]:
     out = {**_offers(), **_text(), **_matching(), **_search(), **_stores(), **_rules(), **_ingest()}
     out["stream_upsert"] = out["upsert"]   # the streamed upsert must leave the same table
+    out["stream_history"] = """SELECT DISTINCT event_type AS query, CAST(user_id AS VARCHAR) AS pincode,
+strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS slot FROM events"""
     return out

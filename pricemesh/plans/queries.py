@@ -547,7 +547,7 @@ def stream_history(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("created_at"),
     )
     stream_history_job.start_history(searches, work, f"{work}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{work}/history")
+    return spark.read.parquet(f"{work}/history").select("query", "pincode", F.col("slot").cast("string").alias("slot"))
 
 
 def registered() -> dict[str, Query]:

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def clean_history(searches: DataFrame, window: str = "10 minutes") -> DataFrame:
-    """Trimmed searches; the same search repeated within the window counts once."""
+def clean_history(searches: DataFrame, slot: str = "10 minutes", late: str = "1 day") -> DataFrame:
+    """Trimmed searches; the same search counts once per time slot.
+
+    The slot is part of the key, so the outcome does not depend on how the
+    stream is cut into batches.
+    """
     return (
         searches.withColumn("query", F.regexp_replace("query", r"(?U)^\s+|\s+$", ""))
         .filter("query <> ''")
-        .withWatermark("created_at", window)
-        .dropDuplicatesWithinWatermark(["query", "pincode"])
+        .withColumn("slot", F.window("created_at", slot)["start"])
+        .withWatermark("created_at", late)
+        .dropDuplicatesWithinWatermark(["query", "pincode", "slot"])
     )
 
 
