@@ -5,7 +5,7 @@ Arrays and maps are written out as text, so results compare by value.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -21,7 +21,7 @@ from pricemesh.operators import (
 from pricemesh.operators.filters import Filters
 from pricemesh.plans import catalog as batch
 from pricemesh.plans.search import search_groups
-from pricemesh.session import cut_lineage
+from pricemesh.session import cut_lineage, shared_folder
 from pricemesh.sources import derived, feeds, tables
 from pricemesh.streaming import history as stream_history_job
 from pricemesh.streaming import upsert as stream_upsert_job
@@ -519,10 +519,7 @@ def enrich_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder next to the checkpoints."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    return tempfile.mkdtemp(prefix="pricemesh-stream-")
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
 
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
