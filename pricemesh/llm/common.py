@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,8 +20,9 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh URI in the folder that driver and executors share."""
+    folder = re.sub(r"^file:/+", "file:///", shared_folder(spark).rstrip("/"))
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
