@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", app: str = "pricemesh", partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; clusters bring their own."""
-    spark = (
+def local_session(cores: str = "8", app: str = "pricemesh", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session for tests and the bench; clusters bring their own.  ``shared``: folder for intermediate tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,25 +20,21 @@ def local_session(cores: str = "8", app: str = "pricemesh", partitions: int = 8)
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder for intermediate tables that driver and executors share.
 
-    Only a local master without that setting gets a folder of its own; a
-    cluster without it is an error, since executors cannot share a local folder.
+    In this order: the checkpoint folder already set in the session, the one the
+    cluster names in ``spark.checkpoint.dir``, a folder below the warehouse.
     """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="pricemesh-")
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pricemesh"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
