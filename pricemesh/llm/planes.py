@@ -117,11 +117,13 @@ class PlaneReader:
         if self._held is None or self._held[0] != k:
             at, sizes = self.chunks[k]
             self.source.seek(at)
+            count = min(self.block, self.count - k * self.block)
+            size = count if self.kind == "byte" else -(-count // 8)
             raw, planes, o = self.source.read(sum(sizes)), [], 0
             for s in sizes:
-                planes.append(self.expand.decompress(raw[o : o + s]))
+                planes.append(self.expand.decompress(raw[o : o + s], max_output_size=size))
                 o += s
-            self._held = (k, from_planes(planes, min(self.block, self.count - k * self.block), self.kind))
+            self._held = (k, from_planes(planes, count, self.kind))
         return self._held[1]
 
     def read(self, start: int, count: int) -> np.ndarray:

@@ -185,9 +185,11 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
                     source = where.open_input_file(f"{root}/{r['file']}")
                     table, opened, key = read_seek_table(source, source.size()), (r["folder"], r["file"]), None
                 if r["frame"] != key:
-                    offset, packed, _ = table[r["frame"]]
+                    offset, packed, size = table[r["frame"]]
                     source.seek(offset)
-                    raw, key = expand.decompress(source.read(packed)), r["frame"]
+                    raw, key = expand.decompress(source.read(packed), max_output_size=size), r["frame"]
+                    if len(raw) != size:
+                        raise ValueError(f"frame {key} in {r['file']} is damaged")
                 head, payload = parse(raw[r["record_offset"] : r["record_offset"] + r["record_bytes"]])
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 kind = head["WARC-Type"]
