@@ -290,7 +290,7 @@ def write_planes(df: DataFrame, id_col: str, text_col: str, encode: Callable[[li
         out, seq = None, 0
         for batch in batches:
             for piece in text_slices(batch, "text", SLICE_BYTES):
-                out = out or PlaneWriter(where.open_output_stream(f"{root}/{name}"), kind, block)
+                out = out or PlaneWriter(where.open_output_stream(f"{root}/{name}", compression=None), kind, block)
                 counts, first = [], out.count
                 for ids in encode([t or "" for t in strings(piece.column("text"))]):
                     out.append(ids)

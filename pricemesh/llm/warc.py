@@ -133,7 +133,7 @@ def write_archives(df: DataFrame, id_col: str, url_col: str, payload_col: str, f
 
         def flush() -> pa.RecordBatch:
             nonlocal out, at, buffer, waiting, filled
-            out = out or where.open_output_stream(f"{root}/{name}")
+            out = out or where.open_output_stream(f"{root}/{name}", compression=None)
             raw = b"".join(buffer)
             packed = squeeze.compress(raw)
             out.write(packed)
