@@ -17,6 +17,8 @@ How it stays linear where many documents are alike:
 * In long lists everybody first meets only the list's most central document;
   what these links join is contracted, and pairs are then made across the
   remaining groups only.  The pairs left out lie inside one group already.
+* The overlaps with a central document c bound those of all pairs around it: two
+  sets share at most the smaller overlap with c and the smaller rest outside c.
 
 No pair of different groups is left out by any of this.
 """
@@ -232,7 +234,7 @@ def _counted(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+    """Every pair with the overlap of its full sets and whether they reach the threshold."""
     spark = docs.sparkSession
     pairs = written(pairs, "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
@@ -261,21 +263,42 @@ def _verified(docs: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataF
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, overlap = [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = np.concatenate([u, v])
                 both.sort(kind="stable")
                 inter = int(np.count_nonzero(both[1:] == both[:-1]))
+                overlap.append(inter)
                 keep.append(config.under * inter >= config.over * (len(u) + len(v) - inter))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap, pa.int64()), pa.array(keep, pa.bool_())], ["a", "b", "inter", "linked"])
 
     full = (
         pairs.join(tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
         .join(tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
-    return written(full.mapInArrow(judge, "a long, b long"), "jaccard-links")
+    return written(full.mapInArrow(judge, "a long, b long, inter long, linked boolean"), "jaccard-links")
+
+
+def _bounded(lists: DataFrame, centres: DataFrame, stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists that more than one group has, with each document's group, one central document it was verified
+    against, the overlap with it, and at most how many of its other tokens a partner in this list can share."""
+    hubs = centres.select(F.col("doc").alias("centre"), F.col("n").cast("long").alias("inter")).distinct()
+    both = stars.select(F.col("a").alias("doc"), F.col("b").alias("centre"), "inter").unionByName(stars.select(F.col("b").alias("doc"), F.col("a").alias("centre"), "inter"))
+    met = both.join(hubs.select("centre"), "centre", "left_semi")
+    met = met.unionByName(hubs.select(F.col("centre").alias("doc"), "centre", "inter"))
+    # Neighbours should agree on their centre: the one that most documents were verified against.
+    size = met.groupBy("centre").agg(F.count("*").alias("size"))
+    own = met.join(size, "centre").groupBy("doc").agg(F.max(F.struct("size", "centre", "inter")).alias("best")).select("doc", F.col("best.centre").alias("centre"), F.col("best.inter").alias("inter"))
+    placed = lists.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
+    mixed_lists = placed.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
+    placed = placed.join(mixed_lists, "token", "left_semi").join(own, "doc", "left")
+    # Unshared tokens ahead of this one are outside the centre only where the centre has this token in its prefix too.
+    holds = lists.select("token", F.col("doc").alias("centre"), F.lit(True).alias("held")).join(hubs.select("centre"), "centre", "left_semi")
+    placed = placed.join(holds, ["token", "centre"], "left")
+    rest = F.col("n") - F.col("inter") - F.when(F.col("held"), F.col("miss")).otherwise(0)
+    return written(placed.select("token", "doc", "n", "miss", "matches", "group", "centre", "inter", rest.alias("rest")), "jaccard-mixed")
 
 
 def jaccard_groups(df: DataFrame, id_col: str, text_col: str, config: JaccardConfig = JaccardConfig()) -> DataFrame:
@@ -302,23 +325,23 @@ def jaccard_groups(df: DataFrame, id_col: str, text_col: str, config: JaccardCon
         .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.least("x.matches", "y.matches").alias("matches"))
     )
     links = None
-    groups = None
     if not long.isEmpty():
-        links = _verified(docs, _counted(stars), config)
+        stars = _verified(docs, _counted(stars), config)
+        links = stars.filter("linked").select("a", "b")
         groups = written(connected_components(links, "a", "b"), "jaccard-stars")
+        lists = _bounded(lists, centre, stars, groups)
+    else:
+        none = F.lit(None).cast("long")
+        lists = lists.select("token", "doc", "n", "miss", "matches", F.col("doc").alias("group"), none.alias("centre"), none.alias("inter"), none.alias("rest"))
 
     # All lists: pairs across groups.
-    if groups is not None:
-        placed = lists.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component")
-        mixed_lists = placed.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
-        lists = written(placed.join(mixed_lists, "token", "left_semi"), "jaccard-mixed")
-    else:
-        lists = lists.withColumn("group", F.col("doc"))
+    o, u = config.over, config.under
+    around = F.expr(f"not (x.centre <=> y.centre and x.centre is not null) or {o + u}L * (least(x.inter, y.inter) + least(x.rest, y.rest)) >= {o}L * (x.n + y.n)")
     across = (
-        lists.alias("x").join(lists.alias("y"), "token").filter((F.col("x.doc") < F.col("y.doc")) & (F.col("x.group") != F.col("y.group")) & _possible(config, "x", "y"))
+        lists.alias("x").join(lists.alias("y"), "token").filter((F.col("x.doc") < F.col("y.doc")) & (F.col("x.group") != F.col("y.group")) & _possible(config, "x", "y") & around)
         .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.least("x.matches", "y.matches").alias("matches"))
     )
-    found = _verified(docs, _counted(across), config)
+    found = _verified(docs, _counted(across), config).filter("linked").select("a", "b")
     edges = found if links is None else links.unionByName(found)
 
     # An id with several texts joins the classes of all of them.
