@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pricemesh.llm.common import strings, text_slices
 
 SLICE_BYTES = 1 << 20
-BITS = 20  # size of the table that turns away most n-grams before the binary search
+BITS = 20        # size of the table that turns away most n-grams before the binary search
+COUNT_BITS = 21  # size of the table that n-grams are first counted in when fitting
 
 
 @dataclass(frozen=True)
@@ -105,31 +106,34 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, config: Toxic
         share = min(max(prior, 1e-3), 1 - 1e-3)
         return ToxicityModel(config.orders, nothing, np.empty(0), float(np.log(share / (1 - share))))
     folded = [fold(t) for t in texts]
-    seen: list[np.ndarray] = []
-    for start in range(0, len(folded), 200):
-        part = [np.empty(0, dtype=[("h", "u8"), ("y", "f8")])]
-        of = owners(folded[start : start + 200])
-        for n, h in gram_hashes(folded[start : start + 200], config.orders):
-            owner = of[: len(h)]
-            inside = owner == of[n - 1 :]
-            h, owner = h[inside], owner[inside]
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.empty(0, bool)
-            rows = np.empty(int(new.sum()), dtype=part[0].dtype)
-            rows["h"], rows["y"] = h[new], labels[start : start + 200][owner[new]]
-            part.append(rows)
-        seen.append(np.concatenate(part))
-        if len(seen) >= 8:
-            seen = [_summed(seen)]
-    table = _summed(seen)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    p, q = table["y"], table["n"] - table["y"]
-    ratio = np.log((p + config.smoothing) / (n1 + 2 * config.smoothing)) - np.log((q + config.smoothing) / (n0 + 2 * config.smoothing))
-    spread = np.sqrt(1 / (p + config.smoothing) + 1 / (q + config.smoothing))
-    strength = np.where(table["n"] >= config.least_df, np.abs(ratio) / spread, 0)
-    best = np.argsort(-strength, kind="stable")[: config.features]
-    best = best[strength[best] > 0]
+
+    def strength(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-count ratio, and its size against its spread (0 for n-grams of too few texts)."""
+        q = n - p
+        ratio = np.log((p + config.smoothing) / (n1 + 2 * config.smoothing)) - np.log((q + config.smoothing) / (n0 + 2 * config.smoothing))
+        spread = np.sqrt(1 / (p + config.smoothing) + 1 / (q + config.smoothing))
+        return ratio, np.where(n >= config.least_df, np.abs(ratio) / spread, 0)
+
+    # First by places of a table of fixed size, then by n-gram within the most telling places: memory stays bounded.
+    shift = np.uint64(64 - COUNT_BITS)
+    p, n = np.zeros(1 << COUNT_BITS), np.zeros(1 << COUNT_BITS)
+    for h, y in _distinct(folded, labels, config):
+        at = h >> shift
+        p += np.bincount(at, y, len(p))
+        n += np.bincount(at, minlength=len(n))
+    telling = np.zeros(1 << COUNT_BITS, dtype=bool)
+    telling[np.argsort(-strength(p, n)[1], kind="stable")[: 8 * config.features]] = True
+    parts = []
+    for h, y in _distinct(folded, labels, config):
+        keep = telling[h >> shift]
+        rows = np.empty(int(keep.sum()), dtype=[("h", "u8"), ("y", "f8")])
+        rows["h"], rows["y"] = h[keep], y[keep]
+        parts = [_summed([*parts, rows])]
+    table = parts[0]
+    ratio, strong = strength(table["y"], table["n"])
+    best = np.argsort(-strong, kind="stable")[: config.features]
+    best = best[strong[best] > 0]
     order = np.argsort(table["h"][best])
     hashes, ratio = table["h"][best][order], ratio[best][order]
     model = ToxicityModel(config.orders, hashes, np.zeros(len(hashes)), 0.0)
@@ -143,6 +147,21 @@ def fit(texts: list[str | None], labels: np.ndarray, prior: float, config: Toxic
     return ToxicityModel(config.orders, hashes, w * ratio, b)
 
 
+def _distinct(folded: list[str], labels: np.ndarray, config: ToxicityConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams of each text with its label, a few texts at a time."""
+    for start in range(0, len(folded), 100):
+        texts = folded[start : start + 100]
+        of = owners(texts)
+        for n, h in gram_hashes(texts, config.orders):
+            owner = of[: len(h)]
+            inside = owner == of[n - 1 :]
+            h, owner = h[inside], owner[inside]
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.empty(0, bool)
+            yield h[new], labels[start : start + 100][owner[new]]
+
+
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
     """Rows (hash, label) or (hash, labels, count) summed by hash."""
     h = np.concatenate([p["h"] for p in parts])
