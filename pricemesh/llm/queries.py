@@ -106,7 +106,7 @@ def op9_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
     """Learned from three of four folds of the labelled documents."""
     labels = table(spark, folder, "labels", "doc_id", "toxic").filter(fold(4) != 2)
-    return toxicity.train(table(spark, folder, "documents", "doc_id", "text").join(labels, "doc_id"), "text", F.col("toxic"), TOXICITY)
+    return toxicity.train(table(spark, folder, "documents", "doc_id", "text"), labels, "doc_id", "text", "toxic", TOXICITY)
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricemesh.llm.common import strings, text_slices
@@ -194,25 +194,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float,
     return w.astype(np.float64), float(b)
 
 
-def train(labelled: DataFrame, text_col: str, label: Column, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fit on at most about ``rows_per_class`` rows of each class, chosen by a hash of the text.
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """Fit on at most about ``rows_per_class`` labelled rows of each class, chosen by a hash of the id.
 
-    Rows with a null label are no training rows; a null text is an empty one.
+    Only the chosen ids meet the documents; they are few by the config's bound, so
+    they are broadcast and no text is shuffled.  Rows with a null label or id are
+    no training rows; a null text is an empty one.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), label.cast("int").alias("y")).filter("y is not null")
-    counts = {r["y"]: r["n"] for r in rows.filter("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if not total:
         return fit([], np.empty(0), 0.5, config)
-    place = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 20))
     share = F.lit(0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(int(min(1.0, config.rows_per_class / n) * (1 << 20)))).otherwise(share)
-    # The hash keeps the expected number; the limit bounds it also where copies share a hash.
-    sample = rows.filter("y in (0, 1)").filter(place < share).limit(3 * config.rows_per_class).toArrow()
-    order = sorted(range(sample.num_rows), key=lambda k: (sample["y"][k].as_py(), sample["text"][k].as_py() or ""))
-    texts, y = sample["text"].to_pylist(), np.array(sample["y"].to_pylist())
-    return fit([texts[k] for k in order], y[order], counts.get(1, 0) / total, config)
+    # The hash keeps the expected number; the limit bounds it also where ids repeat.
+    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).limit(3 * config.rows_per_class)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").limit(6 * config.rows_per_class).select("text", "y").toArrow()
+    texts, y = sample["text"].to_pylist(), sample["y"].to_pylist()
+    order = sorted(range(len(y)), key=lambda k: (y[k], texts[k] or ""))
+    return fit([texts[k] for k in order], np.array([y[k] for k in order]), counts.get(1, 0) / total, config)
 
 
 def score_toxicity(df: DataFrame, id_col: str, text_col: str, model: ToxicityModel) -> DataFrame:

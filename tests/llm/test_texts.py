@@ -225,7 +225,8 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.drop_toxic(docs, "text", model, 0.5).columns == docs.columns
     assert toxicity.score_toxicity(docs, "doc_id", "text", model).count() == 4
     assert toxicity.score_toxicity(docs.limit(0), "doc_id", "text", model).count() == 0
-    constant = toxicity.train(docs.limit(0), "text", F.lit(1))
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    constant = toxicity.train(docs, labels, "doc_id", "text", "toxic")
     assert constant.score(["x", None]).tolist() == [0.5, 0.5]
     assert toxicity.fit(["a", "b"], np.array([0, 0]), 0.0).score(["a"])[0] < 0.01
     # An n-gram never reaches from one text into the next.
