@@ -29,7 +29,8 @@ def with_delivery_days(df: DataFrame, text: str, as_of: Column, out: str = "deli
     day_first, month_first = r"\b(\d{1,2})\s*" + _MONTH, r"\b" + _MONTH + r"[a-z]*\s*(\d{1,2})\b"
 
     staged = (
-        df.withColumn("_t", F.lower(F.regexp_replace(F.coalesce(c(text), F.lit("")), r"(?U)^\s+|\s+$", "")))
+        # Blanks of any kind, the no-break ones included, count as blanks in all patterns below.
+        df.withColumn("_t", F.lower(F.trim(F.regexp_replace(F.coalesce(c(text), F.lit("")), r"(?U)\s", " "))))
         .withColumn("_df", c("_t").rlike(day_first))
         .withColumn("_day", F.when(c("_df"), number(day_first, 1)).otherwise(number(month_first, 2)))
         .withColumn(

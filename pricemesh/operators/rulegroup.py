@@ -8,12 +8,15 @@ outcome:
   are equal, and when a chain of prices no further apart than the price ratio
   connects them, so these form the group key;
 * listings with the same identity and price always end in the same group as the
-  first of them unless they state nothing (storage, RAM, colour, quantity), so
-  copies are folded into one row beforehand and take its group afterwards.
+  first of them unless they state nothing (storage, RAM, colour, quantity) or
+  name neither model nor family, so all others are folded into one row
+  beforehand and take its group afterwards.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,45 +58,64 @@ def _price_bands(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
     ).drop("_gap")
 
 
-def _fits(x: dict, y: dict, no_model: bool, cfg: RuleConfig) -> bool:
-    """The rule comparison of two rows that already share model, condition and accessory flag."""
-    for fact in _FACTS:
-        if x[fact] and y[fact] and x[fact] != y[fact]:
-            return False
-    silent = not any(row[k] for row in (x, y) for k in ("storage", "colour", "quantity"))
-    limit = cfg.vague_price_ratio if silent else cfg.price_ratio
-    low, high = sorted((x["price"], y["price"]))
-    if high / max(1.0, low) > limit:
-        return False
-    both = len(x["family"] & y["family"])
-    if no_model:
-        size = len(x["family"]) + len(y["family"])
-        return both > 0 and 2 * both / size >= cfg.family_dice
-    return bool(both) or not x["family"] or not y["family"]
+class _Block:
+    """The rows of one block as arrays, in the order in which they are placed."""
+
+    def __init__(self, block: pa.Table, cfg: RuleConfig):
+        rows = block.to_pandas()
+        rows["family"] = [frozenset(f) for f in rows["family"]]
+        self.rows = rows.assign(_rank=-rows["specificity"]).sort_values(["_rank", "position", "listing_id"], kind="stable")
+        self.cfg = cfg
+        self.price = self.rows["price"].to_numpy(dtype=float)
+        self.vague = self.rows["specificity"].to_numpy() == 0
+        model = self.rows["model"].iloc[0]
+        self.modelless = model is None or len(model) == 0
+        # Facts as numbers, 0 where a row does not state one.
+        stated = [self.rows[f].map(lambda v: v or None) for f in _FACTS]
+        self.facts = np.stack([pd.factorize(v)[0] + 1 for v in stated], axis=1)
+        self.speaks = self.facts[:, [_FACTS.index(f) for f in ("storage", "colour", "quantity")]].any(axis=1)
+        words = {w: k for k, w in enumerate(sorted(frozenset().union(*self.rows["family"])))}
+        self.words = np.zeros((len(rows), len(words)), dtype=np.float32)
+        for r, family in enumerate(self.rows["family"]):
+            self.words[r, [words[w] for w in family]] = 1
+        self.size = self.words.sum(axis=1)
+
+    def refused_by(self, i: int) -> np.ndarray:
+        """Which of the rows before ``i`` it cannot stand with, all compared at once."""
+        before, own = self.facts[:i], self.facts[i]
+        clash = ((before != own) & (before > 0) & (own > 0)).any(axis=1)
+        ratio = np.where(self.speaks[:i] | self.speaks[i], self.cfg.price_ratio, self.cfg.vague_price_ratio)
+        low, high = np.minimum(self.price[:i], self.price[i]), np.maximum(self.price[:i], self.price[i])
+        common, total = self.words[:i] @ self.words[i], self.size[:i] + self.size[i]
+        if self.modelless:
+            alike = (common > 0) & (2 * common.astype(float) >= self.cfg.family_dice * total)
+        else:
+            alike = (common > 0) | (self.size[:i] == 0) | (self.size[i] == 0)
+        return clash | (high / np.maximum(1.0, low) > ratio) | ~alike
 
 
 def _fold(block: pa.Table, cfg: RuleConfig) -> pa.Table:
-    """Assign each row, in order, to the first group all of whose members it fits."""
-    rows = block.to_pylist()
-    rows.sort(key=lambda r: (-r["specificity"], r["position"], r["listing_id"]))
-    no_model = not rows[0]["model"]
-    groups: list[list[dict]] = []
-    for row in rows:
-        row["family"] = frozenset(row["family"])
-        options = [g for g in groups if all(_fits(m, row, no_model, cfg) for m in g)]
-        if len(options) > 1 and row["specificity"] == 0:
-            near = [
-                g for g in options
-                if abs(row["price"] - min(m["price"] for m in g)) / max(1.0, row["price"]) <= cfg.near_price
-            ]
-            options = near if len(near) == 1 else []
-        if options:
-            options[0].append(row)
-        else:
-            groups.append([row])
-    placed = [(m["query_id"], m["listing_id"], g[0]["listing_id"]) for g in groups for m in g]
-    names = ("query_id", "listing_id", "group_id")
-    return pa.table({n: [p[i] for p in placed] for i, n in enumerate(names)})
+    """Place each row with the first group that has no row it is refused by.
+
+    One array comparison per row; memory grows with the block, not its square.
+    """
+    b = _Block(block, cfg)
+    n = len(b.rows)
+    group, opener, cheapest, used = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.full(n, np.inf), 0
+    for i in range(n):
+        free = np.ones(used, dtype=bool)
+        free[group[:i][b.refused_by(i)]] = False
+        choice = np.flatnonzero(free)
+        if b.vague[i] and len(choice) > 1:
+            # A vague row only decides between groups by its price, and only if that leaves one.
+            close = choice[np.abs(b.price[i] - cheapest[choice]) <= cfg.near_price * max(1.0, b.price[i])]
+            choice = close if len(close) == 1 else choice[:0]
+        at = int(choice[0]) if len(choice) else used
+        if at == used:
+            opener[used], used = i, used + 1
+        group[i], cheapest[at] = at, min(cheapest[at], b.price[i])
+    ids = b.rows["listing_id"].to_numpy()
+    return pa.table({"query_id": pa.array(b.rows["query_id"], pa.string()), "listing_id": pa.array(ids, pa.string()), "group_id": pa.array(ids[opener[group]], pa.string())})
 
 
 def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -108,8 +130,9 @@ def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     )
     facts = [*_BLOCK, "price", "specificity", *_FACTS, "family"]
     place = F.struct(c("position").cast("double").alias("position"), "listing_id")
-    said = c("specificity") > 0
-    # A listing without any stated fact stays a row of its own.
+    # A listing without any stated fact stays a row of its own, and so does one that names neither
+    # a model nor a family word: it matches nothing, not even its equals.
+    said = (c("specificity") > 0) & ((F.coalesce(F.size("model"), F.lit(0)) > 0) | (F.size("family") > 0))
     keyed = flat.withColumn("own", F.when(~said, c("listing_id")).otherwise(""))
     leads = keyed.groupBy(*facts, "own").agg(F.min(place).alias("lead")).select(*facts, "own", "lead.*")
     banded = leads.join(_price_bands(leads, cfg), [*_BLOCK, "price"])
