@@ -35,6 +35,6 @@ class RuleConfig:
     vague_price_ratio: float = 1.15
     family_dice: float = 0.75
     near_price: float = 0.05
-    max_groups: int = 12
+    max_groups: int | None = None        # page size of rule results; None: every group
     snapshot_hours: int = 6
-    second_feed_rows: int = 20
+    second_feed_rows: int | None = None  # rows per query of the second feed; None: all

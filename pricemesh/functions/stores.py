@@ -43,11 +43,11 @@ def with_store(df: DataFrame, source: str) -> DataFrame:
         ),
     )
     plain = F.btrim(F.regexp_replace(F.coalesce(F.nullif("_key", F.lit("")), F.lit("store")), "[^a-z0-9]+", "-"), F.lit("-"))
-    shown = F.substring(_strip(F.coalesce(F.nullif(c(source), F.lit("")), F.lit("Store"))), 1, 90)
+    shown = _strip(F.coalesce(F.nullif(c(source), F.lit("")), F.lit("Store")))
     return (
         staged.withColumn(
             "store_slug",
-            F.coalesce("listed_slug", F.nullif(F.substring(plain, 1, 40), F.lit("")), F.lit("store")),
+            F.coalesce("listed_slug", F.nullif(plain, F.lit("")), F.lit("store")),
         )
         .withColumn("store_name", F.coalesce(lookup(c("listed_slug"), _NAME_OF_SLUG), shown))
         .withColumn(

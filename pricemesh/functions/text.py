@@ -102,7 +102,7 @@ def clean_title(title: Column) -> Column:
 def clean_rule_title(title: Column) -> Column:
     """Title shown for a rule-matched group."""
     stripped = F.regexp_replace(title, r"(?U)\s*\[[^\]]*\]\s*", " ")
-    return F.substring(F.btrim(squeeze(stripped), F.lit(" -|,")), 1, 200)
+    return F.btrim(squeeze(stripped), F.lit(" -|,"))
 
 
 def title_key(title: Column) -> Column:
@@ -111,6 +111,5 @@ def title_key(title: Column) -> Column:
 
 
 def query_key(query: Column, location: Column) -> Column:
-    return F.substring(
-        F.concat(F.substring(squeeze(F.lower(query)), 1, 200), F.lit("|"), location), 1, 200
-    )
+    """Key of a query at a location: both whole, so that no two share a key."""
+    return F.concat(squeeze(F.lower(query)), F.lit("|"), location)

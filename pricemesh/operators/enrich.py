@@ -88,7 +88,7 @@ def added(judged_offers: DataFrame, listings: DataFrame, as_of: Column) -> DataF
     lined = first.withColumn("_line", F.coalesce(F.nullif(F.get(said, 0), F.lit("")), "shipping"))
     mrp = F.greatest("price", number_or(c("extracted_original_price"), c("price")))
     return with_delivery_days(lined, "_line", as_of).select(
-        F.substring(F.concat_ws("-", F.lit("s"), "product_id", "store_slug"), 1, 100).alias("listing_id"),
+        F.concat_ws("-", F.lit("s"), "product_id", "store_slug").alias("listing_id"),
         "product_id",
         c("store_slug").alias("marketplace"),
         c("name").alias("seller_name"),
@@ -141,7 +141,7 @@ def notes(judged_offers: DataFrame, listings: DataFrame) -> DataFrame:
 def skipped(judged_offers: DataFrame) -> DataFrame:
     """Offers left out, in offer order, in the words of the notes."""
     price = F.format_string("%s: price %.1f too far from %.1f", "name", "price", "lowest_price")
-    variant = F.concat("name", F.lit(": different variant ("), F.substring("title", 1, 60), F.lit(")"))
+    variant = F.concat("name", F.lit(": different variant ("), "title", F.lit(")"))
     said = (
         F.when(F.col("verdict") == "price too far", price)
         .when(F.col("verdict") == "different variant", variant)

@@ -122,9 +122,10 @@ def _place(*columns: Column) -> Column:
 
 
 def final_groups(visible: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """Drop look-alike titles, keep the best groups of each query and number them.
+    """Drop look-alike titles and number the groups of each query.
 
-    The page size is the feature here: a query shows ``max_groups`` groups.
+    All groups are returned with their place; where ``cfg.max_groups`` sets a
+    page size, only the best groups of each query.
     """
     c = F.col
     stores = F.size("marketplaces")
@@ -132,9 +133,9 @@ def final_groups(visible: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFram
     placed = visible.withColumn("_place", place).withColumn("_title", title_key(c("canonical_title")))
     first = placed.groupBy("query_id", "_title").agg(F.min("_place").alias("_place"))
     unique = placed.join(first, ["query_id", "_title", "_place"], "left_semi")
-    # Spark trims each partition to the page size before the exchange.
-    best = unique.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("query_id").orderBy("_place"))
-    ).filter(F.col("_n") <= cfg.max_groups)
+    if cfg.max_groups is not None:
+        # Spark trims each partition to the page size before the exchange.
+        best = Window.partitionBy("query_id").orderBy("_place")
+        unique = unique.withColumn("_n", F.row_number().over(best)).filter(c("_n") <= cfg.max_groups).drop("_n")
     shown = Window.partitionBy("query_id").orderBy(-c("relevance"), c("rank"), c("_place"))
-    return best.withColumn("place", F.row_number().over(shown)).drop("_place", "_title", "_n")
+    return unique.withColumn("place", F.row_number().over(shown)).drop("_place", "_title")

@@ -478,8 +478,8 @@ def _store(source: str, name: str = "stored") -> str:
 {name}3 AS (SELECT *, coalesce({_case('key_', slug)}, {listed('two_')}, {listed('one_')},
             CASE WHEN regexp_matches(key_, '^(apple|samsung) .*(store|shop|india)$') THEN {_case('one_', slug)} END) AS listed_slug FROM {name}2),
 {name} AS (SELECT * EXCLUDE (key_, one_, two_),
-            coalesce(listed_slug, nullif(left(trim(regexp_replace(coalesce(nullif(key_, ''), 'store'), '[^a-z0-9]+', '-', 'g'), '-'), 40), ''), 'store') AS store_slug,
-            coalesce({_case('listed_slug', names)}, left(trim(coalesce(nullif(source, ''), 'Store')), 90)) AS store_name,
+            coalesce(listed_slug, nullif(trim(regexp_replace(coalesce(nullif(key_, ''), 'store'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'store') AS store_slug,
+            coalesce({_case('listed_slug', names)}, trim(coalesce(nullif(source, ''), 'Store'))) AS store_name,
             {_case('listed_slug', colours, _q(vocab.OTHER_STORE_COLOUR))} AS store_colour FROM {name}3)"""
 
 
@@ -550,9 +550,9 @@ SELECT c_custkey, CASE WHEN length(pin) = 6 THEN pin END AS pincode, {_case('nam
         "store_links": f"""{_feed()} SELECT DISTINCT query_id, listing_id, CASE WHEN CAST(position AS INTEGER) % 3 = 0 THEN 'https://shop.example/p/' || p
   ELSE replace({url}, '{{q}}', replace({quoted}, ' ', '+')) END AS link FROM fs""",
         "feed_marketplace": f"""WITH {OFFERS}, {SHOPPING},
-own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, title) AS n FROM priced WHERE position % 11 <> 0),
+own AS (SELECT * FROM priced WHERE position % 11 <> 0),
 linked AS (SELECT *, CASE WHEN position % 2 = 0 THEN 'https://m.example/c/' || position WHEN position % 7 <> 0 THEN 'https://m.example/d/' || position ELSE '' END AS link,
-  CASE WHEN contains(lower(delivery), 'deliver') OR contains(lower(delivery), 'get it') THEN delivery ELSE 'Or get it Today' END AS line FROM own WHERE n <= 20),
+  CASE WHEN contains(lower(delivery), 'deliver') OR contains(lower(delivery), 'get it') THEN delivery ELSE 'Or get it Today' END AS line FROM own),
 ok AS (SELECT * FROM linked WHERE link <> '' AND (p + s) % 23 <> 0), {_days('ok', 'line')}
 SELECT query_id, 'a-' || CASE WHEN position % 3 <> 0 THEN 'B0' || p || 'X' || position ELSE substring(md5(title), 1, 10) END AS listing_id, 'amazon' AS marketplace,
   'Amazon.in' AS seller_name, title, CAST(price_ AS DOUBLE) AS price, CAST(CASE WHEN p % 3 = 0 THEN rupees + 500 ELSE rupees END AS DOUBLE) AS mrp, rating,
@@ -663,7 +663,7 @@ so AS (SELECT product_id, p, s, s AS offer_order, {_pick(derived.STORE_NAMES, 'p
 
 def _ingest() -> dict[str, str]:
     snaps = """
-h AS (SELECT left(lower(trim(event_type)) || ' shoes', 200) || '|city' || user_id AS query_key, date_trunc('day', ts) AS day, event_id % 97 AS pid, min(value) AS r FROM events GROUP BY 1, 2, 3),
+h AS (SELECT lower(trim(event_type)) || ' shoes|city' || user_id AS query_key, date_trunc('day', ts) AS day, event_id % 97 AS pid, min(value) AS r FROM events GROUP BY 1, 2, 3),
 sn AS (SELECT query_key, day, list(pid ORDER BY r, pid) AS ids FROM h GROUP BY 1, 2),
 cur AS (SELECT query_key, arg_max(ids, day) AS ids, max(day) AS day FROM sn GROUP BY 1)"""
     judged = f"""WITH {OFFERS}, {_OFFER_ROWS}, {_store('so')},

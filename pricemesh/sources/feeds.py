@@ -67,7 +67,7 @@ def shopping_listings(rows: DataFrame, as_of: Column) -> DataFrame:
     listing_id = F.concat_ws("-", F.lit("g"), pid, "store_slug", F.substring(F.md5(F.lower("title")), 1, 8))
     return mapped.select(
         "query_id",
-        F.substring(listing_id, 1, 100).alias("listing_id"),
+        listing_id.alias("listing_id"),
         c("store_slug").alias("marketplace"),
         c("_source").alias("seller_name"),
         "title",
@@ -82,18 +82,16 @@ def shopping_listings(rows: DataFrame, as_of: Column) -> DataFrame:
 
 
 def marketplace_listings(rows: DataFrame, as_of: Column, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """The marketplace's own results: first unsponsored rows of each query, with direct links.
+    """The marketplace's own results: unsponsored rows with direct links.
 
     Positions get a half added, so the rows interleave after the shopping
-    results.  The row limit per query is part of the feed's definition.
+    results.  ``cfg.second_feed_rows`` limits the rows per query where it is set.
     """
     c = F.col
-    ordered = Window.partitionBy("query_id").orderBy(F.col("position").asc_nulls_last(), "title")
-    first = (
-        rows.filter(~F.coalesce("sponsored", F.lit(False)))
-        .withColumn("_n", F.row_number().over(ordered))
-        .filter(c("_n") <= cfg.second_feed_rows)
-    )
+    first = rows.filter(~F.coalesce("sponsored", F.lit(False)))
+    if cfg.second_feed_rows is not None:
+        ordered = Window.partitionBy("query_id").orderBy(F.col("position").asc_nulls_last(), "title")
+        first = first.withColumn("_n", F.row_number().over(ordered)).filter(c("_n") <= cfg.second_feed_rows)
     told = F.filter("delivery", lambda d: F.lower(d).contains("deliver") | F.lower(d).contains("get it"))
     lined = first.withColumn("delivery_line", F.coalesce(F.get(told, 0), F.get("delivery", 0))).withColumn(
         "_link", _or(c("link_clean"), F.coalesce("link", F.lit("")))
