@@ -139,15 +139,17 @@ def _count_table(profile: DataFrame, config: JaccardConfig) -> np.ndarray:
     return table
 
 
-def prefix(tokens: np.ndarray, table: np.ndarray, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray, int]:
-    """(prefix tokens in global order, their estimated counts, matches asked for) of one set."""
+def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray, int]:
+    """(prefix tokens in global order, their estimated counts, matches asked for) of one sorted set.
+
+    ``usual`` is the mean of the count table.
+    """
     n = len(tokens)
     count = table[(tokens >> np.uint64(64 - config.count_bits)).astype(np.int64)]
-    order = np.lexsort((tokens, count))
+    order = np.argsort(count, kind="stable")
     tokens, count = tokens[order], count[order]
     need = -(-config.over * n // config.under)
     shortest = n - need + 1
-    usual = table.mean()
     shared = np.maximum(count - usual - 4 * np.sqrt(usual), 0) + config.chance
     matches = np.arange(1, min(config.most_matches, need) + 1)
     cost = shortest + matches + config.verify_cost * np.cumsum(shared)[shortest + matches - 2] / matches
@@ -166,7 +168,8 @@ def _postings(docs: DataFrame, table: np.ndarray, config: JaccardConfig) -> Data
     is counted in parts; ``token`` is null where it equals the key.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    frequent = 4 * table.mean() + 1000
+    usual = float(table.mean())
+    frequent = 4 * usual + 1000
     least = config.under - 1  # smaller sets reach the threshold only when equal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,7 @@ def _postings(docs: DataFrame, table: np.ndarray, config: JaccardConfig) -> Data
                 found = []
                 for i, s in zip(ids, shingle_sets(strings(part.column("text")), config.words)):
                     if len(s) >= least and i is not None:
-                        found.append((i, len(s), *prefix(s, shared.value, config)))
+                        found.append((i, len(s), *prefix(s, shared.value, usual, config)))
                 if not found:
                     continue
                 sizes = np.array([len(f[2]) for f in found])
