@@ -1,44 +1,47 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products, one representative per group.
 
 Equal vectors form one class first, so copies cost nothing further.  Every class
-has a home cell and visits the cells of its next nearest centroids, where a
-partner across the border would be at home.  With ``probes=None`` it visits every
-cell in which a partner is possible at all: if two unit vectors are within angle
-t and the second lies nearer to centroid c than to the first one's centroid h,
-then the first is at most sin(t) from the plane between c and h, and at most t
-beyond the radius of cell c; that mode loses no pair, at a cost that nears all
-pairs where vectors are spread evenly.  Cells are cut into blocks of bounded
-size, and each pair of blocks is one small matrix product in double precision.
+has a home cell and meets every cell in which a partner is possible at all: if
+two unit vectors are within angle t and the second lies nearer to centroid c than
+to the first one's centroid h, then the first is at most sin(t) from the plane
+between c and h, and at most t beyond the radius of cell c.  So no pair is lost,
+at a cost that nears all pairs where vectors are spread evenly.  Cells are put
+together or cut into blocks of bounded size; each pair of blocks is one matrix
+product in double precision, of those rows on either side that the other block's
+cells can hold a partner of.  With ``probes`` set, a class visits only the cells
+of that many nearest centroids, which loses pairs as the cells grow in number.
 A product returns link counts and a spanning forest of its links, never all
 pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricemesh.llm.common import written
 from pricemesh.operators.components import connected_components
 
-EDGE = 1e-9  # margin of the pruning bounds against rounding
+EDGE = 1e-7  # margin of the pruning bounds against rounding
+WIDE, TILED = 8, 32  # blocks grow up to WIDE times where there are more than TILED of them: rows are copied once per block met
+SLICE = 1 << 20  # cosines held at a time
 
 
 @dataclass(frozen=True)
 class CellConfig:
     threshold: float = 0.9
-    block: int = 1024            # most vectors on either side of a product
+    block: int = 1024            # most vectors on either side of a product; without probes up to WIDE times as many in large tables
     rows_per_cell: int = 1024
     most_cells: int = 2048
     sample: int = 20_000         # vectors that k-means is fitted on
     rounds: int = 12
-    probes: int | None = 6       # cells compared with, the home cell included; None: all that can hold a partner
+    probes: int | None = None    # cells compared with, the home cell included; None: all that can hold a partner
 
 
 def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -103,40 +106,48 @@ class _Forest:
         return True
 
 
-def _links(left: pd.DataFrame, right: pd.DataFrame, cell: int, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def _links(left: pd.DataFrame, right: pd.DataFrame, cell: int, same: bool, config: CellConfig) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Link weights of the left and right rows, and a spanning forest of the links as (left, right) ids."""
     a, b = (np.frombuffer(b"".join(s["unit"]), dtype="<f8").reshape(len(s), -1) for s in (left, right))
-    i, j = np.nonzero(a @ b.T >= threshold)
     ids_a, ids_b = left["class_id"].to_numpy(), right["class_id"].to_numpy()
-    if same:
-        once = ids_a[i] != ids_b[j]
-    else:
-        # A pair that its other cell finds as well is left to the cell of the lower number.
-        home = right["home"].to_numpy()[j]
-        probes = [np.frombuffer(p, "<i4") for p in left["probes"]]
-        table = np.full((len(probes), max(map(len, probes))), -1, dtype=np.int32)
-        for k, p in enumerate(probes):
-            table[k, : len(p)] = p
-        twice = np.zeros(len(i), dtype=bool)
-        for k in range(0, len(i), 1 << 18):
-            part = slice(k, k + (1 << 18))
-            twice[part] = (table[i[part]] == home[part][:, None]).any(axis=1)
-        once = (home == cell) | (home > cell) | ~twice
-    i, j = i[once], j[once]
-    of_left = np.bincount(i, right["copies"].to_numpy()[j], len(left)).astype(np.int64)
-    of_right = np.zeros(len(right), dtype=np.int64) if same else np.bincount(j, left["copies"].to_numpy()[i], len(right)).astype(np.int64)
-    number = {int(x): k for k, x in enumerate(np.unique(np.concatenate([ids_a, ids_b])))}
-    roots, edges = _Forest(len(number)), []
-    # A row's first partner joins it to the rest: hubs are settled in one step, other links only where they join groups.
-    at_a, at_b = np.array([number[int(x)] for x in ids_a]), np.array([number[int(x)] for x in ids_b])
-    while len(i):
-        _, first = np.unique(i, return_index=True)
-        for k in first.tolist():
-            if roots.join(int(at_a[i[k]]), int(at_b[j[k]])):
-                edges.append((int(ids_a[i[k]]), int(ids_b[j[k]])))
-        root = np.array([roots.root(k) for k in range(len(number))])
-        open_ = root[at_a[i]] != root[at_b[j]]
-        i, j = i[open_], j[open_]
+    copies_a, copies_b = left["copies"].to_numpy(), right["copies"].to_numpy()
+    of_left, of_right = np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)
+    ids, number = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    at_a, at_b = number[: len(ids_a)], number[len(ids_a) :]
+    roots, edges = _Forest(len(ids)), []
+    home = right["home"].to_numpy()
+    step = max(1, SLICE // len(right))
+    for start in range(0, len(left), step):
+        i, j = np.nonzero(a[start : start + step] @ b.T >= config.threshold)
+        i += start
+        if same:
+            once = ids_a[i] != ids_b[j]
+            i, j = i[once], j[once]
+        elif config.probes is not None:
+            # A pair that its other cell finds as well is left to the cell of the lower number.
+            probes = [np.frombuffer(p, "<i4") for p in left["probes"][start : start + step]]
+            table = np.full((len(probes), max(map(len, probes))), -1, dtype=np.int32)
+            for k, p in enumerate(probes):
+                table[k, : len(p)] = p
+            twice = np.zeros(len(i), dtype=bool)
+            for k in range(0, len(i), 1 << 18):
+                part = slice(k, k + (1 << 18))
+                twice[part] = (table[i[part] - start] == home[j[part]][:, None]).any(axis=1)
+            once = (home[j] == cell) | (home[j] > cell) | ~twice
+            i, j = i[once], j[once]
+        of_left += np.bincount(i, copies_b[j], len(left)).astype(np.int64)
+        if not same:
+            of_right += np.bincount(j, copies_a[i], len(right)).astype(np.int64)
+        # A row's first partner joins it to the rest: hubs are settled in one step, other links only where they join groups.
+        while len(i):
+            _, first = np.unique(i, return_index=True)
+            for k in first.tolist():
+                if roots.join(int(at_a[i[k]]), int(at_b[j[k]])):
+                    edges.append((int(ids_a[i[k]]), int(ids_b[j[k]])))
+            met, back = np.unique(np.concatenate([at_a[i], at_b[j]]), return_inverse=True)
+            root = np.array([roots.root(k) for k in met.tolist()])[back]
+            open_ = root[: len(i)] != root[len(i) :]
+            i, j = i[open_], j[open_]
     return of_left, of_right, edges
 
 
@@ -212,11 +223,14 @@ def _compare(classes: DataFrame, n: int, dims: int, config: CellConfig) -> DataF
 
     at_home = written(classes.select("class_id", "copies", "unit").mapInArrow(homes, "class_id long, copies long, unit binary, home int, near double"), "vector-homes")
     k = len(centres)
-    blocks, radius = np.zeros(k, dtype=np.int64), np.zeros(k)
+    rows_of, radius = np.zeros(k, dtype=np.int64), np.zeros(k)
     for c in at_home.groupBy("home").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect():  # one line per cell
-        blocks[c["home"]] = -(-c["n"] // config.block)
+        rows_of[c["home"]] = c["n"]
         radius[c["home"]] = np.arccos(c["near"])
-    info = spark.sparkContext.broadcast((centres, blocks, radius))
+    if config.probes is None:
+        return _products(at_home.mapInArrow(_paired(spark, centres, rows_of, radius, n, config), TILE), config)
+    blocks = -(-rows_of // config.block)
+    info = spark.sparkContext.broadcast((centres, blocks))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,6 +260,12 @@ def _compare(classes: DataFrame, n: int, dims: int, config: CellConfig) -> DataF
                 take = pa.array(t[:, 0])
                 yield pa.RecordBatch.from_arrays([*(pa.array(t[:, c].astype(np.int32)) for c in range(1, 6)), *(batch.column(c).take(take) for c in ("class_id", "copies", "home", "probes", "unit"))], [x.split()[0] for x in TILE.split(", ")])
 
+    return _products(rows.mapInArrow(tiles, TILE), config)
+
+
+def _products(placed: DataFrame, config: CellConfig) -> DataFrame:
+    """Links of every tile."""
+
     def product(group: pd.DataFrame) -> pd.DataFrame:
         same = bool(group["kind"].iat[0] == 0 and group["block"].iat[0] == group["other"].iat[0])
         left, right = group[group["side"] == 0], group[group["side"] == 1]
@@ -253,7 +273,7 @@ def _compare(classes: DataFrame, n: int, dims: int, config: CellConfig) -> DataF
             right = left
         out = {"a": [], "b": [], "weight": []}
         if len(left) and len(right):
-            of_left, of_right, edges = _links(left, right, int(group["cell"].iat[0]), same, config.threshold)
+            of_left, of_right, edges = _links(left, right, int(group["cell"].iat[0]), same, config)
             for side, of in ((left, of_left), (right, of_right)):
                 at = np.flatnonzero(of)
                 out["a"] += side["class_id"].to_numpy()[at].tolist()
@@ -264,21 +284,64 @@ def _compare(classes: DataFrame, n: int, dims: int, config: CellConfig) -> DataF
             out["weight"] += [None] * len(edges)
         return pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in out.items()})
 
-    placed = rows.mapInArrow(tiles, TILE)
     return written(placed.groupBy("cell", "block", "kind", "other").applyInPandas(product, "a long, b long, weight long"), "vector-links")
 
 
-def _probes(v: np.ndarray, home: np.ndarray, centre: np.ndarray, blocks: np.ndarray, radius: np.ndarray, config: CellConfig) -> list[np.ndarray]:
-    """Cells other than the home that each vector visits."""
+def _paired(spark: SparkSession, centre: np.ndarray, rows_of: np.ndarray, radius: np.ndarray, n: int, config: CellConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deals every row to one tile per block that can hold a partner of it; two partners meet in the tile of their blocks and in no other."""
+    side = min(WIDE * config.block, max(config.block, n // TILED))
+    # Cells side by side along the centroids' main direction share a block; a large cell has several of its own.
+    order = np.argsort(centre @ np.linalg.svd(centre - centre.mean(axis=0), full_matrices=False)[2][0], kind="stable")
+    first, parts = np.zeros(len(centre), dtype=np.int64), np.zeros(len(centre), dtype=np.int64)
+    used, filled = 0, side
+    for c in order[rows_of[order] > 0].tolist():
+        parts[c] = -(-rows_of[c] // side)
+        if filled + rows_of[c] > side:
+            first[c], used, filled = used, used + parts[c], 0
+        else:
+            first[c] = used - 1
+        filled = side if parts[c] > 1 else filled + rows_of[c]
+    held = np.zeros((len(centre), used), dtype=np.float32)  # 1 where a block holds rows of a cell
+    for c in np.flatnonzero(parts).tolist():
+        held[c, first[c] : first[c] + parts[c]] = 1
+    info = spark.sparkContext.broadcast((centre, radius, first, parts, held))
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, radius, first, parts, held = info.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                v = np.frombuffer(b"".join(batch.column("unit").to_pylist()), "<f8").reshape(batch.num_rows, -1)
+                home = batch.column("home").to_numpy()
+                mix = (batch.column("class_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                own = first[home] + mix.astype(np.int64) % parts[home]
+                r, other = np.nonzero(_fits(v, home, centre, radius, config.threshold).astype(np.float32) @ held)
+                low, high = np.minimum(own[r], other), np.maximum(own[r], other)
+                for at in range(0, len(r), 8192):
+                    part = slice(at, at + 8192)
+                    take, size = pa.array(r[part]), len(r[part])
+                    places = (low[part], low[part], np.zeros(size), high[part], own[r[part]] > other[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(x.astype(np.int32)) for x in places), *(batch.column(c).take(take) for c in ("class_id", "copies", "home")), pa.nulls(size, pa.binary()), batch.column("unit").take(take)],
+                        [x.split()[0] for x in TILE.split(", ")],
+                    )
+
+    return tiles
+
+
+def _fits(v: np.ndarray, home: np.ndarray, centre: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cells can hold a partner of each vector, its home among them."""
     sims = v @ centre.T
     row = np.arange(len(v))
-    if config.probes is not None:
-        order = np.argsort(-sims, axis=1, kind="stable")[:, : config.probes]
-        return [o[(o != h) & (blocks[o] > 0)] for o, h in zip(order, home)]
-    sine, angle = np.sqrt(1 - config.threshold**2), np.arccos(config.threshold)
-    gap = np.maximum(2 - 2 * centre @ centre.T, 1e-30)
-    plane = (sims[row, home][:, None] - sims) <= (sine + EDGE) * np.sqrt(gap[home])
-    reach = np.arccos(np.clip(sims, -1, 1)) <= radius[None, :] + angle + EDGE
-    fits = plane & reach & (blocks > 0)[None, :]
-    fits[row, home] = False
-    return [np.flatnonzero(f) for f in fits]
+    sine, angle = np.sqrt(1 - threshold**2), np.arccos(threshold)
+    gap = np.maximum(2 - 2 * centre @ centre.T, 0)
+    plane = sims[row, home][:, None] - sims <= (sine + EDGE) * np.sqrt(gap[home]) + EDGE
+    fits = plane & (np.arccos(np.clip(sims, -1, 1)) <= radius[None, :] + angle + EDGE)
+    fits[row, home] = True
+    return fits
+
+
+def _probes(v: np.ndarray, home: np.ndarray, centre: np.ndarray, blocks: np.ndarray, config: CellConfig) -> list[np.ndarray]:
+    """Cells other than the home that each vector visits."""
+    order = np.argsort(-(v @ centre.T), axis=1, kind="stable")[:, : config.probes]
+    return [o[(o != h) & (blocks[o] > 0)] for o, h in zip(order, home)]

@@ -7,6 +7,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +190,24 @@ def test_vector_query_recall(spark):
     assert 0.98 * links <= sum(r["n_links"] for r in queries.op9_vectors(spark, folder).collect()) <= links
 
 
+def test_vector_query_finds_every_planted_pair(spark, tmp_path):
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = r.uniform(0.9005, 0.92, size=(len(a), 1))
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    at = r.permutation(len(x))  # the first of the vectors has number at[0]
+    kind = pa.list_(pa.float64())
+    pq.write_table(pa.table({"vec_id": at, "embedding": pa.array(list(x), kind)}), tmp_path / "embeddings.parquet")
+    got = {v["vec_id"]: tuple(v)[1:] for v in queries.op9_vectors(spark, str(tmp_path)).collect()}
+    want = {}
+    for p, q in at.reshape(2, -1).T.tolist():
+        want[p], want[q] = ((1, min(p, q), k == min(p, q)) for k in (p, q))
+    assert got == want
+
+
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
