@@ -162,14 +162,22 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: LanguageModel) ->
 
 
 def keep_known(df: DataFrame, text_col: str, model: LanguageModel, least: float = 0.0) -> DataFrame:
-    """``df`` without texts that are ``und`` or score below ``least``, all columns as they were."""
+    """``df`` without texts that are ``und`` or score below ``least``, all columns as they were.
+
+    A model that knows no language rejects only texts without a letter.
+    """
     shared = _shared(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, text_col, SLICE_BYTES):
-                languages, scores = shared.value.predict(strings(part.column(text_col)))
-                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(languages, scores.tolist())], pa.bool_()))
+                texts = strings(part.column(text_col))
+                if shared.value.languages:
+                    languages, scores = shared.value.predict(texts)
+                    keep = [x != UNKNOWN and s >= least for x, s in zip(languages, scores.tolist())]
+                else:
+                    keep = [bool(t and LETTER.search(t)) for t in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

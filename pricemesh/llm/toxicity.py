@@ -73,6 +73,11 @@ class ToxicityModel:
         self.maybe = np.zeros(1 << BITS, dtype=bool)
         self.maybe[self.hashes >> np.uint64(64 - BITS)] = True
 
+    @property
+    def learned(self) -> bool:
+        """Whether any n-gram counts; otherwise all texts score alike and none can be called toxic."""
+        return bool(np.any(self.weights))
+
     def present(self, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, feature) pairs."""
         pairs, owner = [], owners(folded)
@@ -98,7 +103,8 @@ class ToxicityModel:
 def fit(texts: list[str | None], labels: np.ndarray, prior: float, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Fit on a labelled sample; ``prior`` is the share of label 1 among all labelled rows.
 
-    With one class only, or no rows at all, the model is that constant.
+    With one class only, or no rows at all, the model is that constant; it has
+    learned nothing, and no text is toxic by it.
     """
     labels = np.asarray(labels, dtype=np.float64)
     nothing = np.empty(0, dtype=np.uint64)
@@ -235,7 +241,12 @@ def score_toxicity(df: DataFrame, id_col: str, text_col: str, model: ToxicityMod
 
 
 def drop_toxic(df: DataFrame, text_col: str, model: ToxicityModel, threshold: float) -> DataFrame:
-    """``df`` without rows that score ``threshold`` or more, all columns as they were."""
+    """``df`` without rows that score ``threshold`` or more, all columns as they were.
+
+    A model that has learned nothing rejects nothing.
+    """
+    if not model.learned:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -208,6 +209,34 @@ def test_vector_query_finds_every_planted_pair(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("case", ["no label", "null labels", "labels of the held-out fold", "one class", "labels of unknown documents"])
+def test_no_document_is_toxic_where_nothing_is_learned(spark, folder, tmp_path, case):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    rows = {
+        "no label": labels.limit(0),
+        "null labels": labels.withColumn("toxic", F.lit(None).cast("int")),
+        "labels of the held-out fold": labels.filter(queries.fold(4) == 2),
+        "one class": labels.withColumn("toxic", F.lit(1)),
+        "labels of unknown documents": labels.withColumn("doc_id", -1 - F.col("doc_id")).withColumn("toxic", (F.col("doc_id") % 2 == 0).cast("int")),
+    }[case]
+    rows.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+    assert [tuple(r) for r in queries.op10_toxicity(spark, str(tmp_path)).groupBy("predicted").count().collect()] == [(0, docs.count())]
+
+
+@pytest.mark.parametrize("lang", ["cast(null as string)", "if(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, 'en', null)"])
+def test_only_texts_without_a_letter_go_where_no_language_is_learned(spark, folder, lang):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.expr(lang))
+    odd = docs.limit(4).withColumn("text", F.element_at(F.array(F.lit("12 ??"), F.lit(""), F.lit(None), F.lit("é 1")), (F.row_number().over(Window.orderBy("doc_id"))).cast("int")))
+    every = docs.unionByName(odd)
+    kept = corpus_pipeline.keep_languages(spark, every, folder)
+    want = [r for r in every.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert len(want) > docs.count() and sorted(map(repr, kept.collect())) == sorted(map(repr, want))
+
+
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
