@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pricemesh.llm import jaccard, neardup_vectors, queries, shards, urlfilter, warc
+from pricemesh.llm import fmindex, jaccard, neardup_vectors, pieces, queries, shards, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -257,3 +258,59 @@ def test_pipeline_stages(spark, folder):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def covered(text, items, window=13):
+    """Words of a text, and how many of them lie in a window of the benchmark."""
+    w = fmindex.words_of(text)
+    hit = [0] * len(w)
+    for n, known in items.items():
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in known:
+                hit[i : i + n] = [1] * n
+    return len(w), sum(hit)
+
+
+def test_pipeline_stages_keep_exactly_the_rows_of_a_plain_version(spark, folder):
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    model = queries.toxicity_model(spark, folder)
+    windows = {}
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        v = fmindex.words_of(r["text"])
+        n = min(13, len(v))
+        windows.setdefault(n, set()).update(tuple(v[i : i + n]) for i in range(len(v) - n + 1) if n)
+    windows.pop(0, None)
+
+    def clean(text):
+        n, hit = covered(text, windows)
+        return not (hit > 0 and 20 * hit >= n)
+
+    def first_of_each(rows):
+        first = {c for _, _, c in brute_jaccard([(r["doc_id"], r["text"]) for r in rows])}
+        return [r for r in rows if r["doc_id"] in first]
+
+    plain = {
+        "toxicity": lambda rows: [r for r in rows if model.score([r["text"]])[0] < queries.TOXICITY.threshold],
+        "language": lambda rows: [r for r in rows if any(c.isalpha() for c in r["text"] or "")],
+        "jaccard": first_of_each,
+        "decontamination": lambda rows: [r for r in rows if clean(r["text"])],
+    }
+    counts = [now.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = now.collect()
+        now = stage(spark, now, folder).localCheckpoint()
+        assert sorted(map(repr, now.collect())) == sorted(map(repr, plain[name](rows))), name
+        counts.append(now.count())
+    assert counts[-1] > 0
+    library = pieces.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model")).library
+    got = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, now, folder).collect()}
+    rows = now.collect()
+    assert sorted(got) == sorted(r["doc_id"] for r in rows)
+    for r in rows:
+        text = r["text"] or ""
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert got[r["doc_id"]]["n_tokens"] == len(ids) and np.frombuffer(got[r["doc_id"]]["ids"], "<u4").tolist() == ids
+        if "▁" not in text:  # else a piece does not tell blanks from this sign
+            ends = np.cumsum([1 if library.is_byte(i) else len(library.id_to_piece(i).replace("▁", " ").encode()) for i in ids[1:-1]])
+            ends = np.maximum(ends - 1, 0).tolist()  # the blank put in front
+            assert list(got[r["doc_id"]]["begins"]) == [0, *([0] + ends)[:-1][: len(ends)], *ends[-1:]] and list(got[r["doc_id"]]["ends"]) == [0, *ends, *ends[-1:]]
