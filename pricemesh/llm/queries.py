@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemesh.llm import fmindex, jaccard, langid, neardup_vectors, pieces, planes, shards, toxicity, urlfilter, warc
+from pricemesh.llm import curriculum, fmindex, jaccard, langid, neardup_vectors, pieces, planes, shards, toxicity, urlfilter, warc
 from pricemesh.llm.common import table
 
 SHARDS = 24
@@ -116,10 +116,16 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.lit(model.learned) & (F.col("score") >= TOXICITY.threshold), 1).otherwise(0).alias("predicted"))
 
 
+def op11_curriculum(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to three halves of their words, in training order."""
+    mixed = curriculum.mix(table(spark, folder, "documents", "doc_id", "text", "source"), "doc_id", "source", "text")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_language, op5_warc, op6_sentencepiece, op7_jaccard, op8_token_files, op9_vectors, op10_toxicity)
+        for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_language, op5_warc, op6_sentencepiece, op7_jaccard, op8_token_files, op9_vectors, op10_toxicity, op11_curriculum)
     }
 
 
@@ -155,6 +161,44 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
 from firsts
 """
 
+MIX_SQL = r"""
+with rows as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
+), sources as (
+    select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from rows group by source
+), knots as (
+    select *, [3.0, 1.0, 2.0][place % 3 + 1]::double as weight, 2 * source_size as most,
+        [[0.0, 1.0], [0.0, 1.0], [0.0, 0.5, 1.0]][place % 3 + 1]::double[] as ats,
+        [[1.5, 4.5], [1.0, 1.0], [3.0, 2.0, 1.0]][place % 3 + 1]::double[] as weights,
+        [[0.0, 3.0], [0.0, 1.0], [0.0, 1.25, 2.0]][place % 3 + 1]::double[] as areas
+    from sources
+), filling as (  -- sources fill up in the order of most / weight
+    select *, coalesce(sum(most) over before, 0) as held, sum(weight) over (order by most / weight, place rows between current row and unbounded following) as left_weights
+    from knots window before as (order by most / weight, place rows between unbounded preceding and 1 preceding)
+), levels as (
+    select *, (1.5 * (select sum(size) from rows) - held)::double / left_weights as level, row_number() over (order by most / weight, place) as turn from filling
+), level as (
+    select arg_min(level, turn) as level from levels where weight * level <= most
+), targets as (
+    select *, case when weight * (select level from level) > most then most::double else weight * (select level from level) end as target from levels
+), ordered as (
+    select rows.*, source_size, target, ats, weights, areas, least(round(target)::bigint, most) as goal,
+        sum(size) over (partition by rows.source order by md5(concat_ws(':', doc_id, size)), doc_id, size rows between unbounded preceding and current row) - size as first
+    from rows join targets on rows.source is not distinct from targets.source
+), taken as (
+    select *, greatest(least(size, goal - first), 0) as once, greatest(least(size, goal - source_size - first), 0) as twice from ordered
+), begun as (
+    select *, case when once > 0 then (first::double / goal) * areas[len(areas)] when twice > 0 then ((first + source_size)::double / goal) * areas[len(areas)] end as area from taken
+), pieces as (
+    select *, least(greatest(len(list_filter(areas, lambda a: a <= area)), 1), len(ats) - 1) as k from begun
+), slopes as (
+    select *, (weights[k + 1] - weights[k]) / (ats[k + 1] - ats[k]) as slope, area - areas[k] as rest from pieces
+)
+select doc_id, size::bigint as size, source_size, target, (once + twice)::bigint as taken,
+    ats[k] + case when rest > 0 then 2 * rest / (weights[k] + sqrt(greatest(weights[k] * weights[k] + 2 * slope * rest, 0.0))) when area is not null then 0.0 end as position
+from slopes
+"""
+
 
 def oracle() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op5_warc": WARC_SQL}
+    return {"op1_url_filter": URL_SQL, "op5_warc": WARC_SQL, "op11_curriculum": MIX_SQL}
