@@ -74,7 +74,7 @@ def time_of(area: Column, knots: Column, areas: Column) -> Column:
     left, right, rest = F.element_at(knots, k), F.element_at(knots, k + 1), area - F.element_at(areas, k)
     slope = (right["weight"] - left["weight"]) / (right["at"] - left["at"])
     root = F.sqrt(F.greatest(left["weight"] * left["weight"] + 2 * slope * rest, F.lit(0.0)))
-    return left["at"] + F.when(rest > 0, 2 * rest / (left["weight"] + root)).otherwise(0.0)
+    return left["at"] + F.when(rest > 0, F.coalesce(F.try_divide(2 * rest, left["weight"] + root), F.lit(0.0))).otherwise(0.0)
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -143,11 +143,11 @@ def mix(df: DataFrame, id_col: str, source_col: str, text_col: str, config: MixC
 
     def met(epoch: Column) -> Column:
         at = epoch * F.col("source_size") + F.col("first")
-        area = at / F.col("goal") * F.element_at("areas", -1)
+        area = at / F.greatest(F.col("goal"), F.lit(1)) * F.element_at("areas", -1)
         return F.struct(time_of(area, F.col("knots"), F.col("areas")).alias("position"), F.greatest(F.least(F.col("size"), F.col("goal") - at), F.lit(0)).cast("long").alias("words"))
 
     every = F.transform(F.sequence(F.lit(0), F.lit(config.repeats - 1)), met)
-    placed = placed.withColumn("placements", F.when(F.col("goal") > 0, F.filter(every, lambda p: p["words"] > 0)).otherwise(F.filter(every, lambda p: F.lit(False))))
+    placed = placed.withColumn("placements", F.filter(every, lambda p: p["words"] > 0))
     out = placed.select(
         F.col("id").cast(kind).alias(id_col), "source", "size", "source_size", "target",
         reduce(lambda a, k: a + F.coalesce(F.get("placements", F.lit(k))["words"], F.lit(0)), range(config.repeats), F.lit(0)).cast("long").alias("taken"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemesh.llm import curriculum, fmindex, jaccard, langid, neardup_vectors, pieces, planes, shards, toxicity, urlfilter, warc
+from pricemesh.llm import conversations, curriculum, fmindex, jaccard, langid, neardup_vectors, pieces, planes, shards, toxicity, urlfilter, warc
 from pricemesh.llm.common import table
 
 SHARDS = 24
@@ -122,10 +122,19 @@ def op11_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations damaged by a fixed rule, then repaired at the least cost."""
+    rows = conversations.damage(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text")
+    repairs = conversations.summarise(rows)
+    digests = conversations.transcripts(rows, repairs).withColumnRenamed("conv_id", "conv")
+    both = repairs.join(digests, F.col("conv_id").eqNullSafe(F.col("conv")))
+    return both.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_language, op5_warc, op6_sentencepiece, op7_jaccard, op8_token_files, op9_vectors, op10_toxicity, op11_curriculum)
+        for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_language, op5_warc, op6_sentencepiece, op7_jaccard, op8_token_files, op9_vectors, op10_toxicity, op11_curriculum, op12_conversations)
     }
 
 
