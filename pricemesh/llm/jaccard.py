@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-Documents are sets of hashed word shingles.  All shingles have one global order,
-rare ones first.  If two sets reach the threshold, their prefixes of length
+Documents are sets of word shingles, known by 128-bit digests made from digests of
+their words; the join goes by the first half, sets are compared by the whole.  All
+shingles have one global order, rare ones first.  If two sets reach the threshold, their prefixes of length
 ``n - need(n) + l`` share at least ``l`` tokens.  Each document picks its own
 ``l`` by the estimated cost of its candidates: a longer prefix costs a few more
 tokens, and a partner must then share correspondingly more of them before the
@@ -35,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricemesh.llm.common import MULTIPLIER, mixed, partitions, runs, span_hashes, strings, text_slices, written
+from pricemesh.llm.common import MULTIPLIER, mixed, partitions, runs, strings, text_slices, written
+from pricemesh.llm.segments import SegmentTable
 from pricemesh.operators.components import connected_components
 
 SLICE_BYTES = 2 << 20
@@ -57,8 +59,28 @@ class JaccardConfig:
     salts: int = 256             # parts that the list of a very frequent token is counted in
 
 
+def _digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = b"".join(map(xxhash.xxh3_128_digest, words))
+    return np.ones(len(words), dtype=np.int64), np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+
+
+WORDS = SegmentTable(_digests, 12 << 20)  # 128-bit digests of words
+
+
+def _sorted(lanes: np.ndarray) -> np.ndarray:
+    """Distinct rows of two 64-bit lanes, ordered by the first lane, then the second."""
+    out = lanes[np.argsort(lanes[:, 0], kind="stable")]
+    same = out[1:, 0] == out[:-1, 0]
+    if not same.any():
+        return out
+    if (same & (out[1:, 1] != out[:-1, 1])).any():
+        out = lanes[np.lexsort((lanes[:, 1], lanes[:, 0]))]
+        same = (out[1:] == out[:-1]).all(axis=1)
+    return out[np.concatenate([[True], ~same])]
+
+
 def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of every text.
+    """Sorted distinct 128-bit shingle digests of every text, as two 64-bit lanes.
 
     A text of fewer words is one shingle of all its words; without words, or
     null, it is empty.
@@ -70,25 +92,37 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     borders = np.concatenate([[0], np.searchsorted(begin, ends)]).tolist()
     out = []
     with np.errstate(over="ignore"):
-        h = mixed(span_hashes(data, begin, end))
+        h = WORDS(data, begin, end)[1]
         m = max(0, len(h) - words + 1)
-        every = np.zeros(m, dtype=np.uint64)
+        every = np.zeros((m, 2), dtype=np.uint64)
         for k in range(words):
             every = every * MULTIPLIER + h[k : k + m]
         every = mixed(every + np.uint64(words))
         for a, b in zip(borders, borders[1:]):
             if b - a >= words:
-                out.append(np.unique(every[a : b - words + 1]))
+                out.append(_sorted(every[a : b - words + 1]))
             elif b > a:
-                one = np.uint64(0)
+                one = np.zeros(2, dtype=np.uint64)
                 for x in h[a:b]:
                     one = one * MULTIPLIER + x
-                out.append(mixed(np.array([one + np.uint64(b - a)], dtype=np.uint64)))
+                out.append(mixed((one + np.uint64(b - a)).reshape(1, 2)))
             else:
-                out.append(np.empty(0, dtype=np.uint64))
+                out.append(np.empty((0, 2), dtype=np.uint64))
     return out
 
 
+def common(u: np.ndarray, v: np.ndarray) -> int:
+    """How many rows two sorted sets share."""
+    both = np.concatenate([u, v])
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    same = both[1:, 0] == both[:-1, 0]
+    if (same & (both[1:, 1] != both[:-1, 1])).any():  # another shingle with the same first lane
+        both = np.concatenate([u, v])
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        same = (both[1:] == both[:-1]).all(axis=1)
+    return int(np.count_nonzero(same))
+
+
 PROFILE = "doc_id long, n_shingles long, digest binary, block int, counts binary"
 COUNT_BLOCK = 1 << 14
 
@@ -102,7 +136,7 @@ def _profile(docs: DataFrame, config: JaccardConfig) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(strings(part.column("text")), config.words)
-                counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                counts += np.bincount((np.concatenate(sets)[:, 0] >> shift).astype(np.int64), minlength=len(counts)).astype(np.int32)
                 n = len(sets)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -140,7 +174,7 @@ def _count_table(profile: DataFrame, config: JaccardConfig) -> np.ndarray:
 
 
 def prefix(tokens: np.ndarray, table: np.ndarray, usual: float, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray, int]:
-    """(prefix tokens in global order, their estimated counts, matches asked for) of one sorted set.
+    """(prefix tokens in global order, their estimated counts, matches asked for) of one set of tokens.
 
     ``usual`` is the mean of the count table.
     """
@@ -179,7 +213,7 @@ def _postings(docs: DataFrame, table: np.ndarray, config: JaccardConfig) -> Data
                 found = []
                 for i, s in zip(ids, shingle_sets(strings(part.column("text")), config.words)):
                     if len(s) >= least and i is not None:
-                        found.append((i, len(s), *prefix(s, shared.value, usual, config)))
+                        found.append((i, len(s), *prefix(s[:, 0], shared.value, usual, config)))
                 if not found:
                     continue
                 sizes = np.array([len(f[2]) for f in found])
@@ -268,10 +302,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, config: JaccardConfig) -> DataF
         for batch in batches:
             keep, overlap = [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([u, v])
-                both.sort(kind="stable")
-                inter = int(np.count_nonzero(both[1:] == both[:-1]))
+                u, v = (np.frombuffer(z, dtype=np.uint64).reshape(-1, 2) for z in (x, y))
+                inter = common(u, v)
                 overlap.append(inter)
                 keep.append(config.under * inter >= config.over * (len(u) + len(v) - inter))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap, pa.int64()), pa.array(keep, pa.bool_())], ["a", "b", "inter", "linked"])

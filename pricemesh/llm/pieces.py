@@ -13,16 +13,18 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricemesh.llm.common import ranges, span_hashes, strings, text_slices
+from pricemesh.llm.common import strings, text_slices
+from pricemesh.llm.segments import SegmentTable
 
-SLICE_BYTES = 2 << 20
-CACHED_SEGMENTS = 1_500_000  # segments that one Python worker remembers
+SLICE_BYTES = 512 << 10
+CACHED_BYTES = 24 << 20  # of encoded segments that one Python worker remembers
 META = "▁"              # how the models write a blank
 
 
@@ -111,7 +113,7 @@ class Normalizer:
 class PieceEncoder:
     """Encoder for one model file."""
 
-    def __init__(self, path: str, cached: int = CACHED_SEGMENTS):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -139,15 +141,7 @@ class PieceEncoder:
             [1 if p.type == kinds.BYTE else -1 if p.type == kinds.UNKNOWN else 0 if p.type == kinds.CONTROL else len(p.piece.replace(META, " ").encode()) for p in model.pieces], dtype=np.int64
         )
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self.cached = cached
-        self._reset()
-
-    def _reset(self) -> None:
-        self.keys = np.empty(0, dtype=np.uint64)
-        self.starts = np.empty(0, dtype=np.int64)
-        self.counts = np.empty(0, dtype=np.int64)
-        self.flat = np.empty(0, dtype="<i4")
-        self.sizes = np.empty(0, dtype=np.int32)
+        self.table = SegmentTable(self._encode, cached)
 
     def _sizes(self, segment: bytes, ids: list[int]) -> list[int]:
         sizes = [int(self.lengths[i]) for i in ids]
@@ -158,25 +152,18 @@ class PieceEncoder:
                 sizes[k] = len(pieces[k].surface.encode())
         return sizes
 
-    def _learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
+    def _encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of normalised segments, as the two columns of one array."""
         found = self.bare.encode([s.decode("utf-8") for s in segments], num_threads=1)
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.array([i for ids in found for i in ids], dtype="<i4")
-        sizes = self.lengths[flat]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(counts.sum()))
+        sizes = self.lengths[ids]
         if (sizes < 0).any():
-            sizes = np.array([n for s, ids in zip(segments, found) for n in self._sizes(s, ids)], dtype=np.int64)
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.keys = merged[order]
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
-        self.flat = np.concatenate([self.flat, flat])
-        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+            sizes = np.array([n for s, i in zip(segments, found) for n in self._sizes(s, i)], dtype=np.int64)
+        return counts, np.stack([ids, sizes.astype(np.int32)], axis=1)
 
     def _segments(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids and piece sizes (in bytes, blanks as one) of normalised, non-empty texts."""
-        if len(self.keys) > self.cached:
-            self._reset()
         whole = b"".join(texts)
         data = np.frombuffer(whole, dtype=np.uint8)
         ends = np.cumsum([len(t) for t in texts])
@@ -191,20 +178,10 @@ class PieceEncoder:
             cut[np.concatenate([[0], ends[:-1]])] = True
         begin = np.flatnonzero(cut)
         end = np.concatenate([begin[1:], [len(data)]]) if len(begin) else begin
-        distinct, first, inverse = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        fresh = np.ones(len(distinct), dtype=bool)
-        inside = at < len(self.keys)
-        fresh[inside] = self.keys[at[inside]] != distinct[inside]
-        if fresh.any():
-            who = first[fresh]
-            self._learn(distinct[fresh], [whole[b:e] for b, e in zip(begin[who].tolist(), end[who].tolist())])
-            at = np.searchsorted(self.keys, distinct)
-        at = at[inverse]
-        take = ranges(self.starts[at], self.counts[at])
-        upto = np.concatenate([[0], np.cumsum(self.counts[at])])
+        counts, values = self.table(data, begin, end)
+        upto = np.concatenate([[0], np.cumsum(counts)])
         borders = upto[np.searchsorted(begin, ends)[:-1]]
-        return np.split(self.flat[take], borders), np.split(self.sizes[take], borders)
+        return np.split(values[:, 0], borders), np.split(values[:, 1], borders)
 
     def _whole(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """A normalised text that must not be cut."""
@@ -229,8 +206,11 @@ class PieceEncoder:
             yield raw[at : at + n]
             at += n
 
-    def encode(self, texts: list[str], bos: bool = True, eos: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, begins, ends) of every text; begins and ends are bytes of the original.  End symbols are empty spans at the edges."""
+    def encode(self, texts: list[str], bos: bool = True, eos: bool = True, spans: bool = True) -> list[tuple[np.ndarray, ...]]:
+        """(ids, begins, ends) of every text, or (ids,) without spans; begins and ends are bytes of the original.
+
+        End symbols are empty spans at the edges.
+        """
         norm: list[tuple[bytes, np.ndarray | None]] = []
         for t in texts:
             if not t:
@@ -249,6 +229,9 @@ class PieceEncoder:
         out = []
         for k, (n, align) in enumerate(norm):
             i, sizes = ids[k] if k in ids else self._whole(n) if n else nothing
+            if not spans:
+                out.append((np.concatenate([[self.bos] if bos else [], i, [self.eos] if eos else []]).astype("<i4"),))
+                continue
             ends = np.cumsum(sizes, dtype=np.int64)
             begins = ends - sizes
             if align is not None:
@@ -276,12 +259,13 @@ def encoder(path: str) -> PieceEncoder:
 RESULT = "ids binary, begins array<int>, ends array<int>, decoded string"
 
 
-def encode_pieces(df: DataFrame, id_col: str, text_col: str, model: str, bos: bool = True, eos: bool = True) -> DataFrame:
+def encode_pieces(df: DataFrame, id_col: str, text_col: str, model: str, bos: bool = True, eos: bool = True, decode: bool = True) -> DataFrame:
     """One row per input row: ``id_col``, ids (little-endian 32-bit), begins, ends (bytes of the original text) and decoded text.
 
     ``model`` is the path of a model file that every executor has.  A null text is
     an empty one: nothing but the end symbols.  Ids may repeat or be null; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result.  A very long text is
+    encoded whole, in a batch of its own.  ``decode`` False leaves ``decoded`` null.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -298,7 +282,7 @@ def encode_pieces(df: DataFrame, id_col: str, text_col: str, model: str, bos: bo
                         pa.array([f[0].tobytes() for f in found], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[1] for f in found]))),
                         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[2] for f in found]))),
-                        pa.array(coder.decode([f[0] for f in found]), pa.string()),
+                        pa.array(coder.decode([f[0] for f in found]), pa.string()) if decode else pa.nulls(len(found), pa.string()),
                     ],
                     [id_col, "ids", "begins", "ends", "decoded"],
                 )

@@ -27,12 +27,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricemesh.llm.common import partitions, ranges, runs, scratch, span_hashes, strings, text_slices, written
+from pricemesh.llm.common import partitions, runs, scratch, strings, text_slices, written
+from pricemesh.llm.segments import SegmentTable
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
-SLICE_BYTES = 4 << 20
-CACHED_WORDS = 2_500_000  # words whose ids one Python worker remembers, about 40 bytes each
+SLICE_BYTES = 1 << 20
+CACHED_BYTES = 64 << 20  # of encoded words that one Python worker remembers
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -157,14 +158,13 @@ class WordEncoder:
     treated so is read from its definition; any other one gets whole texts.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cached = cached
+        self.table = SegmentTable(self._encode, cached)
         self.by_word = self._known(json.loads(self.tokenizer.to_str()))
-        self._reset()
 
     @staticmethod
     def _known(spec: dict) -> bool:
@@ -179,12 +179,6 @@ class WordEncoder:
             and all("<" in t["content"] and not set(" \t\r\n") & set(t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
         )
 
-    def _reset(self) -> None:
-        self.keys = np.empty(0, dtype=np.uint64)  # 64-bit hashes of the words known so far, sorted
-        self.starts = np.empty(0, dtype=np.int64)
-        self.counts = np.empty(0, dtype=np.int64)
-        self.flat = np.empty(0, dtype="<u4")
-
     def _pieces(self, words: list[str]) -> list[list[int]]:
         tokenize, plain = self.model.tokenize, PLAIN_WORD.fullmatch
 
@@ -206,46 +200,27 @@ class WordEncoder:
             out[k] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         collecting = gc.isenabled()
         gc.disable()  # very many small lists, none of them in a cycle
         try:
-            ids = self._pieces(words)
+            ids = self._pieces([w.decode() for w in words])
         finally:
             if collecting:
                 gc.enable()
         counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(counts.sum()))
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.keys = merged[order]
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
-        self.flat = np.concatenate([self.flat, flat])
+        return counts, np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(counts.sum()))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.keys) > self.cached:
-            self._reset()
         raw = [t.encode("utf-8") for t in texts]
         data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
         begin, end = runs(~BLANK[data])
-        distinct, first, inverse = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        fresh = np.ones(len(distinct), dtype=bool)
-        inside = at < len(self.keys)
-        fresh[inside] = self.keys[at[inside]] != distinct[inside]
-        if fresh.any():
-            who = first[fresh]
-            whole = data.tobytes()
-            self._learn(distinct[fresh], [whole[b:e].decode() for b, e in zip(begin[who].tolist(), end[who].tolist())])
-            at = np.searchsorted(self.keys, distinct)
-        at = at[inverse]
-        ids = self.flat[ranges(self.starts[at], self.counts[at])]
+        counts, ids = self.table(data, begin, end)
         # Where each text's words, and so its ids, begin.
         ends = np.cumsum([len(r) + 1 for r in raw])
-        upto = np.concatenate([[0], np.cumsum(self.counts[at])])
+        upto = np.concatenate([[0], np.cumsum(counts)])
         return np.split(ids, upto[np.searchsorted(begin, ends)[:-1]]) if texts else []
 
 

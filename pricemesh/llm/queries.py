@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemesh.llm import conversations, curriculum, fmindex, jaccard, langid, neardup_vectors, pieces, planes, shards, toxicity, urlfilter, warc
+from pricemesh.llm import alignment, conversations, curriculum, fmindex, jaccard, langid, neardup_vectors, pieces, planes, shards, toxicity, urlfilter, warc
 from pricemesh.llm.common import table
 
 SHARDS = 24
@@ -131,10 +131,16 @@ def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return alignment.align_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups=False).drop("groups")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_language, op5_warc, op6_sentencepiece, op7_jaccard, op8_token_files, op9_vectors, op10_toxicity, op11_curriculum, op12_conversations)
+        for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_language, op5_warc, op6_sentencepiece, op7_jaccard, op8_token_files, op9_vectors, op10_toxicity, op11_curriculum, op12_conversations, op13_alignment)
     }
 
 

@@ -5,12 +5,17 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+import sentencepiece
+from tokenizers import Tokenizer
 
-from pricemesh.llm import conversations, curriculum, queries
+from pricemesh.llm import alignment, conversations, curriculum, jaccard, pieces, planes, queries
+from pricemesh.llm.common import span_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -207,3 +212,101 @@ def test_conversations_of_odd_rows(spark, seed):
         assert hashlib.sha256("\n".join(lines.get(k, [])).encode()).hexdigest() == v[-1]
     assert conversations.summarise(damaged.limit(0)).collect() == []
     assert conversations.transcripts(damaged.limit(0), conversations.summarise(damaged.limit(0))).collect() == []
+
+
+# ---------------------------------------------------------------- alignment
+
+A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def plain_alignment(texts):
+    """The contract in plain Python: rows (n_a, n_b, n_groups, n_links, n_best, count_sum, groups)."""
+    a_coder = Tokenizer.from_file(A_PATH)
+    a_coder.encode_special_tokens = True
+    b_coder = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+    byte_of = alignment.BYTE_OF
+    rows, links = [], []
+    for t in texts:
+        ids_a = a_coder.encode(" " + t, add_special_tokens=False).ids if t else []
+        ids_b = b_coder.encode(t) if t else []
+        bytes_a = [bytes(byte_of[c] for c in a_coder.id_to_token(i)) for i in ids_a]
+        bytes_b = [bytes([int(p[3:5], 16)]) if b_coder.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b_coder.id_to_piece(i)) for i in ids_b)]
+        if not t or not b"".join(bytes_a) == b"".join(bytes_b) == (" " + t).encode():
+            rows.append((0, 0, 0, ""))
+            links.append([])
+            continue
+        ends_a, ends_b = (list(itertools.accumulate(map(len, x))) for x in (bytes_a, bytes_b))
+        both = sorted(set(ends_a) & set(ends_b))
+        links.append([(ids_a[ends_a.index(e)], ids_b[ends_b.index(e)]) for e in both])
+        groups, i, j = [], 0, 0
+        for e in both:
+            x, y = i, j
+            i, j = ends_a.index(e) + 1, ends_b.index(e) + 1
+            groups.append(",".join(map(str, ids_a[x:i])) + "|" + ",".join(map(str, ids_b[y:j])))
+        rows.append((len(ids_a), len(ids_b), len(groups), ";".join(groups)))
+    counts = Counter(p for x in links for p in x)
+    best = {}
+    for (_, b), n in counts.items():
+        best[b] = max(best.get(b, 0), n)
+    return [(a, b, g, len(x), sum(counts[p] == best[p[1]] for p in x), sum(counts[p] for p in x), s) for (a, b, g, s), x in zip(rows, links)]
+
+
+def test_alignment_query(spark, folder):
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted((i, *r[:-1], hashlib.sha256(r[-1].encode()).hexdigest() if r[0] else "") for (i, _), r in zip(docs, plain_alignment([t for _, t in docs])))
+    assert sorted(map(tuple, queries.op13_alignment(spark, folder).collect())) == want
+
+
+THUE = ["a"]
+for _ in range(10):
+    THUE.append(THUE[-1] + THUE[-1].translate({97: 98, 98: 97}))
+TWINS = (THUE[-1], THUE[-1].translate({97: 98, 98: 97}))  # words with equal polynomial hashes
+ODD_TEXTS = [
+    None, "", " ", "a", "  two  blanks ", "tab\there\nline\r\n", "meta ▁ symbol", "<|endoftext|> <s> </s> <unk> <0x41>", "é́ ½ ² Ⅷ 〇 日本語 テキスト", "no break space 　 x  y \u0085 z",
+    "don't we'll I'M 1234 12.5e-3", "emoji 👩‍👩‍👧 ok", "nul \x00 byte \x1c sep \x7f del", " ".join(TWINS), TWINS[0], TWINS[1], "aa" * 30_000, "x " * 40_000, "same text", "same text", "Ça va? «Oui», d'accord…", "﻿bom", " private",
+]
+
+
+@pytest.mark.parametrize("pairs", [alignment.SLICE_PAIRS, 400])
+def test_alignment_of_odd_rows(spark, pairs, monkeypatch):
+    r = random.Random(2)
+    texts = ODD_TEXTS + ["".join(r.choice("ab c.é ▁\n '日") for _ in range(r.randint(1, 60))) for _ in range(150)]
+    rows = [(r.choice([None, k, 3]), t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(*x, 1, "x") for x in rows], "part long, text string, n int, codes string").repartition(3)
+    out = alignment.align_tokens(df, "part", "text", A_PATH, B_PATH, slice_pairs=pairs)
+    got = sorted((tuple(x)[:7] + (x["groups"], x["groups_sha256"]) for x in out.collect()), key=repr)
+    want = sorted(((i, *x, hashlib.sha256(x[-1].encode()).hexdigest() if x[0] else "") for (i, _), x in zip(rows, plain_alignment(texts))), key=repr)
+    assert got == want
+    assert alignment.align_tokens(df.limit(0), "part", "text", A_PATH, B_PATH).count() == 0
+
+
+def test_overlapping_tokens_expand_within_their_group():
+    a_starts, a_ends, b_starts, b_ends = (np.array(x) for x in ([0, 2, 5], [2, 5, 6], [0, 3, 5], [3, 5, 6]))
+    assert list(zip(*map(list, alignment.overlaps(a_starts, a_ends, b_starts, b_ends)))) == [(0, 0), (1, 0), (1, 1), (2, 2)]
+    order, group = alignment.coalesce(np.concatenate([a_starts, b_starts]), np.concatenate([a_ends, b_ends]), np.repeat([0, 1], 3))
+    assert order.tolist() == [0, 3, 1, 4, 2, 5] and group.tolist() == [0, 0, 0, 0, 1, 1]
+
+
+# ---------------------------------------------------------------- words with equal hashes
+
+def test_equal_hashes_do_not_mix_words(spark):
+    data = np.frombuffer(" ".join(TWINS).encode(), dtype=np.uint8)
+    begin, end = np.array([0, len(TWINS[0]) + 1]), np.array([len(TWINS[0]), len(data)])
+    assert len(set(span_hashes(data, begin, end).tolist())) == 1  # else this test tests nothing
+    library = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+    coder = pieces.PieceEncoder(B_PATH, cached=1 << 12)
+    word = planes.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cached=1 << 12)
+    for texts in ([" ".join(TWINS)], list(TWINS), [TWINS[1]], [TWINS[0]], ["q" + str(k) for k in range(3000)], [TWINS[1], "x", TWINS[0]]):
+        assert [f[0].tolist() for f in coder.encode(texts)] == library.encode(texts, add_bos=True, add_eos=True)
+        assert [f.tolist() for f in word.encode(texts)] == [word.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        for k in (0, 1):
+            assert all((x[0] == y[0]).all() for x, y in zip(coder.encode(texts, spans=False), coder.encode(texts)))
+    sets = jaccard.shingle_sets([TWINS[0], TWINS[1], " ".join(TWINS)])
+    assert sets[0].tolist() != sets[1].tolist()
+    df = spark.createDataFrame([(1, TWINS[0]), (2, TWINS[1]), (3, TWINS[0])], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_groups(df, "doc_id", "text").collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_second_lanes_tell_shingles_apart():
+    u, v = (np.array(x, dtype=np.uint64) for x in ([[5, 1], [5, 2], [7, 7]], [[5, 2], [5, 3], [7, 7]]))
+    assert jaccard.common(u, v) == 2 and jaccard._sorted(np.concatenate([v, u])).tolist() == [[5, 1], [5, 2], [5, 3], [7, 7]]
