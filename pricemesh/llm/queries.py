@@ -110,10 +110,10 @@ def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    """Toxicity of every document; none is predicted toxic where the labels teach nothing."""
+    """Toxicity of every document; all score 0 where the labels teach nothing."""
     model = toxicity_model(spark, folder)
     found = toxicity.score_toxicity(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", model)
-    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.lit(model.learned) & (F.col("score") >= TOXICITY.threshold), 1).otherwise(0).alias("predicted"))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= TOXICITY.threshold, 1).otherwise(0).alias("predicted"))
 
 
 def op11_curriculum(spark: SparkSession, folder: str) -> DataFrame:

@@ -103,14 +103,13 @@ class ToxicityModel:
 def fit(texts: list[str | None], labels: np.ndarray, prior: float, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Fit on a labelled sample; ``prior`` is the share of label 1 among all labelled rows.
 
-    With one class only, or no rows at all, the model is that constant; it has
-    learned nothing, and no text is toxic by it.
+    With one class only, or no rows at all, nothing can be learned: the model scores
+    every text 0 (to 15 decimals), and no text is toxic by it.
     """
     labels = np.asarray(labels, dtype=np.float64)
     nothing = np.empty(0, dtype=np.uint64)
     if not len(labels) or labels.min() == labels.max():
-        share = min(max(prior, 1e-3), 1 - 1e-3)
-        return ToxicityModel(config.orders, nothing, np.empty(0), float(np.log(share / (1 - share))))
+        return ToxicityModel(config.orders, nothing, np.empty(0), -40.0)
     folded = [fold(t) for t in texts]
     n1, n0 = labels.sum(), len(labels) - labels.sum()
 
@@ -204,20 +203,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """Fit on at most about ``rows_per_class`` labelled rows of each class, chosen by a hash of the id.
 
     Only the chosen ids meet the documents; they are few by the config's bound, so
-    they are broadcast and no text is shuffled.  Rows with a null label or id are
-    no training rows; a null text is an empty one.
+    they are broadcast and no text is shuffled but theirs.  Rows with a null label or
+    id are no training rows; a null text is an empty one.  An id with several labels
+    is toxic if any of them says so; of an id with several texts the least one counts.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null").groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if not total:
         return fit([], np.empty(0), 0.5, config)
-    share = F.lit(0)
-    for y, n in counts.items():
-        share = F.when(F.col("y") == y, F.lit(int(min(1.0, config.rows_per_class / n) * (1 << 20)))).otherwise(share)
-    # The hash keeps the expected number; the limit bounds it also where ids repeat.
-    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).limit(3 * config.rows_per_class)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").limit(6 * config.rows_per_class).select("text", "y").toArrow()
+    # The hash keeps the expected number of each class; twice that is a bound it does not reach.
+    chosen = None
+    for y, n in sorted(counts.items()):
+        share = int(min(1.0, config.rows_per_class / n) * (1 << 20))
+        some = known.filter((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)).orderBy(F.xxhash64("id"), "id").limit(2 * config.rows_per_class)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    sample = found.groupBy("id", "y").agg(F.min("text").alias("text")).toArrow()
     texts, y = sample["text"].to_pylist(), sample["y"].to_pylist()
     order = sorted(range(len(y)), key=lambda k: (y[k], texts[k] or ""))
     return fit([texts[k] for k in order], np.array([y[k] for k in order]), counts.get(1, 0) / total, config)

@@ -41,7 +41,7 @@ class Rule:
 
 
 def digest_file(rules: list[Rule]) -> bytes:
-    """Header, sorted keys, verdicts, offsets and strings.  Of equal rules the first one counts."""
+    """Header, sorted keys, offsets, path lengths and label counts of the rules, verdicts and strings.  Of equal rules the first one counts."""
     unique = {}
     for r in rules:
         if r.verdict not in ("allow", "block"):
@@ -50,7 +50,8 @@ def digest_file(rules: list[Rule]) -> bytes:
     pairs = sorted((xxhash.xxh64_intdigest(k), k, r.verdict == "block") for k, r in unique.items())
     blob = b"".join(k for _, k, _ in pairs)
     lengths = sorted({len(r.path) for r in unique.values()})
-    head = np.array([len(pairs), len(lengths), len(blob)], dtype="<u8").tobytes()
+    labels = sorted({r.host.count(".") + 1 for r in unique.values()})
+    head = np.array([len(pairs), len(lengths), len(labels)], dtype="<u8").tobytes()
     return b"".join(
         [
             MAGIC,
@@ -58,6 +59,7 @@ def digest_file(rules: list[Rule]) -> bytes:
             np.array([p[0] for p in pairs], dtype="<u8").tobytes(),
             np.concatenate([[0], np.cumsum([len(p[1]) for p in pairs])]).astype("<u8").tobytes(),
             np.array(lengths, dtype="<u8").tobytes(),
+            np.array(labels, dtype="<u8").tobytes(),
             np.array([p[2] for p in pairs], dtype="u1").tobytes(),
             blob,
         ]
@@ -77,12 +79,13 @@ class DigestArray:
         if self._map[:8] != MAGIC:
             raise ValueError(f"{path} is no rule file")
         view = memoryview(self._map)
-        n, kinds, _ = np.frombuffer(view, "<u8", 3, 8).tolist()
+        n, kinds, counts = np.frombuffer(view, "<u8", 3, 8).tolist()
         at = 32
         self.keys = np.frombuffer(view, "<u8", n, at)
         self.offsets = np.frombuffer(view, "<u8", n + 1, at := at + 8 * n)
         self.path_lengths = np.frombuffer(view, "<u8", kinds, at := at + 8 * (n + 1)).tolist()
-        self.blocks = np.frombuffer(view, "u1", n, at := at + 8 * kinds)
+        self.label_counts = np.frombuffer(view, "<u8", counts, at := at + 8 * kinds).tolist()
+        self.blocks = np.frombuffer(view, "u1", n, at := at + 8 * counts)
         self.blob = at + n
 
     def find(self, candidates: list[bytes]) -> np.ndarray:
@@ -106,12 +109,13 @@ class DigestArray:
         return self._map[self.blob + int(self.offsets[j]) : self.blob + int(self.offsets[j + 1])]
 
 
-def _candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Host suffixes at label borders and path prefixes of the lengths that rules have, longest rule first."""
-    suffixes, at = [host], host.find(".")
-    while at >= 0:
-        suffixes.append(host[at + 1 :])
-        at = host.find(".", at + 1)
+def _candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[bytes]:
+    """Host suffixes of as many labels and path prefixes of the lengths that rules have, longest rule first."""
+    suffixes, at, seen = [], len(host), 0
+    while at >= 0 and seen < labels[-1] if labels else False:
+        at, seen = host.rfind(".", 0, at), seen + 1
+        if seen in labels:
+            suffixes.append(host[at + 1 :])
     prefixes = [path[:k] for k in lengths if k <= len(path)]
     every = [(s, p) for s in suffixes for p in prefixes]
     every.sort(key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))
@@ -119,7 +123,7 @@ def _candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
 
 
 def _judge(rules: DigestArray, hosts: list[str], paths: list[str], default: str) -> tuple[list, list]:
-    groups = [_candidates(h, p, rules.path_lengths) if h else [] for h, p in zip(hosts, paths)]
+    groups = [_candidates(h, p, rules.path_lengths, rules.label_counts) if h else [] for h, p in zip(hosts, paths)]
     found = rules.find([c for g in groups for c in g])
     texts, verdicts, at = [], [], 0
     for g in groups:
@@ -160,8 +164,9 @@ def judge_urls(df: DataFrame, id_col: str, url_col: str, rules: list[Rule], defa
     A rule fits its host and all subdomains if the path starts with the rule's;
     the longest rule wins, of equally long ones that with the longer host.  Null
     urls and urls without ``://`` have an empty host and path and get ``default``.
-    Ids may repeat or be null; other columns are ignored; an empty table or an
-    empty rule list is fine.
+    Hosts and paths of any length are fine: only suffixes of as many labels and
+    prefixes of as many characters as some rule has are looked up.  Ids may repeat or
+    be null; other columns are ignored; an empty table or an empty rule list is fine.
     """
     name = publish(df.sparkSession, rules)
     host, path = split_url(url_col)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricemesh.llm import fmindex, jaccard, neardup_vectors, pieces, queries, shards, urlfilter, warc
+from pricemesh.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -47,13 +48,14 @@ def test_same_rows_as_sql(spark, folder, name):
 
 
 def test_urls(spark):
-    rows = [(1, "http://a.example.net/en/x?q#f"), (2, "HTTP://A.EXAMPLE.NET/EN/x"), (3, None), (4, "nothing"), (5, "x://b.org/fr/"), (5, "x://notorg/fr/"), (6, "http://example.com"), (7, "a://b://net/"), (8, "http://example.com/de/" + "z" * 100_000), (None, "http://net/")]
+    rows = [(1, "http://a.example.net/en/x?q#f"), (2, "HTTP://A.EXAMPLE.NET/EN/x"), (3, None), (4, "nothing"), (5, "x://b.org/fr/"), (5, "x://notorg/fr/"), (6, "http://example.com"), (7, "a://b://net/"), (8, "http://example.com/de/" + "z" * 100_000), (None, "http://net/"), (9, "http://" + "a." * 100_000 + "net/x"), (10, "http://.net/"), (11, "http://net./")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, rule string")
     got = {(r["page_id"], r["host"]): (r["path"][:8], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, "page_id", "url", queries.RULES).collect()}
     assert got == {
         (1, "a.example.net"): ("/en/x", "example.net/en/", "allow"), (2, "a.example.net"): ("/EN/x", "net/", "block"), (3, ""): ("", None, "allow"), (4, ""): ("", None, "allow"),
         (5, "b.org"): ("/fr/", "org/fr/", "allow"), (5, "notorg"): ("/fr/", None, "allow"), (6, "example.com"): ("", None, "allow"), (7, "b:"): ("//net/", None, "allow"),
         (8, "example.com"): ("/de/zzzz", "example.com/de/", "block"), (None, "net"): ("/", "net/", "block"),
+        (9, "a." * 100_000 + "net"): ("/x", "net/", "block"), (10, ".net"): ("/", "net/", "block"), (11, "net."): ("/", None, "allow"),
     }
     assert urlfilter.judge_urls(df, "page_id", "url", [], "block").filter("verdict = 'block'").count() == len(rows)
     assert urlfilter.judge_urls(df.limit(0), "page_id", "url", queries.RULES).count() == 0
@@ -180,8 +182,9 @@ def test_vectors(spark):
     df = spark.createDataFrame([(*x, "x") for x in rows], "vec_id long, embedding array<double>, kept string")
     exact = neardup_vectors.CellConfig(block=16, rows_per_cell=20, probes=None)
     assert sorted(tuple(x) for x in neardup_vectors.near_vectors(df, "vec_id", "embedding", exact).collect()) == want
-    found = neardup_vectors.near_vectors(df, "vec_id", "embedding", neardup_vectors.CellConfig(block=16, rows_per_cell=20)).collect()
-    assert 0.9 * sum(x[1] for x in want) <= sum(x["n_links"] for x in found) <= sum(x[1] for x in want)
+    assert sorted(tuple(x) for x in neardup_vectors.near_vectors(df, "vec_id", "embedding").collect()) == want
+    found = neardup_vectors.near_vectors(df, "vec_id", "embedding", neardup_vectors.CellConfig(block=16, rows_per_cell=20, probes=3)).collect()
+    assert 0.9 * sum(x[1] for x in want) <= sum(x["n_links"] for x in found) <= sum(x[1] for x in want)  # the lossy option
     assert neardup_vectors.near_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
@@ -189,7 +192,7 @@ def test_vector_query_recall(spark):
     folder = "/root/testdata/sf0.1"
     x, _ = neardup_vectors.unit_rows([r["embedding"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()])
     links = int((x @ x.T >= 0.9).sum()) - len(x)
-    assert 0.98 * links <= sum(r["n_links"] for r in queries.op9_vectors(spark, folder).collect()) <= links
+    assert sum(r["n_links"] for r in queries.op9_vectors(spark, folder).collect()) == links
 
 
 def test_vector_query_finds_every_planted_pair(spark, tmp_path):
@@ -225,7 +228,8 @@ def test_no_document_is_toxic_where_nothing_is_learned(spark, folder, tmp_path,
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
-    assert [tuple(r) for r in queries.op10_toxicity(spark, str(tmp_path)).groupBy("predicted").count().collect()] == [(0, docs.count())]
+    found = queries.op10_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == docs.count() and all(r["predicted"] == (r["score"] >= 0.3) == 0 for r in found)
 
 
 @pytest.mark.parametrize("lang", ["cast(null as string)", "if(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, 'en', null)"])
@@ -298,7 +302,7 @@ def test_pipeline_stages_keep_exactly_the_rows_of_a_plain_version(spark, folder)
     counts = [now.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         rows = now.collect()
-        now = stage(spark, now, folder).localCheckpoint()
+        now = written(stage(spark, now, folder), name)
         assert sorted(map(repr, now.collect())) == sorted(map(repr, plain[name](rows))), name
         counts.append(now.count())
     assert counts[-1] > 0

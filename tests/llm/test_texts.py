@@ -195,7 +195,8 @@ def test_languages_of_held_out_documents(spark, folder):
 
 def test_languages_of_odd_texts(spark):
     model = langid.fit(["the and of to", "der die und das", "the of and"], ["en", "de", "en"])
-    assert model.predict([None, "", "12 ??", "\x00"])[0] == [langid.UNKNOWN] * 4
+    assert model.predict([None, "", "12 ??", "\x00", "½ ²", "Ⅷ", "①", "〇", "١٢ _"])[0] == [langid.UNKNOWN] * 9
+    assert model.predict(["½ the", "ª", "ー"])[0] == ["en"] * 3 or all(x != langid.UNKNOWN for x in model.predict(["½ the", "ª", "ー"])[0])
     assert model.predict(["und das der", "of the " * 50_000])[0] == ["de", "en"]
     assert langid.fit([], []).predict(["x"])[0] == [langid.UNKNOWN]
     assert langid.fit(["x y"], ["xx"]).predict(["und"])[0] == ["xx"]
@@ -203,8 +204,63 @@ def test_languages_of_odd_texts(spark):
     assert sorted((r["lang_pred"] for r in langid.identify(docs, "doc_id", "text", model).collect())) == ["en", "und", "und"]
     assert langid.keep_known(docs, "text", model).columns == docs.columns and langid.keep_known(docs, "text", model).count() == 1
     assert langid.train(docs.limit(0).withColumn("lang", F.lit("x")), "text", "lang").languages == []
-    one, two = langid.presence(["ab"], (1, 2), 14)[0], langid.presence(["abab"], (1, 2), 14)[0]
-    assert one.sum() == 3 and two.sum() == 4 and (one & two).sum() == 3  # a, b, ab; ba is new
+    one, two = (set(langid.places([x], (1, 2), 18)[0].tolist()) for x in ("ab", "abab"))
+    assert len(one) == 3 and len(two) == 4 and one < two  # a, b, ab; ba is new
+    empty = langid.identify(docs.limit(0), "doc_id", "text", model)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "lang_pred", "score"]
+
+
+def plain_ridge(texts, languages, config):
+    """One-versus-rest kernel ridge regression on exact n-gram sets, with every text a landmark: outputs for any texts."""
+    def grams(t):
+        t = t.lower()
+        return {t[i : i + n] for n in config.orders for i in range(len(t) - n + 1)}
+
+    sets, known = [grams(t) for t in texts], sorted(set(languages))
+    kernel = lambda a, b: np.array([[len(x & y) / max(len(x) * len(y), 1) ** 0.5 for y in b] for x in a])
+    label = np.array([known.index(x) for x in languages])
+    weight = 1.0 / np.bincount(label)[label]
+    weight /= weight.sum()
+    k = kernel(sets, sets)
+    values, vectors = np.linalg.eigh(k)
+    good = values > 1e-6 * values.max()
+    x = k @ vectors[:, good] / np.sqrt(values[good])
+    mean, target = weight @ x, np.eye(len(known))[label]
+    normal = (x - mean).T @ (weight[:, None] * (x - mean))
+    normal += config.ridge * np.trace(normal) / len(normal) * np.eye(len(normal))
+    w = np.linalg.solve(normal, (x - mean).T @ (weight[:, None] * (target - weight @ target)))
+    return lambda more: kernel([grams(t) for t in more], sets) @ (vectors[:, good] / np.sqrt(values[good])) @ w + weight @ target - mean @ w
+
+
+def test_languages_equal_a_plain_kernel_ridge(spark, folder):
+    docs = [(r["text"][:2000], r["lang"]) for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect() if r["text"] and r["lang"]]
+    train, rest = docs[:60], [t for t, _ in docs[60:160]]
+    config = langid.LanguageConfig(landmarks_per_language=1000, bits=26)  # so many places that n-grams do not meet
+    got = langid.fit(*map(list, zip(*train)), config).outputs(rest)
+    want = plain_ridge(*zip(*train), config)(rest)
+    assert np.abs(got - want).max() < 1e-3 and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_copies_make_no_landmarks(spark):
+    rows = [("the same early text", "en")] * 300 + [(f"words {i} and others of the {i * 7} kind", "en") for i in range(60)] + [(f"wörter {i} und andere der {i * 7} art", "de") for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", langid.LanguageConfig(landmarks_per_language=40))
+    assert model.predict(["others of the kind", "andere der art"])[0] == ["en", "de"]
+
+
+def plain_toxicity(model, text):
+    """The model's score by naive sets of n-grams."""
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+    folded = toxicity.fold(text)
+    found = {int(h) for _, hs in toxicity.gram_hashes([folded], model.orders) for h in hs}
+    return 1 / (1 + np.exp(-np.clip(model.bias + sum(weight.get(h, 0.0) for h in found), -40, 40)))
+
+
+def test_toxicity_scores_equal_naive_sets(spark, folder):
+    model = queries.toxicity_model(spark, folder)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in queries.op10_toxicity(spark, folder).collect():
+        assert r["score"] == pytest.approx(plain_toxicity(model, texts[r["doc_id"]]), abs=1e-9)
+        assert r["predicted"] == (r["score"] >= 0.3)
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -227,8 +283,13 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.score_toxicity(docs.limit(0), "doc_id", "text", model).count() == 0
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     constant = toxicity.train(docs, labels, "doc_id", "text", "toxic")
-    assert constant.score(["x", None]).tolist() == [0.5, 0.5]
-    assert toxicity.fit(["a", "b"], np.array([0, 0]), 0.0).score(["a"])[0] < 0.01
+    assert max(constant.score(["x", None])) < 1e-15
+    assert max(toxicity.fit(["a", "b"], np.array([k, k]), float(k)).score(["a"])[0] for k in (0, 1)) < 1e-15
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None)], "doc_id long, toxic int")
+    again = spark.createDataFrame([(1, "you vile toad"), (1, "z"), (2, "fine words"), (2, None)] * 3, "doc_id long, text string")
+    twice = [toxicity.train(again, both, "doc_id", "text", "toxic", toxicity.ToxicityConfig(least_df=1)) for _ in range(2)]
+    assert twice[0].learned and twice[0].score(["you vile toad"])[0] > 0.5 > twice[0].score(["fine words"])[0]
+    assert twice[0].score(["x vile words " * 100_000]) == twice[1].score(["x vile words " * 100_000])
     # An n-gram never reaches from one text into the next.
     grams = {int(h[k]) for n, h in toxicity.gram_hashes([toxicity.fold("ab")], (4,)) for k in range(len(h))}
     assert len(grams) == 1 and len(toxicity.ToxicityModel((4,), np.array(sorted(grams), np.uint64), np.ones(1), 0.0).present([" a", "b "])[0]) == 0
