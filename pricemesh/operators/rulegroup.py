@@ -1,22 +1,25 @@
 """Greedy grouping of feed listings per query, and one offer per store.
 
-The greedy pass depends on order, so it runs row by row inside a group; what
-makes it fit a cluster is how small those groups are made without changing the
-outcome:
+The greedy pass depends on order: a row joins the first group all of whose members
+it can stand with.  What makes it fit a cluster:
 
 * listings can only join when query, model words, condition and accessory flag
   are equal, and when a chain of prices no further apart than the price ratio
-  connects them, so these form the group key;
+  connects them, so these form the block that a pass runs over;
 * listings with the same identity and price always end in the same group as the
   first of them unless they state nothing (storage, RAM, colour, quantity) or
   name neither model nor family, so all others are folded into one row
-  beforehand and take its group afterwards.
+  beforehand and take its group afterwards;
+* a group is known by the kinds of its members and their price range, so a pass
+  holds groups, not rows or pairs: blocks stream through their tasks, many small
+  ones or one of any length, in memory that grows with a block's groups alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,10 +40,14 @@ def identified(raws: DataFrame) -> DataFrame:
     """Feed listings with identity, accessory flag and specificity.
 
     ``raws`` carry query_id, query, listing_id, title, price, position and
-    marketplace.  Of rows with one listing id per query the first is kept.
+    marketplace.  Of rows with one listing id per query the first is kept, of
+    equally placed ones the cheaper, then the one whose title and other columns
+    come first.
     """
-    first = raws.groupBy("query_id", "listing_id").agg(F.min("position").alias("position"))
-    unique = raws.join(first, ["query_id", "listing_id", "position"], "left_semi")
+    order = ["position", "price", "title"]
+    rest = [c for c in raws.columns if c not in (*order, "query_id", "listing_id")]
+    first = raws.groupBy("query_id", "listing_id").agg(F.min(F.struct(*order, *rest)).alias("_row"))
+    unique = first.select("query_id", "listing_id", "_row.*").select(*raws.columns)
     return (
         with_identity(unique, "title")
         .withColumn("accessory", is_accessory(F.col("identity"), query_words(F.col("query"))))
@@ -58,64 +65,110 @@ def _price_bands(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
     ).drop("_gap")
 
 
-class _Block:
-    """The rows of one block as arrays, in the order in which they are placed."""
+class GroupState:
+    """The open groups of one block, each by what its members state and the range of their prices.
 
-    def __init__(self, block: pa.Table, cfg: RuleConfig):
-        rows = block.to_pandas()
-        rows["family"] = [frozenset(f) for f in rows["family"]]
-        self.rows = rows.assign(_rank=-rows["specificity"]).sort_values(["_rank", "position", "listing_id"], kind="stable")
-        self.cfg = cfg
-        self.price = self.rows["price"].to_numpy(dtype=float)
-        self.vague = self.rows["specificity"].to_numpy() == 0
-        model = self.rows["model"].iloc[0]
-        self.modelless = model is None or len(model) == 0
-        # Facts as numbers, 0 where a row does not state one.
-        stated = [self.rows[f].map(lambda v: v or None) for f in _FACTS]
-        self.facts = np.stack([pd.factorize(v)[0] + 1 for v in stated], axis=1)
-        self.speaks = self.facts[:, [_FACTS.index(f) for f in ("storage", "colour", "quantity")]].any(axis=1)
-        words = {w: k for k, w in enumerate(sorted(frozenset().union(*self.rows["family"])))}
-        self.words = np.zeros((len(rows), len(words)), dtype=np.float32)
-        for r, family in enumerate(self.rows["family"]):
-            self.words[r, [words[w] for w in family]] = 1
-        self.size = self.words.sum(axis=1)
-
-    def refused_by(self, i: int) -> np.ndarray:
-        """Which of the rows before ``i`` it cannot stand with, all compared at once."""
-        before, own = self.facts[:i], self.facts[i]
-        clash = ((before != own) & (before > 0) & (own > 0)).any(axis=1)
-        ratio = np.where(self.speaks[:i] | self.speaks[i], self.cfg.price_ratio, self.cfg.vague_price_ratio)
-        low, high = np.minimum(self.price[:i], self.price[i]), np.maximum(self.price[:i], self.price[i])
-        common, total = self.words[:i] @ self.words[i], self.size[:i] + self.size[i]
-        if self.modelless:
-            alike = (common > 0) & (2 * common.astype(float) >= self.cfg.family_dice * total)
-        else:
-            alike = (common > 0) | (self.size[:i] == 0) | (self.size[i] == 0)
-        return clash | (high / np.maximum(1.0, low) > ratio) | ~alike
-
-
-def _fold(block: pa.Table, cfg: RuleConfig) -> pa.Table:
-    """Place each row with the first group that has no row it is refused by.
-
-    One array comparison per row; memory grows with the block, not its square.
+    A row stands with all members of a group if its facts and words agree with every
+    kind of member and its price with the cheapest and the dearest of them, so
+    members need not be kept: a block of any length streams through.
     """
-    b = _Block(block, cfg)
-    n = len(b.rows)
-    group, opener, cheapest, used = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.full(n, np.inf), 0
-    for i in range(n):
-        free = np.ones(used, dtype=bool)
-        free[group[:i][b.refused_by(i)]] = False
-        choice = np.flatnonzero(free)
-        if b.vague[i] and len(choice) > 1:
+
+    def __init__(self, cfg: RuleConfig):
+        self.cfg = cfg
+        self.kinds: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        self.agree: dict[tuple[int, int], bool] = {}
+        self.held: list[set[int]] = []      # kinds in each group
+        self.openers: list[str] = []
+        # Cheapest and dearest of a group's rows that state storage, colour or quantity, and of its other rows.
+        self.prices = np.empty((8, 4))
+        self.open = np.empty((4, 8), dtype=bool)  # kinds x groups: whether the kind agrees with all kinds of the group
+
+    def _agrees(self, i: int, j: int, model: bool) -> bool:
+        """Whether rows of two kinds may share a group, prices aside."""
+        key = (i, j) if i < j else (j, i)
+        found = self.agree.get(key)
+        if found is None:
+            (x, a), (y, b) = self.kinds[i], self.kinds[j]
+            common = len(a & b)
+            if model:
+                found = common > 0 or not a or not b
+            else:
+                found = common > 0 and 2 * common / (len(a) + len(b)) >= self.cfg.family_dice
+            found = self.agree[key] = found and not any(v and w and v != w for v, w in zip(x, y))
+        return found
+
+    def _kind(self, row: dict, model: bool) -> int:
+        kind = (tuple(row[f] or None for f in _FACTS), frozenset(row["family"]))
+        k = self.number.get(kind)
+        if k is None:
+            k = self.number[kind] = len(self.kinds)
+            self.kinds.append(kind)
+            if k == len(self.open):
+                self.open = np.concatenate([self.open, np.empty_like(self.open)])
+            self.open[k, : len(self.held)] = [all(self._agrees(k, q, model) for q in held) for held in self.held]
+        return k
+
+    def _opened(self, k: int, listing: str, model: bool) -> int:
+        at = len(self.held)
+        if at == len(self.prices):
+            self.prices = np.concatenate([self.prices, np.empty_like(self.prices)])
+            self.open = np.concatenate([self.open, np.empty_like(self.open)], axis=1)
+        self.held.append({k})
+        self.openers.append(listing)
+        self.prices[at] = (np.inf, -np.inf, np.inf, -np.inf)
+        self.open[: len(self.kinds), at] = [self._agrees(q, k, model) for q in range(len(self.kinds))]
+        return at
+
+    def place(self, row: dict) -> str:
+        """The listing that opened the group of this row, the next in placing order."""
+        cfg, price, model = self.cfg, row["price"], bool(row["model"])
+        k = self._kind(row, model)
+        speaks = any(row[f] for f in ("storage", "colour", "quantity"))
+        silent_limit = cfg.price_ratio if speaks else cfg.vague_price_ratio
+        n, floor = len(self.held), max(1.0, price)
+        now = self.prices[:n]
+        fits = (
+            self.open[k, :n] & (price / np.maximum(1.0, now[:, 0]) <= cfg.price_ratio) & (now[:, 1] / floor <= cfg.price_ratio)
+            & (price / np.maximum(1.0, now[:, 2]) <= silent_limit) & (now[:, 3] / floor <= silent_limit)
+        )
+        choice = np.flatnonzero(fits)
+        if len(choice) > 1 and not row["specificity"]:
             # A vague row only decides between groups by its price, and only if that leaves one.
-            close = choice[np.abs(b.price[i] - cheapest[choice]) <= cfg.near_price * max(1.0, b.price[i])]
+            lowest = np.minimum(now[choice, 0], now[choice, 2])
+            close = choice[np.abs(price - lowest) / floor <= cfg.near_price]
             choice = close if len(close) == 1 else choice[:0]
-        at = int(choice[0]) if len(choice) else used
-        if at == used:
-            opener[used], used = i, used + 1
-        group[i], cheapest[at] = at, min(cheapest[at], b.price[i])
-    ids = b.rows["listing_id"].to_numpy()
-    return pa.table({"query_id": pa.array(b.rows["query_id"], pa.string()), "listing_id": pa.array(ids, pa.string()), "group_id": pa.array(ids[opener[group]], pa.string())})
+        at = int(choice[0]) if len(choice) else self._opened(k, row["listing_id"], model)
+        if k not in self.held[at]:
+            self.held[at].add(k)
+            self.open[: len(self.kinds), at] &= [self._agrees(q, k, model) for q in range(len(self.kinds))]
+        low = 0 if speaks else 2
+        self.prices[at, low] = min(self.prices[at, low], price)
+        self.prices[at, low + 1] = max(self.prices[at, low + 1], price)
+        return self.openers[at]
+
+
+_PLACED = "query_id string, listing_id string, group_id string"
+
+
+def _placed_blocks(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """All blocks of a partition one after another: rows come sorted by block and placing order."""
+    key = [*_BLOCK, "band"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                now = tuple(tuple(row[k]) if isinstance(row[k], list) else row[k] for k in key)
+                if now != before:
+                    before, state = now, GroupState(cfg)
+                out.append((row["query_id"], row["listing_id"], state.place(row)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["query_id", "listing_id", "group_id"])
+
+    order = [*key, F.desc("specificity"), "position", "listing_id"]
+    return rows.repartition(*key).sortWithinPartitions(*order).mapInArrow(run, _PLACED)
 
 
 def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -138,12 +191,10 @@ def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     banded = leads.join(_price_bands(leads, cfg), [*_BLOCK, "price"])
     # A row alone in its block is its own group; only the others need the pass.
     sizes = banded.groupBy(*_BLOCK, "band").agg(F.count("*").alias("_n"))
-    sized = banded.join(sizes, [*_BLOCK, "band"])
+    # Written once: single rows and blocks are read apart.
+    sized = cut_lineage(banded.join(sizes, [*_BLOCK, "band"]))
     folded = (
-        sized.filter("_n > 1")
-        .drop("_n")
-        .groupBy(*_BLOCK, "band")
-        .applyInArrow(lambda block: _fold(block, cfg), "query_id string, listing_id string, group_id string")
+        _placed_blocks(sized.filter("_n > 1").drop("_n"), cfg)
         .unionByName(
             sized.filter("_n = 1").select("query_id", "listing_id", F.col("listing_id").alias("group_id"))
         )
@@ -166,7 +217,13 @@ def one_offer_per_store(grouped: DataFrame) -> DataFrame:
 
 
 def rule_groups(offers: DataFrame) -> DataFrame:
-    """One row per group of ``one_offer_per_store``: title and attributes of its lead listing."""
+    """One row per group of ``one_offer_per_store``: title and attributes of its lead listing.
+
+    ``rank`` is the place of the group's first offer in the united feeds, the
+    second feed after the whole first one.
+    """
+    second = F.col("direct") if "direct" in offers.columns else F.lit(False)
+    offers = offers.withColumn("_rank", F.struct(second.alias("feed"), F.col("position").alias("position"), F.col("listing_id").alias("listing_id")))
     # The lead is the listing placed first in the feed; equal places go to the cheaper offer.
     place = F.struct("position", "price", "listing_id")
     lead = F.struct("listing_id", "title", "image_url", "identity", "position")
@@ -174,6 +231,7 @@ def rule_groups(offers: DataFrame) -> DataFrame:
         offers.groupBy("query_id", "query", "group_id")
         .agg(
             F.min_by(lead, place).alias("lead"),
+            F.min("_rank").alias("rank"),
             F.min("price").alias("price_min"),
             F.max("price").alias("price_max"),
             F.count("*").alias("listing_count"),
@@ -186,8 +244,7 @@ def rule_groups(offers: DataFrame) -> DataFrame:
             clean_rule_title(F.col("lead.title")).alias("canonical_title"),
             group_attributes(F.col("lead.identity")).alias("attributes"),
             F.col("lead.image_url").alias("canonical_image"),
-            F.col("lead.position").alias("rank"),
-            "price_min", "price_max", "listing_count", "marketplaces", "fastest_days",
+            "rank", "price_min", "price_max", "listing_count", "marketplaces", "fastest_days",
         )
     )
 

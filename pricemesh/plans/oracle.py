@@ -646,6 +646,104 @@ SELECT query_id, canonical_title, price_min,
     }
 
 
+# --- rule groups ---------------------------------------------------------------------------------
+
+
+def _grouped() -> str:
+    """CTE ``kept``: one offer per store and group, by the ordered pass row after row; ``numbered`` holds all listings."""
+    words = f"list_filter(string_split({_rule_text('query')}, ' '), lambda w: w <> '')"
+    clash = " OR ".join(f"coalesce(a.i_{f} <> b.i_{f}, false)" for f in ("brand", "storage", "ram", "colour", "quantity"))
+    same = "len(list_intersect(a.i_family, b.i_family))"
+    speaks = " OR ".join(f"{x}.i_{f} IS NOT NULL" for x in "ab" for f in ("storage", "colour", "quantity"))
+    return f"""{_feed().replace("WITH ", "WITH RECURSIVE ", 1)},
+m_own AS (SELECT * FROM priced WHERE position % 11 <> 0),
+m_linked AS (SELECT *, CASE WHEN position % 2 = 0 THEN 'c' WHEN position % 7 <> 0 THEN 'd' ELSE '' END AS link,
+  CASE WHEN contains(lower(delivery), 'deliver') OR contains(lower(delivery), 'get it') THEN delivery ELSE 'Or get it Today' END AS line FROM m_own),
+m_ok AS (SELECT * FROM m_linked WHERE link <> '' AND (p + s) % 23 <> 0), {_days('m_ok', 'line', 'm_timed')},
+raws AS (
+  SELECT query_id, listing_id, marketplace, title, price, position, delivery_days, false AS direct FROM fs
+  UNION ALL
+  SELECT query_id, 'a-' || CASE WHEN position % 3 <> 0 THEN 'B0' || p || 'X' || position ELSE substring(md5(title), 1, 10) END, 'amazon', title,
+         CAST(price_ AS DOUBLE), position + 0.5::DOUBLE, delivery_days, true FROM m_timed),
+u AS (SELECT *, query_id AS query FROM raws QUALIFY row_number() OVER (PARTITION BY query_id, listing_id ORDER BY position, price, title, delivery_days) = 1),
+{_identity('u', 'title', 'i')},
+said AS (SELECT *, {_accessory('i', words)} AS acc, (i_storage IS NOT NULL)::INT + (i_ram IS NOT NULL)::INT + (i_colour IS NOT NULL)::INT + (i_quantity IS NOT NULL)::INT AS spec FROM i),
+numbered AS (SELECT *, concat_ws('|', query_id, array_to_string(i_model, ' '), i_condition, acc::VARCHAR) AS block,
+  row_number() OVER (PARTITION BY query_id, i_model, i_condition, acc ORDER BY spec DESC, position, listing_id) AS k FROM said),
+fit AS (SELECT b.block, b.k, list(a.k) AS nb FROM numbered a JOIN numbered b ON a.block = b.block AND a.k < b.k
+  WHERE NOT ({clash}) AND greatest(a.price, b.price) / greatest(1.0, least(a.price, b.price)) <= CASE WHEN {speaks} THEN 1.6 ELSE 1.15 END
+    AND CASE WHEN len(a.i_model) = 0 THEN {same} > 0 AND 2 * {same} / (len(a.i_family) + len(b.i_family)) >= 0.75
+             ELSE {same} > 0 OR len(a.i_family) = 0 OR len(b.i_family) = 0 END
+  GROUP BY 1, 2),
+steps AS (SELECT n.block, n.k, n.price, n.spec, coalesce(f.nb, []::BIGINT[]) AS nb FROM numbered n LEFT JOIN fit f ON n.block = f.block AND n.k = f.k),
+walk AS (
+  SELECT block, k, [{{'m': [k], 'lo': price}}] AS cl FROM steps WHERE k = 1
+  UNION ALL
+  SELECT block, k, CASE WHEN len(opts) > 0 THEN list_transform(cl, lambda x, i: CASE WHEN i = opts[1] THEN {{'m': list_append(x.m, k), 'lo': least(x.lo, price)}} ELSE x END)
+                        ELSE list_append(cl, {{'m': [k], 'lo': price}}) END
+  FROM (SELECT block, k, price, cl, CASE WHEN spec > 0 OR len(fits) < 2 THEN fits WHEN len(near) = 1 THEN near ELSE [] END AS opts
+        FROM (SELECT *, list_filter(fits, lambda i: abs(price - cl[i].lo) / greatest(1.0, price) <= 0.05) AS near
+              FROM (SELECT s.*, w.cl, list_filter(range(1, len(w.cl) + 1), lambda i: list_has_all(s.nb, w.cl[i].m)) AS fits
+                    FROM walk w JOIN steps s ON s.block = w.block AND s.k = w.k + 1)))),
+last_ AS (SELECT block, cl FROM walk QUALIFY row_number() OVER (PARTITION BY block ORDER BY k DESC) = 1),
+ends_ AS (SELECT block, unnest(cl).m AS m FROM last_),
+member AS (SELECT block, m[1] AS opener, unnest(m) AS k FROM ends_),
+placed AS (SELECT n.*, o.listing_id AS group_id FROM member JOIN numbered n USING (block, k) JOIN numbered o ON o.block = member.block AND o.k = opener),
+kept AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY query_id, group_id, marketplace ORDER BY price, spec DESC, position, listing_id) = 1)"""
+
+
+def _rule_pages() -> dict[str, str]:
+    def fact(f: str, label: str, name: str) -> str:
+        a, b = f"a.i_{f}", f"b.i_{f}"
+        return (f"CASE WHEN {a} = {b} THEN 'Same {label}:ok' WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN '{name} differs (' || {a} || ' vs ' || {b} || '):warn' "
+                f"WHEN coalesce({a}, {b}) IS NOT NULL THEN '{name} not stated on one listing:info' END")
+
+    dice = "CASE WHEN len(a.i_family) > 0 AND len(b.i_family) > 0 THEN 2 * len(list_intersect(a.i_family, b.i_family)) / (len(a.i_family) + len(b.i_family)) ELSE 0.0 END"
+    ratio = "(greatest(a.price, b.price) / greatest(1.0, least(a.price, b.price)))"
+    sized = lambda x: f"CASE WHEN regexp_matches({x}, '[0-9](gb|tb)$') THEN left({x}, -2) || ' ' || upper(right({x}, 2)) ELSE {x} END"
+    words = f"list_filter(string_split({_rule_text('query')}, ' '), lambda w: w <> '')"
+    extra = (
+        f"len(list_filter(g_model, lambda m: NOT list_contains(q_model, m) AND (m IN {_in(vocab.RULE_VARIANT_WORDS)} OR m = 'e' "
+        "OR len(list_filter(q_model, lambda x: x <> m AND starts_with(m, x) AND regexp_matches(x, '^[0-9]+$'))) > 0)))"
+    )
+    return {
+        "rule_groups": f"{_grouped()} SELECT query_id, group_id, listing_id, marketplace, price FROM kept",
+        "rule_pairs": f"""{_grouped()}
+SELECT a.query_id, a.group_id, a.listing_id AS listing_id_a, b.listing_id AS listing_id_b, round({dice}, 4) AS text_score, 0.0::DOUBLE AS image_score, 1.0::DOUBLE AS attribute_score,
+  least(0.99, round(0.55 + 0.25 * least(1.0, {dice} + 0.3) + 0.2 * (1 - ({ratio} - 1) / (1.6 - 1 + 1e-9)), 4))::DOUBLE AS combined_score, 'EXACT_MATCH' AS match_type,
+  concat_ws(';', {fact('brand', 'brand', 'Brand')}, CASE WHEN len(a.i_model) > 0 THEN 'Same model (' || array_to_string(a.i_model, ' ') || '):ok' END, {fact('storage', 'storage', 'Storage')},
+    {fact('ram', 'RAM', 'Ram')}, {fact('colour', 'colour', 'Colour')}, {fact('quantity', 'size/quantity', 'Size/quantity')}, 'Both ' || a.i_condition || ':ok', 'Prices consistent:ok') AS reasons
+FROM kept a JOIN kept b ON a.query_id = b.query_id AND a.group_id = b.group_id AND (-a.spec, a.position, a.listing_id) < (-b.spec, b.position, b.listing_id)""",
+        "rule_results": f"""{_grouped()},
+led AS (SELECT *, first_value(listing_id) OVER (PARTITION BY query_id, group_id ORDER BY position, price, listing_id) = listing_id AS lead FROM kept),
+grp AS (SELECT query_id, query_id AS query, group_id, min(price) AS price_min, max(price) AS price_max, count(*) AS listing_count, list_sort(list(marketplace)) AS stores,
+          min(delivery_days) FILTER (WHERE delivery_days < 90) AS fastest_days, min({{'f': direct, 'p': position, 'i': listing_id}}) AS rank,
+          max(title) FILTER (WHERE lead) AS lead_title, max(i_brand) FILTER (WHERE lead) AS l_brand, max(i_storage) FILTER (WHERE lead) AS l_storage, max(i_ram) FILTER (WHERE lead) AS l_ram,
+          max(i_colour) FILTER (WHERE lead) AS l_colour, max(i_condition) FILTER (WHERE lead) AS l_condition, max(i_quantity) FILTER (WHERE lead) AS l_quantity FROM led GROUP BY ALL),
+shown AS (SELECT *, trim(regexp_replace(regexp_replace(lead_title, '\\s*\\[[^\\]]*\\]\\s*', ' ', 'g'), '\\s+', ' ', 'g'), ' -|,') AS canonical_title FROM grp),
+ranked AS (SELECT query_id, price_min, row_number() OVER (PARTITION BY query_id ORDER BY price_min) - 1 AS r, count(*) OVER (PARTITION BY query_id) AS n FROM shown WHERE price_min <> 0),
+med AS (SELECT query_id, price_min AS median FROM ranked WHERE r = n // 2),
+qd AS (SELECT DISTINCT query_id, query FROM shown), {_identity('qd', 'query', 'q')}, {_identity('shown', 'canonical_title', 'g')},
+x AS (SELECT g.*, q.* EXCLUDE (query_id, query), median, {words.replace('query', 'g.query')} AS qwords,
+        list_distinct(list_concat(q_model, q_family)) AS want, list_distinct(list_concat(g_model, g_family)) AS have
+      FROM g JOIN q USING (query_id) JOIN med USING (query_id)),
+y AS (SELECT *, len(list_intersect(want, have)) + CASE WHEN q_storage = g_storage THEN 1 ELSE 0 END AS hit, len(want) + CASE WHEN q_storage IS NULL THEN 0 ELSE 1 END AS total,
+        {extra} AS extra, q_brand IS NOT NULL AND g_guess IS DISTINCT FROM q_brand AS wrong,
+        g_condition = 'refurbished' AND NOT list_has_any(string_split(lower(query), ' '), {list(vocab.REFURBISHED_QUERY_WORDS)}) AS refurb,
+        {_accessory('g', 'qwords')} AS part, price_min < 0.4 * median AS cheap FROM x),
+z AS (SELECT *, round(CASE WHEN total > 0 THEN hit / total ELSE 0.5 END - 0.2 * extra - CASE WHEN wrong THEN 0.6 ELSE 0 END - CASE WHEN refurb THEN 0.25 ELSE 0 END
+        - CASE WHEN part THEN 0.6 ELSE 0 END - CASE WHEN cheap THEN 0.9 ELSE 0 END + 0.05 * (len(stores) - 1), 3) AS relevance FROM y),
+plain AS (SELECT * FROM z WHERE NOT (refurb OR part OR cheap)),
+known AS (SELECT * FROM plain QUALIFY fastest_days IS NOT NULL OR count(fastest_days) OVER (PARTITION BY query_id) = 0),
+strong AS (SELECT * FROM known QUALIFY relevance >= 0.5 OR count(*) FILTER (WHERE relevance >= 0.5) OVER (PARTITION BY query_id) < 3),
+one AS (SELECT * FROM strong QUALIFY row_number() OVER (PARTITION BY query_id, trim(regexp_replace(lower(canonical_title), '[^a-z0-9]+', ' ', 'g')) ORDER BY -relevance, -len(stores), rank, group_id) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY -relevance, rank, -len(stores), group_id) AS place, canonical_title, relevance, price_min, price_max, listing_count, fastest_days,
+  array_to_string(stores, ',') AS marketplaces,
+  concat_ws(';', 'brand=' || l_brand, 'colour=' || l_colour, 'condition=' || nullif(l_condition, 'new'), 'quantity=' || l_quantity, 'ram=' || ({sized('l_ram')}) || ' RAM', 'storage=' || ({sized('l_storage')})) AS attributes
+FROM one""",
+    }
+
+
 # --- ingest and enrichment --------------------------------------------------------------------------
 
 _FRESH = """
@@ -706,7 +804,7 @@ FROM j GROUP BY 1""",
 
 
 def registered() -> dict[str, str]:
-    out = {**_offers(), **_text(), **_matching(), **_search(), **_stores(), **_rules(), **_ingest()}
+    out = {**_offers(), **_text(), **_matching(), **_search(), **_stores(), **_rules(), **_rule_pages(), **_ingest()}
     out["stream_upsert"] = out["upsert"]   # the streamed upsert must leave the same table
     out["stream_history"] = """SELECT DISTINCT event_type AS query, CAST(user_id AS VARCHAR) AS pincode,
 strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS slot FROM events"""
