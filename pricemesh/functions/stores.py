@@ -9,8 +9,8 @@ from pricemesh import vocab
 from pricemesh.functions.text import lookup
 
 _SLUG_OF_ALIAS = {alias: row[0] for alias, row in vocab.STORE_ALIASES.items()}
-_NAME_OF_SLUG = {row[0]: row[1] for row in vocab.STORES}
-_COLOUR_OF_SLUG = {row[0]: row[2] for row in vocab.STORES}
+_NAME_OF_SLUG = {slug: name for _, slug, name, _ in vocab.STORES}
+_COLOUR_OF_SLUG = {slug: colour for _, slug, _, colour in vocab.STORES}
 
 
 def _strip(c: Column) -> Column:

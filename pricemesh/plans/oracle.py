@@ -469,8 +469,8 @@ def _store(source: str, name: str = "stored") -> str:
     """CTE ``stored``: ``source`` rows (column ``source``) with listed_slug, store_slug, store_name, store_colour."""
     slug = {a: row[0] for a, row in vocab.STORE_ALIASES.items()}
     listed = lambda c: f"CASE WHEN {c} NOT IN {_in(vocab.AMBIGUOUS_STORE_WORDS)} THEN {_case(c, slug)} END"
-    names = {row[0]: row[1] for row in vocab.STORES}
-    colours = {row[0]: row[2] for row in vocab.STORES}
+    names = {slug: name for _, slug, name, _ in vocab.STORES}
+    colours = {slug: colour for _, slug, _, colour in vocab.STORES}
     return f"""
 {name}1 AS (SELECT *, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(trim(coalesce(source, '')), '(?s)\\s+[-–|]\\s+.*$', ''))),
             '^(www|buy|shop|store|m)\\.', ''), '\\.(com|in|co\\.in|shop|store)$', '')) AS key_ FROM {source}),
