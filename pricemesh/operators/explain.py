@@ -9,9 +9,11 @@ from pricemesh.operators.products import in_class
 from pricemesh.operators.scoring import EXACT, SIMILAR, reasons
 
 
-def _directed(pairs: DataFrame, member_positions: DataFrame) -> DataFrame:
+def _directed(pairs: DataFrame, member_positions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``n_forward``: in how many listing pairs the a-side listing comes first.
 
+    ``by``: columns of both tables that pairs and their listings share.
+
     The catalog order decides the wording "(x vs y)".  Most profiles do not
     interleave, so the count is all pairs.  Only where copies of two profiles
     interleave *and* a reason names both values are the copies counted.
@@ -20,21 +22,22 @@ def _directed(pairs: DataFrame, member_positions: DataFrame) -> DataFrame:
     same = F.col("profile_a") == F.col("profile_b")
     mixed = ~same & (F.col("last_position_a") > F.col("profile_b")) & wording
     flagged = pairs.withColumn("_mixed", mixed)
-    inside = flagged.filter("_mixed").select("profile_a", "profile_b")
-    at = lambda s: member_positions.select(F.col("profile_id").alias(f"profile_{s}"), "position")
+    keys = [*by, "profile_a", "profile_b"]
+    inside = flagged.filter("_mixed").select(*keys)
+    at = lambda s: member_positions.select(*by, F.col("profile_id").alias(f"profile_{s}"), "position")
     lined_up = (
-        inside.join(at("a"), "profile_a").withColumn("_a", F.lit(1))
-        .unionByName(inside.join(at("b"), "profile_b").withColumn("_a", F.lit(0)))
+        inside.join(at("a"), [*by, "profile_a"]).withColumn("_a", F.lit(1))
+        .unionByName(inside.join(at("b"), [*by, "profile_b"]).withColumn("_a", F.lit(0)))
     )
-    before = Window.partitionBy("profile_a", "profile_b").orderBy("position")
+    before = Window.partitionBy(*keys).orderBy("position")
     counted = (
         lined_up.withColumn("_before", F.sum("_a").over(before))
         .filter("_a = 0")
-        .groupBy("profile_a", "profile_b")
+        .groupBy(*keys)
         .agg(F.sum("_before").alias("_forward"))
     )
     return (
-        flagged.join(counted, ["profile_a", "profile_b"], "left")
+        flagged.join(counted, keys, "left")
         .withColumn("n_forward", F.when(F.col("_mixed"), F.coalesce("_forward", F.lit(0))).otherwise(F.col("n_pairs")))
         .drop("_mixed", "_forward")
     )
@@ -46,20 +49,18 @@ def exact_pairs_in_groups(scored: DataFrame, class_rows: DataFrame) -> DataFrame
     )
 
 
-def explanations(scored: DataFrame, class_rows: DataFrame, member_positions: DataFrame) -> DataFrame:
-    """Confidence, mean scores and the reasons most pairs of a product share."""
-    inside = exact_pairs_in_groups(scored, class_rows).withColumnRenamed("class_a", "class_id")
+def _summarised(inside: DataFrame, directed: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Confidence, mean scores and the reasons most pairs of a group share."""
     n = F.col("n_pairs").cast("decimal(20,0)")
     total = lambda score: F.sum(F.col(score).cast("decimal(12,4)") * n)
     mean = lambda score: (total(score) / F.sum("n_pairs")).cast("double")
-    scores = inside.groupBy("class_id").agg(
+    scores = inside.groupBy(*by).agg(
         F.sum("n_pairs").alias("pair_count"),
         F.round(mean("combined_score") * 100, 0).cast("bigint").alias("confidence"),
         F.round(mean("text_score"), 3).alias("text"),
         F.round(mean("attribute_score"), 3).alias("attribute"),
         F.round(mean("image_score"), 3).alias("image"),
     )
-    directed = _directed(inside, member_positions)
     place = lambda first, second, k: F.struct(F.col(first).alias("x"), F.col(second).alias("y"), k.alias("k"))
     ways = [
         (reasons("a", "b"), F.col("n_forward"), ("profile_a", "profile_b")),
@@ -70,9 +71,9 @@ def explanations(scored: DataFrame, class_rows: DataFrame, member_positions: Dat
         rows = (
             directed.withColumn("_times", times)
             .filter("_times > 0")
-            .select("class_id", "_times", *order, F.posexplode(said).alias("_k", "r"))
+            .select(*by, "_times", *order, F.posexplode(said).alias("_k", "r"))
             .select(
-                "class_id",
+                *by,
                 "_times",
                 (F.col("r.status") == "ok").alias("ok"),
                 F.col("r.label").alias("label"),
@@ -80,10 +81,10 @@ def explanations(scored: DataFrame, class_rows: DataFrame, member_positions: Dat
             )
         )
         labelled = rows if labelled is None else labelled.unionByName(rows)
-    counted = labelled.groupBy("class_id", "ok", "label").agg(
+    counted = labelled.groupBy(*by, "ok", "label").agg(
         F.sum("_times").alias("times"), F.min("first").alias("first")
     )
-    kept = counted.join(scores.select("class_id", "pair_count"), "class_id").filter(
+    kept = counted.join(scores.select(*by, "pair_count"), list(by)).filter(
         F.when(F.col("ok"), F.col("times") * 2 >= F.col("pair_count")).otherwise(
             F.col("times") * 3 >= F.greatest(F.lit(3), F.col("pair_count"))
         )
@@ -93,13 +94,40 @@ def explanations(scored: DataFrame, class_rows: DataFrame, member_positions: Dat
         (~F.col("ok")).alias("late"), (-F.col("times")).alias("rare"), "first", "label",
         F.when(F.col("ok"), "ok").otherwise("warn").alias("status"),
     )
-    listed = kept.groupBy("class_id").agg(F.array_sort(F.collect_list(entry)).alias("_listed"))
-    return scores.join(listed, "class_id", "left").select(
-        "class_id", "pair_count", "confidence", "text", "attribute", "image",
+    listed = kept.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_listed"))
+    return scores.join(listed, list(by), "left").select(
+        *by, "pair_count", "confidence", "text", "attribute", "image",
         F.transform("_listed", lambda e: F.struct(e["label"].alias("label"), e["status"].alias("status"))).alias("reasons"),
     )
 
 
+def explanations(scored: DataFrame, class_rows: DataFrame, member_positions: DataFrame) -> DataFrame:
+    """Confidence, mean scores and the reasons most pairs of a product share."""
+    inside = exact_pairs_in_groups(scored, class_rows).withColumnRenamed("class_a", "class_id")
+    return _summarised(inside, _directed(inside, member_positions), ("class_id",))
+
+
+def found_explanations(scored: DataFrame, class_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The same per query, over the pairs of which a query found both listings.
+
+    ``found`` holds (query_id, profile_id, position), one row per listing found.
+    Copies are counted per query and profile first, so pairs are never expanded.
+    """
+    counts = found.groupBy("query_id", "profile_id").agg(F.count("*").alias("n"))
+    side = lambda s: counts.select("query_id", F.col("profile_id").alias(f"profile_{s}"), F.col("n").alias(f"n_{s}"))
+    same = F.col("profile_a") == F.col("profile_b")
+    n_pairs = F.when(same, F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    inside = (
+        exact_pairs_in_groups(scored, class_rows)
+        .withColumnRenamed("class_a", "class_id")
+        .join(side("a"), "profile_a")
+        .join(side("b"), ["query_id", "profile_b"])
+        .withColumn("n_pairs", n_pairs)
+        .filter("n_pairs > 0")
+    )
+    return _summarised(inside, _directed(inside, found, ("query_id",)), ("query_id", "class_id"))
+
+
 def similar_products(scored: DataFrame, class_rows: DataFrame) -> DataFrame:
     """Best similar edge from each product class to each other one.
 

@@ -9,6 +9,7 @@ from pricemesh.config import RuleConfig
 from pricemesh.functions.display import discount
 from pricemesh.functions.stores import base_url, with_store
 from pricemesh.functions.text import query_key
+from pricemesh.operators.asof import latest_before
 
 
 def first_rows(rows: DataFrame, key: str = "listing_id", order: str = "position") -> DataFrame:
@@ -90,6 +91,31 @@ def current_snapshots(snapshots: DataFrame, as_of: Column, cfg: RuleConfig = Rul
     return latest.withColumn("fresh", alive)
 
 
+def served_snapshots(requests: DataFrame, snapshots: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """What each past request (query_key, asked_at, failed, ...) was served, by the snapshots of its own time.
+
+    ``outcome``: ``fresh`` (the snapshot is young enough), ``fetch`` (the feed is
+    asked again), ``stale`` (the feed failed, the old snapshot serves) or
+    ``empty`` (the feed failed and there is none).  ``product_ids`` and
+    ``fetched_at`` are those of the snapshot served, else null.
+    """
+    found = latest_before(requests, snapshots.select("query_key", "product_ids", "fetched_at"), "query_key", "asked_at", "fetched_at")
+    alive = F.col("state.fetched_at") > F.col("asked_at") - F.expr(f"interval {cfg.snapshot_hours} hours")
+    outcome = (
+        F.when(F.coalesce(alive, F.lit(False)), "fresh")
+        .when(~F.coalesce("failed", F.lit(False)), "fetch")
+        .when(F.col("state").isNotNull(), "stale")
+        .otherwise("empty")
+    )
+    served = F.col("outcome").isin("fresh", "stale")
+    return (
+        found.withColumn("outcome", outcome)
+        .withColumn("product_ids", F.when(served, F.col("state.product_ids")))
+        .withColumn("fetched_at", F.when(served, F.col("state.fetched_at")))
+        .drop("state")
+    )
+
+
 def snapshot_products(snapshots: DataFrame, products: DataFrame) -> DataFrame:
     """Products of each snapshot with their place; products that no longer exist drop out."""
     ids = snapshots.select("query_key", F.posexplode("product_ids").alias("place", "product_id"))

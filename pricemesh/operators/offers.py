@@ -13,8 +13,8 @@ def with_discount(listings: DataFrame) -> DataFrame:
     return listings.withColumn("discount_percentage", discount(F.col("price"), F.col("mrp")))
 
 
-def rollup(listings: DataFrame, by: list[str], sort: str = "price_asc") -> DataFrame:
-    """One row per group.  Ties follow the listing order of ``sort``.
+def rollup(listings: DataFrame, by: list[str], sort: str = "price_asc", key: Column | None = None) -> DataFrame:
+    """One row per group.  Ties follow the listing order of ``sort``, or the struct ``key``.
 
     Offers are first combined per store, then per group: both steps combine on
     the map side, so a group with very many offers costs no single task.
@@ -23,7 +23,7 @@ def rollup(listings: DataFrame, by: list[str], sort: str = "price_asc") -> DataF
     available = c("availability") != "out_of_stock"
     known = c("delivery_days") < 90
     offer = F.struct("listing_id", "price", "marketplace", "delivery_days")
-    key = listing_key(sort)
+    key = listing_key(sort) if key is None else key
 
     def best(condition: Column, order: Column) -> Column:
         return F.min(F.when(condition, F.struct(order.alias("order"), offer.alias("offer"))))

@@ -68,6 +68,37 @@ def listing_key(sort: str, tie: str = "position") -> Column:
     return F.struct(*[_column(n) if up else -_column(n) for n, up in keys], F.col(tie))
 
 
+def _requested(sort: Column, orders: dict[str, list[tuple[str, bool]]]) -> list[Column]:
+    """Ascending columns that order every row by the sort its own ``sort`` column names.
+
+    A sort is at most three numbers; each becomes (nulls last, number), negated
+    where it falls, so rows of different sorts share one range partitioning.
+    """
+    out = []
+    for depth in range(max(len(keys) for keys in orders.values())):
+        parts = {}
+        for name, keys in orders.items():
+            column, up = keys[depth] if depth < len(keys) else (None, True)
+            value = F.lit(0.0) if column is None else _column(column).cast("double")
+            parts[name] = (F.lit(0) if up else value.isNull().cast("int"), value if up else -value)
+        for place in (0, 1):
+            chosen = F
+            for name, part in parts.items():
+                chosen = chosen.when(sort == name, part[place])
+            out.append(chosen.otherwise(parts["relevance"][place]))
+    return out
+
+
+def requested_listing_key(sort: Column, tie: str = "position") -> Column:
+    """``listing_key`` with the sort read from the row; unknown sorts fall back to relevance."""
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(_requested(sort, _LISTING))], F.col(tie))
+
+
+def requested_group_order(sort: Column, tie: str = "group_position") -> list[Column]:
+    """``group_order`` with the sort read from the row."""
+    return [k.asc() for k in _requested(sort, _GROUP)] + [F.col(tie).asc()]
+
+
 def rank_within(df: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     """Row number inside each group, also when one group holds a large part of all rows.
 

@@ -423,6 +423,46 @@ hits AS (SELECT query_id, text, CAST(sum(tenths * times * micros) AS DOUBLE) / (
          HAVING max(holds) = 1 AND CAST(sum(tenths * times * micros) AS DOUBLE) / (10 * any_value(total)) >= 0.55)"""
 
 
+def _search_pages() -> str:
+    sorts = "[" + ", ".join(_q(s) for s in vocab.SORT_KEYS) + "]"
+    listing = """CASE sort WHEN 'price_asc' THEN price WHEN 'price_desc' THEN -price WHEN 'delivery_fastest' THEN CAST(availability = 'out_of_stock' AS INT)
+WHEN 'delivery_slowest' THEN -delivery_days WHEN 'rating_desc' THEN -rating WHEN 'rating_asc' THEN rating WHEN 'discount_desc' THEN -discount_percentage ELSE -relevance END,
+CASE sort WHEN 'delivery_fastest' THEN delivery_days WHEN 'rating_desc' THEN -review_count WHEN 'relevance' THEN -rating ELSE 0 END,
+CASE sort WHEN 'delivery_fastest' THEN price ELSE 0 END"""
+    group = """CASE sort WHEN 'price_asc' THEN price_min WHEN 'price_desc' THEN -price_max WHEN 'delivery_fastest' THEN coalesce(fastest_days, 99)
+WHEN 'delivery_slowest' THEN -slowest_days WHEN 'rating_desc' THEN -rating_max WHEN 'rating_asc' THEN rating_min WHEN 'discount_desc' THEN -discount_max ELSE -relevance END,
+CASE sort WHEN 'delivery_fastest' THEN price_min WHEN 'relevance' THEN -listing_count ELSE 0 END"""
+    return f"""WITH RECURSIVE {_pairs()}, {_ALL_PAIRS}, {_SCORED}, {_CLASSES},
+lt AS (
+  SELECT pos AS position, CAST(pos AS VARCHAR) AS listing_id, cid AS product_id, pid, 'store-' || (pos % 7) AS marketplace, p_retailprice AS price,
+         round(greatest(0, (p_retailprice + 10 - p_retailprice) / (p_retailprice + 10) * 100), 1) AS discount_percentage, 1 + (pos % 9) * 0.5 AS rating,
+         pos * 7 % 1000 AS review_count, pos % 8 AS delivery_days, 'in_stock' AS availability, array_to_string(toks, ' ') AS text
+  FROM memc JOIN part ON p_partkey = pos),
+texts AS (SELECT text, count(*) AS copies FROM lt GROUP BY text),
+qs AS (SELECT query, query AS query_id, z, {sorts}[z % {len(vocab.SORT_KEYS)} + 1] AS sort FROM (SELECT p_name || ' ' || p_type AS query, max(p_size) AS z FROM part GROUP BY 1)),
+{_coverage('qs', 'texts')},
+found AS (SELECT h.query_id, sort, z, lt.*, round(coverage + 0.05 * least(1.0, review_count / 10000), 4) AS relevance
+          FROM hits h JOIN lt USING (text) JOIN qs ON qs.query_id = h.query_id),
+pass AS (SELECT *, query_id || chr(1) || product_id AS g FROM found WHERE (z % 3 <> 0 OR delivery_days <= 5) AND (z % 2 <> 0 OR rating >= 1.5)),
+best AS (SELECT query_id, product_id, any_value(sort) AS sort, round(max(relevance), 3) AS relevance FROM found GROUP BY 1, 2),
+two AS (
+  SELECT f.query_id, f.product_id, k.* FROM found f JOIN found o ON o.query_id = f.query_id AND o.product_id = f.product_id AND o.position > f.position
+  JOIN kept k ON k.a = least(f.pid, o.pid) AND k.b = greatest(f.pid, o.pid) WHERE match_type = 'EXACT_MATCH'),
+agg AS (
+  SELECT query_id, product_id, count(*) AS pair_count, CAST(round(sum(combined_score) / count(*) * 100) AS BIGINT) AS confidence,
+         round(sum(text_score) / count(*), 3) AS text, round(sum(attribute_score) / count(*), 3) AS attribute, round(sum(image_score) / count(*), 3) AS image
+  FROM two GROUP BY 1, 2),
+sd AS (SELECT query_id, product_id, a, b, unnest(string_split(reasons, ';')) AS r, unnest(range(len(string_split(reasons, ';')))) AS k FROM two),
+ct AS (SELECT query_id, product_id, r, count(*) AS n, min(ROW(a, b, k)) AS f FROM sd GROUP BY 1, 2, 3),
+wh AS (SELECT query_id, product_id, string_agg(r, ';' ORDER BY r NOT LIKE '%:ok', n DESC, f) AS reasons FROM ct JOIN agg USING (query_id, product_id)
+       WHERE CASE WHEN r LIKE '%:ok' THEN n * 2 >= pair_count ELSE n * 3 >= greatest(3, pair_count) END GROUP BY 1, 2),
+{_rollup('pass', 'g', listing)},
+named AS (SELECT DISTINCT g, query_id, product_id FROM pass),
+whole AS (SELECT * FROM groups JOIN named USING (g) JOIN best USING (query_id, product_id) LEFT JOIN agg USING (query_id, product_id) LEFT JOIN wh USING (query_id, product_id))
+SELECT query_id, sort, row_number() OVER (PARTITION BY query_id ORDER BY {group}, group_position) AS place, product_id, relevance, cheapest_listing,
+       fastest_listing, listing_count, store_count, marketplaces, confidence, pair_count, text, attribute, image, reasons FROM whole"""
+
+
 def _search() -> dict[str, str]:
     title = _first_option("nt", vocab.COLOURS)
     attrs = f"concat_ws(' ', title, lower(brand), lower(category), {_case(title, vocab.COLOUR_ALIASES, title)}, p_size)"
@@ -456,6 +496,7 @@ qs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark
 SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM hits JOIN docs USING (text)""",
         "search_results": f"""{results} SELECT query_id, product_id, relevance, {_ROLLUP} FROM groups JOIN named USING (g) JOIN best USING (query_id, product_id)""",
         "search_totals": f"""{results} SELECT query_id, count(*) AS total_groups, CAST(sum(listing_count) AS BIGINT) AS total_listings FROM groups JOIN named USING (g) GROUP BY 1""",
+        "search_pages": _search_pages(),
         "suggestions": f"""WITH {history},
 allof AS (SELECT text, 0 AS src, place FROM hist UNION ALL SELECT text, 1, place FROM few WHERE text NOT IN (SELECT text FROM hist))
 SELECT text, row_number() OVER (ORDER BY src, place) AS place FROM (SELECT * FROM allof ORDER BY src, place LIMIT 8)""",
@@ -782,6 +823,13 @@ SELECT store_slug AS slug, name, '' AS logo_url, coalesce('https://' || regexp_e
 FROM f WHERE store_slug NOT IN ('amazon', 'croma')""",
         "snapshots": f"""WITH {snaps} SELECT query_key, array_to_string(ids, ',') AS product_ids, strftime(day, '%Y-%m-%d %H:%M:%S') AS fetched_at,
   day > TIMESTAMP '2024-01-29 22:00:00' AS fresh FROM cur""",
+        "snapshot_asof": f"""WITH {snaps},
+rq AS (SELECT event_id, lower(trim(event_type)) || ' shoes|city' || user_id AS query_key, ts, event_id % 5 = 0 AS failed FROM events),
+tk AS (SELECT query_key, day + INTERVAL 12 HOUR AS taken, ids FROM sn),
+bf AS (SELECT rq.*, taken, ids FROM rq ASOF LEFT JOIN tk ON rq.query_key = tk.query_key AND rq.ts >= tk.taken),
+oc AS (SELECT *, CASE WHEN taken IS NOT NULL AND taken > ts - INTERVAL 6 HOUR THEN 'fresh' WHEN NOT failed THEN 'fetch' WHEN taken IS NOT NULL THEN 'stale' ELSE 'empty' END AS outcome FROM bf)
+SELECT event_id, query_key, outcome, CASE WHEN outcome IN ('fresh', 'stale') THEN array_to_string(ids, ',') END AS product_ids,
+       CASE WHEN outcome IN ('fresh', 'stale') THEN strftime(taken, '%Y-%m-%d %H:%M:%S') END AS fetched_at FROM oc""",
         "snapshot_products": f"""WITH {snaps}, e AS (SELECT query_key, unnest(ids) AS product_id, unnest(range(len(ids))) AS place FROM cur)
 SELECT query_key, place, product_id, p_name FROM e JOIN part ON p_partkey = product_id""",
         "enrich_links": f"""{judged},

@@ -20,7 +20,7 @@ from pricemesh.operators import (
 )
 from pricemesh.operators.filters import Filters
 from pricemesh.plans import catalog as batch
-from pricemesh.plans.search import search_groups
+from pricemesh.plans.search import result_pages, search_groups
 from pricemesh.session import cut_lineage, shared_folder
 from pricemesh.sources import derived, feeds, tables
 from pricemesh.streaming import history as stream_history_job
@@ -248,6 +248,34 @@ def search_totals(spark: SparkSession, folder: str) -> DataFrame:
     return offers.totals(groups, ["query_id"])
 
 
+def search_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One query per part name and type over the matched catalog, each with one of the eight sorts and its own filters."""
+    built = batch.build(tables.catalog(spark, folder))
+    listings = cut_lineage(
+        offers.with_discount(built.membership()).withColumn("search_text", text.search_text(F.col("title"), F.col("attributes")))
+    )
+    size = F.col("z")
+    sorts = F.array(*[F.lit(s) for s in vocab.SORT_KEYS])
+    parts = tables.table(spark, folder, "part")
+    asked = parts.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("query")).agg(F.max("p_size").alias("z"))
+    queries = asked.select(
+        F.col("query").alias("query_id"), "query",
+        F.element_at(sorts, (size % len(vocab.SORT_KEYS) + 1).cast("int")).alias("sort"),
+        F.lit(None).cast("array<string>").alias("marketplaces"),
+        F.lit(None).cast("double").alias("price_min"),
+        F.lit(None).cast("double").alias("price_max"),
+        F.when(size % 3 == 0, 5).alias("max_delivery_days"),
+        F.when(size % 2 == 0, 1.5).alias("min_rating"),
+        F.lit(None).cast("array<string>").alias("brands"),
+        F.lit(False).alias("in_stock_only"),
+    )
+    return result_pages(queries, listings, built).select(
+        "query_id", "sort", F.col("place").cast("bigint").alias("place"), "product_id", "relevance", "cheapest_listing",
+        "fastest_listing", "listing_count", "store_count", F.array_join("marketplaces", ",").alias("marketplaces"),
+        "confidence", "pair_count", "text", "attribute", "image", _said("reasons").alias("reasons"),
+    )
+
+
 def suggestions(spark: SparkSession, folder: str) -> DataFrame:
     events = tables.table(spark, folder, "events")
     searched = events.select(
@@ -490,6 +518,24 @@ def snapshot_products(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query_key", F.col("place").cast("bigint").alias("place"), "product_id", "p_name")
 
 
+def snapshot_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a request against the snapshots of its own time; the feed fails for one in five."""
+    asked = tables.table(spark, folder, "events").select(
+        "event_id",
+        text.query_key(
+            F.concat(F.lit(" "), F.upper("event_type"), F.lit("  shoes ")), F.concat(F.lit("city"), F.col("user_id"))
+        ).alias("query_key"),
+        F.col("ts").cast("timestamp").alias("asked_at"),
+        (F.col("event_id") % 5 == 0).alias("failed"),
+    )
+    # A snapshot is taken at noon, so a request may find that of its own day or of a day long before.
+    taken = _snapshots(spark, folder).withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 12 hours"))
+    return ingest.served_snapshots(asked, taken).select(
+        "event_id", "query_key", "outcome", F.array_join("product_ids", ",").alias("product_ids"),
+        F.col("fetched_at").cast("string").alias("fetched_at"),
+    )
+
+
 def _enrich_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     p, s = F.col("product_id"), F.col("position") % 1000000
     listings = _listings(spark, folder).withColumn("seller_name", F.when(s % 2 == 0, derived.pick(derived.STORE_NAMES, s)).otherwise(F.col("seller_name")))
@@ -553,11 +599,11 @@ def registered() -> dict[str, Query]:
         for f in (
             offer_rollup, offers_filtered, discounts, delivery_info, compare_chosen, delivery_estimates, facets,
             keyword_scan, presentation, title_tokens, document_tokens, attributes_inferred, corpus_idf, hash_embedding,
-            dense_cosine, hash_similarity, search_coverage, search_results, search_totals, suggestions, pair_scores,
+            dense_cosine, hash_similarity, search_coverage, search_results, search_totals, search_pages, suggestions, pair_scores,
             pair_reasons, requested_pairs, product_components, canonical_products, explanations, similar_products,
             batch_summary, store_resolution, delivery_parse, locations, store_links, feed_shopping, feed_marketplace,
             title_identity, rule_groups, rule_pairs, rule_results, rule_relevance, upsert, new_stores, snapshots,
-            snapshot_products, enrich_links, enrich_added, enrich_notes, stream_upsert, stream_history,
+            snapshot_products, snapshot_asof, enrich_links, enrich_added, enrich_notes, stream_upsert, stream_history,
         )
     }
     for sort in vocab.SORT_KEYS:

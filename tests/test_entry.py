@@ -11,7 +11,7 @@ CHECKED = [
     "offer_rollup", "offers_filtered", "offers_sorted_delivery_fastest", "group_sort_rating_asc", "delivery_info",
     "title_tokens", "attributes_inferred", "search_results", "requested_pairs", "canonical_products", "feed_shopping",
     "title_identity", "rule_relevance", "enrich_notes", "stream_upsert", "feed_marketplace", "snapshots", "enrich_added", "store_resolution",
-    "rule_groups", "rule_pairs", "rule_results",
+    "rule_groups", "rule_pairs", "rule_results", "search_pages", "snapshot_asof", "explanations",
 ]
 
 
