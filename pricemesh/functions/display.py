@@ -34,11 +34,18 @@ def compact_number(n: Column) -> Column:
     )
 
 
-def subtitle(attributes: Column) -> Column:
-    """Up to four telling attribute values, each word capitalised unless it has a digit."""
+def capitalised(value: Column) -> Column:
+    """Every word start (ASCII letters, digits and _ make words) in capitals, all else as it is."""
+    pieces = F.split(value, r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
+    raised = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[A-Za-z0-9_]"), raised(p)).otherwise(p)), "")
+
+
+def subtitle(attributes: Column, parts: int = 4) -> Column:
+    """The first ``parts`` telling attribute values, capitalised unless they have a digit."""
     values = F.array(*[F.try_element_at(attributes, F.lit(k)) for k in vocab.SUBTITLE_ATTRIBUTES])
-    shown = F.slice(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))), 1, 4)
-    capital = lambda v: F.when(v.rlike(r"\d"), v).otherwise(F.initcap(v))
+    shown = F.slice(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))), 1, parts)
+    capital = lambda v: F.when(v.rlike(r"\d"), v).otherwise(capitalised(v))
     return F.array_join(F.transform(shown, capital), " · ")
 
 

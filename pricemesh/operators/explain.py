@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricemesh.operators.products import in_class
 from pricemesh.operators.scoring import EXACT, SIMILAR, reasons
+from pricemesh.operators.sorting import rank_within
 
 
 def _directed(pairs: DataFrame, member_positions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -166,6 +167,35 @@ def similar_products(scored: DataFrame, class_rows: DataFrame) -> DataFrame:
     )
 
 
+def similar_counts(similar: DataFrame, class_rows: DataFrame) -> DataFrame:
+    """(class_id, n_similar, similar_listings) of each product of a class that has similar products.
+
+    A class of unmerged copies is one product per copy: it counts with all of
+    them for other classes and with all but one for each of its own products.
+    """
+    sizes = class_rows.groupBy(F.col("class_id").alias("other_class")).agg(
+        F.sum("copies").alias("listings"), F.min("merged").alias("merged")
+    )
+    itself = (F.col("class_id") == F.col("other_class")).cast("bigint")
+    products = F.when(F.col("merged"), F.lit(1)).otherwise(F.col("listings"))
+    return similar.select("class_id", "other_class").join(sizes, "other_class").groupBy("class_id").agg(
+        F.sum(products - itself).alias("n_similar"), F.sum(F.col("listings") - itself).alias("similar_listings")
+    )
+
+
+def similar_of(asked: DataFrame, products: DataFrame, similar: DataFrame) -> DataFrame:
+    """The similar products of each asked one (product_id, class_id), best edge first, then by product id.
+
+    Class edges become product edges only here, for the products asked for, so
+    copies that stay apart are never paired all with all.  ``products`` holds
+    (product_id, class_id, listing_count).
+    """
+    others = products.select(F.col("product_id").alias("other_product"), F.col("class_id").alias("other_class"), "listing_count")
+    edges = asked.join(similar, "class_id").join(others, "other_class").filter("product_id <> other_product")
+    ranked = rank_within(edges, ["product_id"], [F.col("combined_score").desc(), F.col("other_product").asc()], "place")
+    return ranked.select("product_id", "other_product", "place", "similarity", "listing_count", "reasons")
+
+
 def telling_reasons(reason_list):
     """Up to three reasons that are not agreements."""
     return F.slice(F.filter(reason_list, lambda r: r["status"] != "ok"), 1, 3)

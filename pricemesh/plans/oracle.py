@@ -241,10 +241,32 @@ attrs AS (
 _ATTRS_TEXT = "concat_ws(' ', title, brand, category, colour, size, model, quantity, shade, wattage, capacity, variant)"
 
 
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(title, '\s*\([^)]*\)\s*', ' ', 'g'), '(?i)\s*,\s*[^,]*\d+\s*(w|g|ml|l|ltrs)?\s*$', ''), '\s+', ' ', 'g'), ' -,')"""
+
+
+def _presentation() -> str:
+    """Values, letter by letter for the capitals; a letter after no letter, digit or _ starts a word."""
+    word = lambda i: f"regexp_matches(v[{i}:{i}], '[A-Za-z0-9_]')"
+    capitals = f"array_to_string([CASE WHEN {word('i')} AND NOT (i > 1 AND {word('i-1')}) THEN upper(v[i:i]) ELSE v[i:i] END FOR i IN range(1, length(v) + 1)], '')"
+    shown = ", ".join(k if k in vocab.ATTRIBUTE_WEIGHTS else "NULL" for k in vocab.SUBTITLE_ATTRIBUTES)
+    return f"""WITH {OFFERS}, {_rollup('l', 'product_id', 'price')}, {SHELF}, {_attributes('shelf', True)},
+vals AS (SELECT listing_id, list_filter([{shown}], lambda x: x IS NOT NULL AND x <> '') AS vs FROM attrs),
+one AS (SELECT listing_id, v, min(i) AS i FROM (SELECT listing_id, unnest(vs) AS v, unnest(range(len(vs))) AS i FROM vals) GROUP BY 1, 2),
+four AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY i) AS nth FROM one),
+sub AS (SELECT listing_id, string_agg(CASE WHEN regexp_matches(v, '[0-9]') THEN v ELSE {capitals} END, ' · ' ORDER BY i) AS subtitle FROM four WHERE nth <= 4 GROUP BY 1),
+told AS (SELECT *, listing_count * 317 AS n FROM groups)
+SELECT a.listing_id, coalesce(subtitle, '') AS subtitle,
+       CASE WHEN n >= 100000 THEN format('{{:.1f}}L', n / 100000) WHEN n >= 10000 THEN format('{{:.0f}}k', n / 1000)
+            WHEN n >= 1000 THEN format('{{:.1f}}k', n / 1000) ELSE CAST(n AS VARCHAR) END AS reviews_shown,
+       CASE WHEN price_max > price_min THEN price_max - price_min END AS saving, {_CLEAN} AS clean_title
+FROM attrs a JOIN told ON product_id = a.p LEFT JOIN sub ON sub.listing_id = a.listing_id"""
+
+
 def _text() -> dict[str, str]:
     idf = "round((1 + ln(n / df)) * 1000000) / 1000000"
     title_tokens = _tokens(_normalize("title"))
     return {
+        "presentation": _presentation(),
         "title_tokens": f"""WITH {SHELF}, {_attributes('shelf', True)}
 SELECT listing_id, {_normalize('title')} AS normalized_title, array_to_string({title_tokens}, ' ') AS tokens,
        array_to_string({_tokens(_normalize(_ATTRS_TEXT))}, ' ') AS search_text FROM attrs""",
@@ -349,7 +371,6 @@ memc AS (SELECT m.*, cid FROM member m JOIN class USING (pid))"""
 def _matching() -> dict[str, str]:
     pairs = f"WITH RECURSIVE {_pairs()}, {_ALL_PAIRS}, {_SCORED}"
     columns = "text_score, attribute_score, image_score, combined_score, match_type"
-    clean = r"""trim(regexp_replace(regexp_replace(regexp_replace(title, '\s*\([^)]*\)\s*', ' ', 'g'), '(?i)\s*,\s*[^,]*\d+\s*(w|g|ml|l|ltrs)?\s*$', ''), '\s+', ' ', 'g'), ' -,')"""
     central = """
 incl AS (SELECT a AS pid, combined_score * (cb - CASE WHEN a = b THEN 1 ELSE 0 END) AS pts, a, b FROM kept
          UNION ALL SELECT b, combined_score * ca, a, b FROM kept WHERE a <> b),
@@ -371,7 +392,7 @@ shown AS (
   SELECT cid, first(title ORDER BY coalesce(c, 0) DESC, pos) AS title, first(descr ORDER BY length(descr) DESC, pos) AS description,
          first('/img/' || pos ORDER BY pos * 7 % 1000 DESC, pos) AS canonical_image, count(*) AS listing_count
   FROM memc LEFT JOIN cen USING (pid) GROUP BY cid)
-SELECT cid AS product_id, {clean} AS canonical_title, brand, category, description, canonical_image, attributes, listing_count
+SELECT cid AS product_id, {_CLEAN} AS canonical_title, brand, category, description, canonical_image, attributes, listing_count
 FROM shown JOIN att USING (cid)""",
         "explanations": f"""{pairs}, {_CLASSES},
 inside AS (SELECT k.*, x.cid FROM kept k JOIN class x ON x.pid = k.a JOIN class y ON y.pid = k.b WHERE x.cid = y.cid AND match_type = 'EXACT_MATCH'),
@@ -398,6 +419,42 @@ UNION ALL SELECT 'matches', CAST(coalesce(sum(n_pairs), 0) AS BIGINT) FROM kept"
     }
 
 
+def _details() -> dict[str, str]:
+    """Listing by listing: products over exact pairs, similar pairs of listings of two products."""
+    hashed = _pairs().replace("substring(md5(p_name), 1, 16) AS h", "CASE WHEN p_size % 2 = 1 THEN substring(md5(p_name), 1, 16) ELSE '' END AS h")
+    scored = (
+        _SCORED.replace("CAST('0x'", "TRY_CAST('0x'").replace("round(1 - (bit_count", "coalesce(round(1 - (bit_count")
+        .replace(") / 64.0, 4) AS image_score", ") / 64.0, 4), 0.5) AS image_score")
+    )
+    rows = f"""WITH RECURSIVE {hashed}, {_ALL_PAIRS}, {scored}, {_CLASSES},
+li AS (
+  SELECT m.pos, m.pid, CASE WHEN copies = 1 OR m.pid IN (SELECT a FROM edge) THEN cid ELSE m.pos END AS product_id, 'store-' || (m.pos % 7) AS marketplace,
+         p_retailprice AS price, m.pos % 8 AS delivery_days, '/img/' || (m.pos % 3) AS image_url
+  FROM memc m JOIN prof USING (pid) JOIN part ON p_partkey = m.pos),
+pr AS (SELECT product_id, count(*) AS listing_count, count(DISTINCT marketplace) AS store_count, CAST(first(pos ORDER BY price, pos) AS VARCHAR) AS cheapest_listing,
+              CAST(first(pos ORDER BY delivery_days, price, pos) AS VARCHAR) AS fastest_listing FROM li GROUP BY 1),
+two AS (SELECT x.product_id, y.product_id AS other_product, x.pos < y.pos AS once, k.* FROM li x JOIN li y ON x.pos <> y.pos JOIN kept k ON k.a = least(x.pid, y.pid) AND k.b = greatest(x.pid, y.pid)),
+sm AS (SELECT product_id, other_product, first(combined_score ORDER BY combined_score DESC, a, b) AS s, first(reasons ORDER BY combined_score DESC, a, b) AS reasons
+       FROM two WHERE match_type = 'SIMILAR' AND product_id <> other_product GROUP BY 1, 2)"""
+    return {
+        "product_images": f"""{rows}, im AS (SELECT product_id, image_url, min(ROW(price, pos)) AS f FROM li GROUP BY 1, 2)
+SELECT product_id, image_url, row_number() OVER (PARTITION BY product_id ORDER BY f) AS image_rank FROM im""",
+        "product_similar": f"""{rows} SELECT sm.product_id, other_product, row_number() OVER (PARTITION BY sm.product_id ORDER BY s DESC, other_product) AS place,
+CAST(round(s * 100) AS BIGINT) AS similarity, listing_count, reasons FROM sm JOIN pr ON pr.product_id = other_product""",
+        "product_detail": f"""{rows},
+ex AS (SELECT * FROM two WHERE once AND match_type = 'EXACT_MATCH' AND product_id = other_product),
+ag AS (SELECT product_id, count(*) AS pair_count, CAST(round(sum(combined_score) / count(*) * 100) AS BIGINT) AS confidence FROM ex GROUP BY 1),
+sd AS (SELECT product_id, a, b, unnest(string_split(reasons, ';')) AS r, unnest(range(len(string_split(reasons, ';')))) AS k FROM ex),
+ct AS (SELECT product_id, r, count(*) AS n, min(ROW(a, b, k)) AS f FROM sd GROUP BY 1, 2),
+wh AS (SELECT product_id, string_agg(r, ';' ORDER BY r NOT LIKE '%:ok', n DESC, f) AS reasons FROM ct JOIN ag USING (product_id)
+       WHERE CASE WHEN r LIKE '%:ok' THEN n * 2 >= pair_count ELSE n * 3 >= greatest(3, pair_count) END GROUP BY 1),
+ns AS (SELECT sm.product_id, count(*) AS n_similar, sum(o.listing_count) AS more FROM sm JOIN pr o ON o.product_id = other_product GROUP BY 1)
+SELECT product_id, cheapest_listing, fastest_listing, listing_count, store_count, coalesce(n_similar, 0) AS n_similar,
+       CAST(listing_count + coalesce(more, 0) AS BIGINT) AS all_listings, confidence, pair_count, reasons
+FROM pr LEFT JOIN ns USING (product_id) LEFT JOIN ag USING (product_id) LEFT JOIN wh USING (product_id)""",
+    }
+
+
 # --- search --------------------------------------------------------------------------------
 
 
@@ -852,7 +909,7 @@ FROM j GROUP BY 1""",
 
 
 def registered() -> dict[str, str]:
-    out = {**_offers(), **_text(), **_matching(), **_search(), **_stores(), **_rules(), **_rule_pages(), **_ingest()}
+    out = {**_offers(), **_text(), **_matching(), **_details(), **_search(), **_stores(), **_rules(), **_rule_pages(), **_ingest()}
     out["stream_upsert"] = out["upsert"]   # the streamed upsert must leave the same table
     out["stream_history"] = """SELECT DISTINCT event_type AS query, CAST(user_id AS VARCHAR) AS pincode,
 strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS slot FROM events"""

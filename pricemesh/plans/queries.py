@@ -20,6 +20,7 @@ from pricemesh.operators import (
 )
 from pricemesh.operators.filters import Filters
 from pricemesh.plans import catalog as batch
+from pricemesh.plans import detail
 from pricemesh.plans.search import result_pages, search_groups
 from pricemesh.session import cut_lineage, shared_folder
 from pricemesh.sources import derived, feeds, tables
@@ -346,6 +347,36 @@ def similar_products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _partly_hashed(spark: SparkSession, folder: str) -> batch.Build:
+    """The catalog with image hashes for odd sizes only, so some copies stay apart, and few images."""
+    rows = tables.catalog(spark, folder)
+    size = F.col("product_attributes")["size"].cast("int")
+    return batch.build(
+        rows.withColumn("image_hash", F.when(size % 2 == 1, F.col("image_hash")))
+        .withColumn("image_url", F.concat(F.lit("/img/"), F.col("position") % 3))
+    )
+
+
+def product_detail(spark: SparkSession, folder: str) -> DataFrame:
+    return detail.product_details(_partly_hashed(spark, folder)).select(
+        "product_id", "cheapest_listing", "fastest_listing", "listing_count", "store_count", "n_similar", "all_listings",
+        "confidence", "pair_count", _said("reasons").alias("reasons"),
+    )
+
+
+def product_images(spark: SparkSession, folder: str) -> DataFrame:
+    rows = detail.product_images(_partly_hashed(spark, folder))
+    return rows.select("product_id", "image_url", F.col("image_rank").cast("bigint").alias("image_rank"))
+
+
+def product_similar(spark: SparkSession, folder: str) -> DataFrame:
+    rows = detail.product_similar(_partly_hashed(spark, folder))
+    return rows.select(
+        "product_id", "other_product", F.col("place").cast("bigint").alias("place"), "similarity", "listing_count",
+        _said("reasons").alias("reasons"),
+    )
+
+
 def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
     built = batch.build(tables.catalog(spark, folder))
     return products.batch_summary(built.members, built.products(), built.pairs)
@@ -601,7 +632,7 @@ def registered() -> dict[str, Query]:
             keyword_scan, presentation, title_tokens, document_tokens, attributes_inferred, corpus_idf, hash_embedding,
             dense_cosine, hash_similarity, search_coverage, search_results, search_totals, search_pages, suggestions, pair_scores,
             pair_reasons, requested_pairs, product_components, canonical_products, explanations, similar_products,
-            batch_summary, store_resolution, delivery_parse, locations, store_links, feed_shopping, feed_marketplace,
+            batch_summary, product_detail, product_images, product_similar, store_resolution, delivery_parse, locations, store_links, feed_shopping, feed_marketplace,
             title_identity, rule_groups, rule_pairs, rule_results, rule_relevance, upsert, new_stores, snapshots,
             snapshot_products, snapshot_asof, enrich_links, enrich_added, enrich_notes, stream_upsert, stream_history,
         )
