@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from pricemesh import vocab
 
@@ -113,3 +114,10 @@ def title_key(title: Column) -> Column:
 def query_key(query: Column, location: Column) -> Column:
     """Key of a query at a location: both whole, so that no two share a key."""
     return F.concat(squeeze(F.lower(query)), F.lit("|"), location)
+
+
+def row_hash(rows: DataFrame, columns: list[str]) -> Column:
+    """A hash of the named columns; maps, which cannot be hashed, go in as sorted entries."""
+    maps = {f.name for f in rows.schema if isinstance(f.dataType, MapType)}
+    plain = lambda n: F.array_sort(F.map_entries(F.col(f"`{n}`"))) if n in maps else F.col(f"`{n}`")
+    return F.xxhash64(*[plain(n) for n in columns])

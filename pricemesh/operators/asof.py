@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricemesh.functions.text import row_hash
 from pricemesh.session import cut_lineage
 
 
@@ -25,13 +26,13 @@ def latest_before(requests: DataFrame, states: DataFrame, key: str, at: str, sin
     usable = states.filter(c(key).isNotNull() & c(since).isNotNull())
     asked = requests.select(
         c(key).alias("_key"), c(at).alias("_at"), F.lit(1).alias("_kind"),
-        F.struct(*[c(f"`{n}`") for n in requests.columns]).alias("_request"),
+        F.struct(*[c(f"`{n}`") for n in requests.columns]).alias("_request"), row_hash(requests, requests.columns).alias("_tie"),
     )
     known = usable.select(
         c(key).alias("_key"), c(since).alias("_at"), F.lit(0).alias("_kind"),
-        F.struct(*[c(f"`{n}`") for n in states.columns]).alias("_state"),
+        F.struct(*[c(f"`{n}`") for n in states.columns]).alias("_state"), row_hash(states, states.columns).alias("_tie"),
     )
-    merged = asked.unionByName(known, allowMissingColumns=True).withColumn("_tie", F.xxhash64("_request", "_state"))
+    merged = asked.unionByName(known, allowMissingColumns=True)
     partitions = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(
         merged.repartitionByRange(partitions, "_key", "_at", "_kind", "_tie").withColumn("_part", F.spark_partition_id())

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from pricemesh.config import RuleConfig
 from pricemesh.functions.display import discount
 from pricemesh.functions.stores import base_url, with_store
-from pricemesh.functions.text import query_key
+from pricemesh.functions.text import query_key, row_hash
 from pricemesh.operators.asof import latest_before
 
 
 def first_rows(rows: DataFrame, key: str = "listing_id", order: str = "position") -> DataFrame:
     """One row per key, the first by ``order``; pre-combined on the map side."""
     others = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("row"))
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(order, row_hash(rows, others))).alias("row"))
     return best.select(key, "row.*").select(*rows.columns)
 
 

@@ -90,6 +90,10 @@ groups AS (SELECT * FROM merged JOIN seen USING ({by}))
 """
 
 
+_UNION = f"""WITH {OFFERS}, un AS (
+  SELECT 'shelf-' || (p_partkey % 7) AS marketplace, CAST(p_partkey AS VARCHAR) AS listing_id, NULL AS seller_name,
+         p_name || ' ' || p_brand || ' size ' || p_size AS title, p_retailprice AS price, CAST(1 + (p_partkey % 9) * 0.5 AS DOUBLE) AS rating, NULL AS currency FROM part
+  UNION ALL SELECT 'market', listing_id, seller_name, title, price, rating, 'INR' FROM l)"""
 _ROLLUP = """cheapest_listing, cheapest_price, cheapest_store, fastest_listing, fastest_days, fastest_store, price_min,
 price_max, rating_min, rating_max, discount_max, slowest_days, store_count, listing_count, marketplaces"""
 
@@ -119,6 +123,11 @@ FROM asked a LEFT JOIN l ON a.marketplace = l.marketplace AND a.listing_id = l.l
 WHERE a.marketplace IN (SELECT lower(n_name) FROM nation)""",
         "facets": f"""WITH {OFFERS} SELECT category, string_agg(DISTINCT marketplace, ',' ORDER BY marketplace) AS stores,
 string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands, count(DISTINCT marketplace) AS n_stores FROM l GROUP BY category""",
+        "store_union": f"{_UNION} SELECT * FROM un",
+        "point_lookup": f"""{_UNION}, asked AS (
+  SELECT DISTINCT CASE WHEN l_orderkey % 9 < 8 THEN 'shelf-' || (l_orderkey % 9) ELSE 'market' END AS marketplace,
+         CASE WHEN l_orderkey % 9 < 8 THEN CAST(l_partkey AS VARCHAR) ELSE l_partkey || '-' || l_suppkey END AS listing_id FROM lineitem)
+SELECT marketplace, listing_id, title, price FROM asked LEFT JOIN un USING (marketplace, listing_id)""",
         "keyword_scan": f"""WITH {OFFERS} SELECT listing_id, title FROM l
 WHERE contains(lower(title), 'ring') OR contains(lower(title), '7')""",
     }

@@ -23,7 +23,7 @@ from pricemesh.plans import catalog as batch
 from pricemesh.plans import detail
 from pricemesh.plans.search import result_pages, search_groups
 from pricemesh.session import cut_lineage, shared_folder
-from pricemesh.sources import derived, feeds, tables
+from pricemesh.sources import adapters, derived, feeds, tables
 from pricemesh.streaming import history as stream_history_job
 from pricemesh.streaming import upsert as stream_upsert_job
 
@@ -124,6 +124,29 @@ def facets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("category", F.array_join("stores", ",").alias("stores"), F.array_join("brands", ",").alias("brands"), "n_stores")
 
 
+def _stores(spark: SparkSession, folder: str) -> DataFrame:
+    """Part numbers and offers as eight stores with columns of their own."""
+    shelf = lambda k: lambda s: tables.catalog(s, folder).filter(F.col("position") % 7 == k).drop("seller_name", "currency")
+    market = lambda s: tables.offers(s, folder).withColumnRenamed("product_id", "part").withColumn("rating", F.col("rating").cast("string"))
+    stores = [adapters.StoreAdapter(f"shelf-{k}", shelf(k)) for k in range(7)]
+    return adapters.union_stores(spark, [*stores, adapters.StoreAdapter("market", market)])
+
+
+def store_union(spark: SparkSession, folder: str) -> DataFrame:
+    return _stores(spark, folder).select("marketplace", "listing_id", "seller_name", "title", "price", "rating", "currency")
+
+
+def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of an order asks for its part at one of nine stores, of which one does not exist."""
+    k = F.col("l_orderkey") % 9
+    part = F.col("l_partkey").cast("string")
+    asked = tables.table(spark, folder, "lineitem").select(
+        F.when(k < 8, F.concat(F.lit("shelf-"), k)).otherwise("market").alias("marketplace"),
+        F.when(k < 8, part).otherwise(F.concat_ws("-", part, F.col("l_suppkey"))).alias("listing_id"),
+    )
+    return adapters.point_lookup(asked, _stores(spark, folder)).select("marketplace", "listing_id", "title", "price")
+
+
 def keyword_scan(spark: SparkSession, folder: str) -> DataFrame:
     return tables.keyword_scan(tables.offers(spark, folder), "Ring 7").select("listing_id", "title")
 
@@ -629,7 +652,7 @@ def registered() -> dict[str, Query]:
         f.__name__: f
         for f in (
             offer_rollup, offers_filtered, discounts, delivery_info, compare_chosen, delivery_estimates, facets,
-            keyword_scan, presentation, title_tokens, document_tokens, attributes_inferred, corpus_idf, hash_embedding,
+            keyword_scan, store_union, point_lookup, presentation, title_tokens, document_tokens, attributes_inferred, corpus_idf, hash_embedding,
             dense_cosine, hash_similarity, search_coverage, search_results, search_totals, search_pages, suggestions, pair_scores,
             pair_reasons, requested_pairs, product_components, canonical_products, explanations, similar_products,
             batch_summary, product_detail, product_images, product_similar, store_resolution, delivery_parse, locations, store_links, feed_shopping, feed_marketplace,

@@ -1,32 +1,20 @@
 """Readers for the benchmark tables, and listings derived from them by Spark.
 
-Anything with the listing columns can take their place: a store is a function
-``SparkSession -> DataFrame`` returning ``LISTING`` (see ``union_stores``).
+Anything with the listing columns can take their place (see ``adapters``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemesh.schemas import LISTING
-
-StoreSource = Callable[[SparkSession], DataFrame]
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def union_stores(spark: SparkSession, stores: Iterable[StoreSource]) -> DataFrame:
-    """One catalog out of many stores, with exactly the listing columns."""
-    columns = spark.createDataFrame([], LISTING).columns
-    return reduce(DataFrame.unionByName, (s(spark).select(*columns) for s in stores))
-
-
 def keyword_scan(listings: DataFrame, query: str) -> DataFrame:
     """Rows whose title contains any word of the query."""
     words = [w for w in query.lower().split() if w]
@@ -34,10 +22,6 @@ def keyword_scan(listings: DataFrame, query: str) -> DataFrame:
     return listings.filter(hit)
 
 
-def by_listing_id(listings: DataFrame, listing_id: str) -> DataFrame:
-    return listings.filter(F.col("listing_id") == listing_id).orderBy("position").limit(1)
-
-
 def offers(spark: SparkSession, folder: str) -> DataFrame:
     """One listing per (part, supplier), with the part as the given product."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")

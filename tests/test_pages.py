@@ -130,4 +130,6 @@ def test_as_of_join_keeps_requests_without_states_and_clashing_columns(spark):
     assert got[1]["state"] == "mine" and got[1]["found"]["product_ids"] == [1] and got[2]["found"] is None
     empty = latest_before(requests, states.filter("false"), "query_key", "asked_at", "fetched_at", "found")
     assert [r["found"] for r in empty.collect()] == [None, None]
+    mapped = states.withColumn("facts", F.create_map(F.lit("a"), F.lit(1)))
+    assert latest_before(requests, mapped, "query_key", "asked_at", "fetched_at", "found").filter("found.facts['a'] = 1").count() == 1
     assert latest_before(requests.filter("false"), states, "query_key", "asked_at", "fetched_at", "found").collect() == []
