@@ -6,31 +6,39 @@ two unit vectors are within angle t and the second lies nearer to centroid c tha
 to the first one's centroid h, then the first is at most sin(t) from the plane
 between c and h, and at most t beyond the radius of cell c.  So no pair is lost,
 at a cost that nears all pairs where vectors are spread evenly.  Cells are put
-together or cut into blocks of bounded size; each pair of blocks is one matrix
-product in double precision, of those rows on either side that the other block's
-cells can hold a partner of.  With ``probes`` set, a class visits only the cells
-of that many nearest centroids, which loses pairs as the cells grow in number.
-A product returns link counts and a spanning forest of its links, never all
-pairs.
+together or cut into blocks of bounded size, and each block is written once.
+Tasks are strips of block pairs that read their blocks from the shared folder, so
+no vector is shuffled more than once, however many blocks it meets.  Each pair of
+blocks is one matrix product, of those rows on either side that the other block's
+cells can hold a partner of: in single precision with a proven margin, and again
+in double precision for cosines within the margin of the threshold.  With
+``probes`` set, a class visits only the cells of that many nearest centroids,
+which loses pairs as the cells grow in number.  A product returns link counts and
+a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricemesh.llm.common import written
+from pricemesh.llm.common import partitions, scratch, written
 from pricemesh.operators.components import connected_components
 
 EDGE = 1e-7  # margin of the pruning bounds against rounding
-WIDE, TILED = 8, 32  # blocks grow up to WIDE times where there are more than TILED of them: rows are copied once per block met
+WIDE, TILED = 8, 32  # blocks grow up to WIDE times where there are more than TILED of them: a block is read once per strip met
+BLOCK_BYTES = 16 << 20  # of a block's vectors, whatever their length
+STRIP = 8        # blocks that one block is compared with before it is read again
 SLICE = 1 << 20  # cosines held at a time
+SETTLED = 1 << 16  # cosines taken again in double precision at a time
 
 
 @dataclass(frozen=True)
@@ -44,27 +52,28 @@ class CellConfig:
     probes: int | None = None    # cells compared with, the home cell included; None: all that can hold a partner
 
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision (rows of zeros where there is none) and which rows have one.
+def unit_groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and unit vectors in double precision of the usable vectors of a list column, once per vector length."""
+    offsets = column.offsets.to_numpy()
+    # Null components become NaN.
+    values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    for size in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == size)
+        x = values[offsets[rows][:, None] + np.arange(size)]
+        top = np.abs(x).max(axis=1)  # NaN where a component is
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good, None]  # neither overflow nor underflow in the squares
+        yield rows[good], x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
-    The most frequent length of the batch does not matter: vectors of different
-    lengths are different spaces and must be split before.
-    """
-    size = max((len(v) for v in vectors if v is not None), default=0)
-    out = np.zeros((len(vectors), size))
+
+def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (rows of zeros where there is none, shorter ones filled up with zeros) and which rows have one."""
+    out = np.zeros((len(vectors), max((len(v) for v in vectors if v is not None), default=0)))
     ok = np.zeros(len(vectors), dtype=bool)
-    for k, v in enumerate(vectors):
-        if v is None or not len(v):
-            continue
-        a = np.array([np.nan if x is None else x for x in v], dtype=np.float64)
-        if not np.isfinite(a).all():
-            continue
-        top = np.abs(a).max()
-        if top == 0:
-            continue
-        a = a / top  # neither overflow nor underflow in the squares
-        out[k, : len(a)] = a / np.sqrt(np.dot(a, a))
-        ok[k] = True
+    for rows, x in unit_groups(pa.array(vectors, pa.list_(pa.float64()))):
+        out[rows, : x.shape[1]] = x
+        ok[rows] = True
     return out, ok
 
 
@@ -106,44 +115,76 @@ class _Forest:
         return True
 
 
-def _links(left: pd.DataFrame, right: pd.DataFrame, cell: int, same: bool, config: CellConfig) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+@dataclass
+class _Side:
+    """Rows on one side of a product."""
+
+    unit: np.ndarray
+    ids: np.ndarray
+    copies: np.ndarray
+    home: np.ndarray
+    probes: np.ndarray | None = None
+    near: np.ndarray | None = None
+
+    def only(self, rows: np.ndarray) -> _Side:
+        return _Side(self.unit[rows], self.ids[rows], self.copies[rows], self.home[rows])
+
+
+def _hits(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the rows whose cosine in double precision reaches the threshold, a bounded number of products at a time.
+
+    A single-precision product of unit vectors of n components is off by at most
+    (n + 2) 2^-24 and a little, their rounding included; the margin is twice that.
+    """
+    margin = 2 * (a.shape[1] + 2) * 2.0**-24
+    single_a, single_b = a.astype(np.float32), b.astype(np.float32).T
+    step = max(1, SLICE // len(b))
+    for start in range(0, len(a), step):
+        sims = single_a[start : start + step] @ single_b
+        i, j = np.nonzero(sims >= threshold - margin)
+        if not len(i):
+            continue
+        keep = sims[i, j] >= threshold + margin
+        i += start
+        open_ = np.flatnonzero(~keep)
+        for k in range(0, len(open_), SETTLED):
+            part = open_[k : k + SETTLED]
+            keep[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]]) >= threshold
+        yield i[keep], j[keep]
+
+
+def _links(left: _Side, right: _Side, cell: int, same: bool, config: CellConfig) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Link weights of the left and right rows, and a spanning forest of the links as (left, right) ids."""
-    a, b = (np.frombuffer(b"".join(s["unit"]), dtype="<f8").reshape(len(s), -1) for s in (left, right))
-    ids_a, ids_b = left["class_id"].to_numpy(), right["class_id"].to_numpy()
-    copies_a, copies_b = left["copies"].to_numpy(), right["copies"].to_numpy()
-    of_left, of_right = np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)
-    ids, number = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
-    at_a, at_b = number[: len(ids_a)], number[len(ids_a) :]
+    of_left, of_right = np.zeros(len(left.ids), dtype=np.int64), np.zeros(len(right.ids), dtype=np.int64)
+    ids, number = np.unique(np.concatenate([left.ids, right.ids]), return_inverse=True)
+    at_a, at_b = number[: len(left.ids)], number[len(left.ids) :]
     roots, edges = _Forest(len(ids)), []
-    home = right["home"].to_numpy()
-    step = max(1, SLICE // len(right))
-    for start in range(0, len(left), step):
-        i, j = np.nonzero(a[start : start + step] @ b.T >= config.threshold)
-        i += start
+    for i, j in _hits(left.unit, right.unit, config.threshold):
         if same:
-            once = ids_a[i] != ids_b[j]
+            once = left.ids[i] != right.ids[j]
             i, j = i[once], j[once]
         elif config.probes is not None:
             # A pair that its other cell finds as well is left to the cell of the lower number.
-            probes = [np.frombuffer(p, "<i4") for p in left["probes"][start : start + step]]
-            table = np.full((len(probes), max(map(len, probes))), -1, dtype=np.int32)
+            first, last = (int(i[0]), int(i[-1]) + 1) if len(i) else (0, 0)
+            probes = [np.frombuffer(p, "<i4") for p in left.probes[first:last]]
+            table = np.full((len(probes), max(map(len, probes), default=0)), -1, dtype=np.int32)
             for k, p in enumerate(probes):
                 table[k, : len(p)] = p
             twice = np.zeros(len(i), dtype=bool)
             for k in range(0, len(i), 1 << 18):
                 part = slice(k, k + (1 << 18))
-                twice[part] = (table[i[part] - start] == home[j[part]][:, None]).any(axis=1)
-            once = (home[j] == cell) | (home[j] > cell) | ~twice
+                twice[part] = (table[i[part] - first] == right.home[j[part]][:, None]).any(axis=1)
+            once = (right.home[j] >= cell) | ~twice
             i, j = i[once], j[once]
-        of_left += np.bincount(i, copies_b[j], len(left)).astype(np.int64)
+        of_left += np.bincount(i, right.copies[j], len(left.ids)).astype(np.int64)
         if not same:
-            of_right += np.bincount(j, copies_a[i], len(right)).astype(np.int64)
+            of_right += np.bincount(j, left.copies[i], len(right.ids)).astype(np.int64)
         # A row's first partner joins it to the rest: hubs are settled in one step, other links only where they join groups.
         while len(i):
             _, first = np.unique(i, return_index=True)
             for k in first.tolist():
                 if roots.join(int(at_a[i[k]]), int(at_b[j[k]])):
-                    edges.append((int(ids_a[i[k]]), int(ids_b[j[k]])))
+                    edges.append((int(left.ids[i[k]]), int(right.ids[j[k]])))
             met, back = np.unique(np.concatenate([at_a[i], at_b[j]]), return_inverse=True)
             root = np.array([roots.root(k) for k in met.tolist()])[back]
             open_ = root[: len(i)] != root[len(i) :]
@@ -151,6 +192,7 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, cell: int, same: bool, confi
     return of_left, of_right, edges
 
 
+LINK = "a long, b long, weight long"
 TILE = "cell int, block int, kind int, other int, side int, class_id long, copies long, home int, probes binary, unit binary"
 
 
@@ -160,28 +202,31 @@ def near_vectors(df: DataFrame, id_col: str, vector_col: str, config: CellConfig
     Two vectors link if their cosine in double precision reaches the threshold;
     vectors of different lengths never do.  Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing and are kept.  Equal
-    vectors link with each other.  Ids are distinct and not null; rows that repeat
-    id and vector count as separate copies under that id.
+    vectors link with each other.  Every row is a vector of its own: rows that
+    share an id are counted and grouped apart, and all rows with a group's smallest
+    id are kept.  A null id is never the smallest; a group of null ids only has a
+    null component_id and all its rows are kept.  Other columns are ignored; an
+    empty table gives an empty result.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("vector").to_pylist()
-            x, ok = unit_rows(vectors)
             # A class is a direction to the last bit, so its members' cosines agree with all others'.
-            packed = [x[k, : len(vectors[k])].tobytes() if ok[k] else None for k in range(len(vectors))]
+            packed: list[bytes | None] = [None] * batch.num_rows
+            for at, x in unit_groups(batch.column("vector")):
+                for k, v in zip(at.tolist(), x):
+                    packed[k] = v.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "unit"])
 
     unit = written(rows.mapInArrow(units, "id long, unit binary"), "vectors")
     digest = F.sha2("unit", 256)
     usable = unit.filter("unit is not null").withColumn("digest", digest)
     # Map-side combined: a third of all rows in one class is one partial row per task.
-    classes = written(
-        usable.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("unit").alias("unit")).withColumn("dims", (F.octet_length("unit") / 8).cast("int")),
-        "vector-classes",
-    )
+    found = usable.groupBy("digest").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    # Classes are numbered as they are written, since an id may stand for several vectors.
+    classes = written(found.withColumn("dims", (F.octet_length("unit") / 8).cast("int")).withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
     pieces = []
     for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect():  # one line per vector length
         pieces.append(_compare(classes.filter(F.col("dims") == r["dims"]), r["n"], r["dims"], config))
@@ -192,14 +237,17 @@ def near_vectors(df: DataFrame, id_col: str, vector_col: str, config: CellConfig
         edges = edges.unionByName(found.filter("b is not null").select("a", "b"))
     counts = counts.groupBy("class_id").agg(F.sum("links").alias("links"))
     parts = connected_components(edges, "a", "b").withColumnRenamed("node", "class_id")
-    known = classes.select("digest", "class_id", "copies").join(counts, "class_id", "left").join(parts, "class_id", "left")
+    least = parts.join(classes.select("class_id", "least_id"), "class_id").groupBy("component").agg(F.min("least_id").alias("lowest"))
+    lowest = parts.join(least, "component").select("class_id", "lowest")
+    alone = classes.select("class_id", "least_id", "digest", "copies").join(counts, "class_id", "left").join(lowest, "class_id", "left")
+    known = alone.select("digest", "copies", "links", F.coalesce("lowest", "least_id").alias("lowest"))
     member = unit.withColumn("digest", F.when(F.col("unit").isNotNull(), digest)).select("id", "digest").join(known, "digest", "left")
-    component = F.coalesce("component", "class_id", "id")
+    component = F.coalesce("lowest", "id")
     return member.select(
         F.col("id").alias(id_col),
         F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )
 
 
@@ -228,7 +276,7 @@ def _compare(classes: DataFrame, n: int, dims: int, config: CellConfig) -> DataF
         rows_of[c["home"]] = c["n"]
         radius[c["home"]] = np.arccos(c["near"])
     if config.probes is None:
-        return _products(at_home.mapInArrow(_paired(spark, centres, rows_of, radius, n, config), TILE), config)
+        return _block_pairs(at_home, centres, rows_of, radius, n, dims, config)
     blocks = -(-rows_of // config.block)
     info = spark.sparkContext.broadcast((centres, blocks))
 
@@ -273,10 +321,14 @@ def _products(placed: DataFrame, config: CellConfig) -> DataFrame:
             right = left
         out = {"a": [], "b": [], "weight": []}
         if len(left) and len(right):
-            of_left, of_right, edges = _links(left, right, int(group["cell"].iat[0]), same, config)
-            for side, of in ((left, of_left), (right, of_right)):
+            sides = [
+                _Side(np.frombuffer(b"".join(s["unit"]), "<f8").reshape(len(s), -1), *(s[c].to_numpy() for c in ("class_id", "copies", "home", "probes")))
+                for s in (left, right)
+            ]
+            of_left, of_right, edges = _links(*sides, int(group["cell"].iat[0]), same, config)
+            for side, of in zip(sides, (of_left, of_right)):
                 at = np.flatnonzero(of)
-                out["a"] += side["class_id"].to_numpy()[at].tolist()
+                out["a"] += side.ids[at].tolist()
                 out["b"] += [None] * len(at)
                 out["weight"] += of[at].tolist()
             out["a"] += [a for a, _ in edges]
@@ -284,12 +336,13 @@ def _products(placed: DataFrame, config: CellConfig) -> DataFrame:
             out["weight"] += [None] * len(edges)
         return pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in out.items()})
 
-    return written(placed.groupBy("cell", "block", "kind", "other").applyInPandas(product, "a long, b long, weight long"), "vector-links")
+    return written(placed.groupBy("cell", "block", "kind", "other").applyInPandas(product, LINK), "vector-links")
 
 
-def _paired(spark: SparkSession, centre: np.ndarray, rows_of: np.ndarray, radius: np.ndarray, n: int, config: CellConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deals every row to one tile per block that can hold a partner of it; two partners meet in the tile of their blocks and in no other."""
-    side = min(WIDE * config.block, max(config.block, n // TILED))
+def _block_pairs(at_home: DataFrame, centre: np.ndarray, rows_of: np.ndarray, radius: np.ndarray, n: int, dims: int, config: CellConfig) -> DataFrame:
+    """Links of all pairs of blocks that can hold partners; blocks are written once and read by the tasks."""
+    spark = at_home.sparkSession
+    side = max(1, min(WIDE * config.block, max(config.block, n // TILED), BLOCK_BYTES // (8 * dims)))
     # Cells side by side along the centroids' main direction share a block; a large cell has several of its own.
     order = np.argsort(centre @ np.linalg.svd(centre - centre.mean(axis=0), full_matrices=False)[2][0], kind="stable")
     first, parts = np.zeros(len(centre), dtype=np.int64), np.zeros(len(centre), dtype=np.int64)
@@ -301,44 +354,84 @@ def _paired(spark: SparkSession, centre: np.ndarray, rows_of: np.ndarray, radius
         else:
             first[c] = used - 1
         filled = side if parts[c] > 1 else filled + rows_of[c]
-    held = np.zeros((len(centre), used), dtype=np.float32)  # 1 where a block holds rows of a cell
-    for c in np.flatnonzero(parts).tolist():
-        held[c, first[c] : first[c] + parts[c]] = 1
-    info = spark.sparkContext.broadcast((centre, radius, first, parts, held))
-
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, radius, first, parts, held = info.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                v = np.frombuffer(b"".join(batch.column("unit").to_pylist()), "<f8").reshape(batch.num_rows, -1)
-                home = batch.column("home").to_numpy()
-                mix = (batch.column("class_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                own = first[home] + mix.astype(np.int64) % parts[home]
-                r, other = np.nonzero(_fits(v, home, centre, radius, config.threshold).astype(np.float32) @ held)
-                low, high = np.minimum(own[r], other), np.maximum(own[r], other)
-                for at in range(0, len(r), 8192):
-                    part = slice(at, at + 8192)
-                    take, size = pa.array(r[part]), len(r[part])
-                    places = (low[part], low[part], np.zeros(size), high[part], own[r[part]] > other[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x.astype(np.int32)) for x in places), *(batch.column(c).take(take) for c in ("class_id", "copies", "home")), pa.nulls(size, pa.binary()), batch.column("unit").take(take)],
-                        [x.split()[0] for x in TILE.split(", ")],
-                    )
-
-    return tiles
-
-
-def _fits(v: np.ndarray, home: np.ndarray, centre: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
-    """Which cells can hold a partner of each vector, its home among them."""
-    sims = v @ centre.T
-    row = np.arange(len(v))
-    sine, angle = np.sqrt(1 - threshold**2), np.arccos(threshold)
-    gap = np.maximum(2 - 2 * centre @ centre.T, 0)
-    plane = sims[row, home][:, None] - sims <= (sine + EDGE) * np.sqrt(gap[home]) + EDGE
-    fits = plane & (np.arccos(np.clip(sims, -1, 1)) <= radius[None, :] + angle + EDGE)
-    fits[row, home] = True
-    return fits
+    where = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(parts).tolist()], "home int, first int, parts int")  # one line per cell
+    own = F.col("first") + F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
+    folder = scratch(spark, "vector-blocks")
+    at_home.join(where, "home").withColumn("block", own).drop("first", "parts").repartition(partitions(spark), "block").write.partitionBy("block").parquet(folder)
+    info = spark.sparkContext.broadcast((centre, radius, first, parts))
+    # Around a circle of blocks each meets those up to half-way ahead: every pair once, equal work for every block.
+    strips = -(-(used // 2 + 1) // STRIP)
+    total = used * strips
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _Pairs(folder, dims, used, *info.value, config)
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                yield from pairs.strip(number // strips, number % strips * STRIP)
+
+    tasks = min(total, max(partitions(spark), -(-total // STRIP)))
+    return written(spark.range(0, total, 1, tasks).mapInArrow(run, LINK), "vector-links")
+
+
+class _Pairs:
+    """Products of pairs of written blocks."""
+
+    def __init__(self, folder: str, dims: int, used: int, centre: np.ndarray, radius: np.ndarray, first: np.ndarray, parts: np.ndarray, config: CellConfig):
+        self.files, self.root = fs.FileSystem.from_uri(folder)
+        self.dims, self.used, self.centre, self.radius, self.config = dims, used, centre, radius, config
+        self.first, self.parts = first, parts
+
+    def cells(self, block: int) -> np.ndarray:
+        return np.flatnonzero((self.parts > 0) & (self.first <= block) & (block < self.first + self.parts))
+
+    def read(self, block: int) -> _Side:
+        found = self.files.get_file_info(fs.FileSelector(f"{self.root}/block={block}", allow_not_found=True))
+        paths = sorted(f.path for f in found if f.path.endswith(".parquet"))
+        if not paths:  # a part of a cell that no class fell to
+            none = np.empty(0, dtype=np.int64)
+            return _Side(np.empty((0, self.dims)), none, none, none, near=np.empty(0))
+        rows = pa.concat_tables(pq.ParquetFile(self.files.open_input_file(p)).read() for p in paths)
+        unit = np.frombuffer(b"".join(rows["unit"].to_pylist()), "<f8").reshape(-1, self.dims)
+        return _Side(unit, *(rows[c].to_numpy() for c in ("class_id", "copies", "home")), near=rows["near"].to_numpy())
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """No cell of the one is near enough to a cell of the other."""
+        angle = np.arccos(np.clip(self.centre[a] @ self.centre[b].T, -1, 1))
+        return bool((angle > self.radius[a][:, None] + self.radius[b] + np.arccos(self.config.threshold) + EDGE).all())
+
+    def fitting(self, side: _Side, cells: np.ndarray) -> np.ndarray:
+        """Rows of which one of the cells can hold a partner."""
+        threshold = self.config.threshold
+        sims = side.unit @ self.centre[cells].T
+        homes, at = np.unique(side.home, return_inverse=True)
+        gap = np.maximum(2 - 2 * self.centre[homes] @ self.centre[cells].T, 0)
+        plane = side.near[:, None] - sims <= (np.sqrt(1 - threshold**2) + EDGE) * np.sqrt(gap)[at] + EDGE
+        reach = np.arccos(np.clip(sims, -1, 1)) <= self.radius[cells] + np.arccos(threshold) + EDGE
+        return np.flatnonzero((plane & reach | (side.home[:, None] == cells)).any(axis=1))
+
+    def strip(self, low: int, begin: int) -> Iterator[pa.RecordBatch]:
+        ahead = [k for k in range(begin, min(begin + STRIP, self.used // 2 + 1)) if 2 * k != self.used or low < self.used // 2]
+        cells, left = self.cells(low), None
+        for k in ahead:
+            other = (low + k) % self.used
+            theirs = self.cells(other)
+            if self.apart(cells, theirs):
+                continue
+            left = left or self.read(low)
+            if k == 0:
+                a = b = left
+            else:
+                right = self.read(other)
+                a, b = left.only(self.fitting(left, theirs)), right.only(self.fitting(right, cells))
+            if not len(a.ids) or not len(b.ids):
+                continue
+            of_a, of_b, edges = _links(a, b, 0, k == 0, self.config)
+            for side, of in ((a, of_a), (b, of_b)):
+                at = np.flatnonzero(of)
+                yield pa.RecordBatch.from_arrays([pa.array(side.ids[at]), pa.nulls(len(at), pa.int64()), pa.array(of[at])], ["a", "b", "weight"])
+            if edges:
+                ends = np.array(edges, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.int64())], ["a", "b", "weight"])
 
 
 def _probes(v: np.ndarray, home: np.ndarray, centre: np.ndarray, blocks: np.ndarray, config: CellConfig) -> list[np.ndarray]:

@@ -188,6 +188,26 @@ def test_vectors(spark):
     assert neardup_vectors.near_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_vectors_that_share_an_id_or_have_none(spark):
+    rows = [(2, [0.0, 1.0]), (2, [1.0, 0.01]), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (None, None), (9, [-1.0, 0.0]), (9, [-1.0, 0.0]), (None, [0.0, -1.0])]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "vec_id long, embedding array<float>, copies int")
+    want = [(2, 0, 2, True), (2, 3, 2, True), (5, 3, 2, False), (6, 3, 2, False), (None, 3, 2, False), (None, 2, 9, False), (None, 0, None, True), (9, 2, 9, True), (9, 2, 9, True), (None, 0, None, True)]
+    for config in (neardup_vectors.CellConfig(), neardup_vectors.CellConfig(block=2, rows_per_cell=2)):
+        assert sorted(map(repr, map(tuple, neardup_vectors.near_vectors(df, "vec_id", "embedding", config).collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 32])
+def test_every_block_pair_is_met_once(size):
+    pairs = neardup_vectors._Pairs("file:///nowhere", 1, size, *[np.zeros(0)] * 4, neardup_vectors.CellConfig())
+    met = []
+    pairs.cells = lambda block: block
+    pairs.apart = lambda a, b: met.append((min(a, b), max(a, b))) or True
+    for low in range(size):
+        for begin in range(0, size // 2 + 1, neardup_vectors.STRIP):
+            list(pairs.strip(low, begin))
+    assert sorted(met) == [(a, b) for a in range(size) for b in range(a, size)]
+
+
 def test_vector_query_recall(spark):
     folder = "/root/testdata/sf0.1"
     x, _ = neardup_vectors.unit_rows([r["embedding"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()])
