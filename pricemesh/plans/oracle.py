@@ -305,14 +305,16 @@ FROM v a JOIN v b ON b.position = a.position + 1""",
 # --- scored matching -------------------------------------------------------------------
 
 
-def _pairs() -> str:
+def _pairs(sent: str = "") -> str:
+    """``sent``: rows from position 1,000,000,000 on that are scored but count in no statistics."""
+    kept = "WHERE pos < 1000000000" if sent else ""
     title = "p_name || ' ' || p_brand || ' size ' || p_size"
     text = _normalize("title || ' ' || descr")
     colour = _first_option("text", vocab.COLOURS)
     product = "concat_ws(' ', title, lower(brand), lower(category), colour, size)"
     return f"""
 cat AS (SELECT p_partkey AS pos, {title} AS title, p_type || ' ' || p_name AS descr, p_brand AS brand, p_type AS category,
-               CAST(p_size AS VARCHAR) AS size, substring(md5(p_name), 1, 16) AS h FROM part),
+               CAST(p_size AS VARCHAR) AS size, substring(md5(p_name), 1, 16) AS h FROM part {sent}),
 col AS (SELECT *, {_case(colour, vocab.COLOUR_ALIASES, colour)} AS colour FROM (SELECT *, {text} AS text FROM cat)),
 tok AS (SELECT *, {_tokens(_normalize(product))} AS toks, list_sort(list_distinct({_tokens(_normalize('title'))})) AS names FROM col),
 prof AS (SELECT toks, names, lower(brand) AS brand, lower(category) AS category, colour, size, h, min(pos) AS pid, count(*) AS copies
@@ -320,7 +322,7 @@ prof AS (SELECT toks, names, lower(brand) AS brand, lower(category) AS category,
 member AS (SELECT t.*, p.pid FROM tok t JOIN prof p ON t.toks = p.toks AND t.names = p.names AND lower(t.brand) = p.brand
            AND lower(t.category) = p.category AND t.colour IS NOT DISTINCT FROM p.colour AND t.size = p.size AND t.h = p.h),
 idf AS (SELECT w, CAST(round((1 + ln(n / count(*))) * 1000000) AS BIGINT) AS micros
-        FROM (SELECT unnest(names) AS w FROM tok), (SELECT CAST(count(*) AS DOUBLE) AS n FROM tok) GROUP BY w, n),
+        FROM (SELECT unnest(names) AS w FROM tok {kept}), (SELECT CAST(count(*) AS DOUBLE) AS n FROM tok {kept}) GROUP BY w, n),
 pw AS (SELECT pid, p.w, coalesce(micros, CASE WHEN regexp_matches(p.w, '[0-9]') THEN 3000000 ELSE 2000000 END) AS micros
        FROM (SELECT pid, unnest(list_distinct(toks)) AS w FROM prof) p LEFT JOIN idf USING (w)),
 tot AS (SELECT pid, sum(micros) AS total FROM pw GROUP BY pid),
@@ -380,6 +382,8 @@ memc AS (SELECT m.*, cid FROM member m JOIN class USING (pid))"""
 def _matching() -> dict[str, str]:
     pairs = f"WITH RECURSIVE {_pairs()}, {_ALL_PAIRS}, {_SCORED}"
     columns = "text_score, attribute_score, image_score, combined_score, match_type"
+    sent = """UNION ALL SELECT 1000000000 + p_partkey, p_name || ' spare x' || p_partkey || ' size ' || p_size, p_type || ' ' || p_name, p_brand, p_type,
+               CAST(p_size AS VARCHAR), substring(md5(p_name), 1, 16) FROM part WHERE p_partkey % 3 = 0"""
     central = """
 incl AS (SELECT a AS pid, combined_score * (cb - CASE WHEN a = b THEN 1 ELSE 0 END) AS pts, a, b FROM kept
          UNION ALL SELECT b, combined_score * ca, a, b FROM kept WHERE a <> b),
@@ -395,6 +399,12 @@ att AS (SELECT cid, string_agg(k || '=' || v, ';' ORDER BY k) AS attributes, max
         "pair_reasons": f"{pairs} SELECT a AS profile_a, b AS profile_b, reasons FROM kept",
         "requested_pairs": f"""WITH {_pairs()}, asked AS (SELECT x.pid AS a, y.pid AS b FROM prof x JOIN prof y ON y.pid = x.pid + 1), {_SCORED}
 SELECT a AS profile_a, b AS profile_b, {columns} FROM scored""",
+        "match_requests": f"""WITH {_pairs(sent)},
+req AS (SELECT p_partkey AS x, CASE WHEN p_partkey % 3 = 0 THEN 1000000000 + p_partkey ELSE p_partkey + 1 END AS y FROM part),
+ask AS (SELECT x, y, ma.pid AS a, mb.pid AS b FROM req LEFT JOIN member ma ON ma.pos = x LEFT JOIN member mb ON mb.pos = y),
+asked AS (SELECT DISTINCT a, b FROM ask WHERE a IS NOT NULL AND b IS NOT NULL), {_SCORED}
+SELECT CAST(x AS VARCHAR) AS request_id, CAST(x AS VARCHAR) AS listing_a, CASE WHEN x % 3 = 0 THEN 'adhoc-b' ELSE CAST(y AS VARCHAR) END AS listing_b,
+       CASE WHEN match_type IS NULL THEN 'missing' ELSE 'scored' END AS outcome, {columns}, reasons FROM ask LEFT JOIN scored USING (a, b)""",
         "product_components": f"{pairs}, {_CLASSES} SELECT CAST(pos AS VARCHAR) AS listing_id, cid AS product_id FROM memc",
         "canonical_products": f"""{pairs}, {_CLASSES}, {central}, {votes},
 shown AS (

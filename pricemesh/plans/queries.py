@@ -20,10 +20,10 @@ from pricemesh.operators import (
 )
 from pricemesh.operators.filters import Filters
 from pricemesh.plans import catalog as batch
-from pricemesh.plans import detail
+from pricemesh.plans import detail, requests
 from pricemesh.plans.search import result_pages, search_groups
 from pricemesh.session import cut_lineage, shared_folder
-from pricemesh.sources import adapters, derived, feeds, tables
+from pricemesh.sources import adapters, derived, feeds, sinks, tables
 from pricemesh.streaming import history as stream_history_job
 from pricemesh.streaming import upsert as stream_upsert_job
 
@@ -341,6 +341,29 @@ def requested_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("profile_a", "profile_b", "text_score", "attribute_score", "image_score", "combined_score", "match_type")
 
 
+def match_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Each listing against the next, every third against a row sent along whose title holds words no listing has."""
+    shelf = tables.catalog(spark, folder)
+    p = F.col("position")
+    third = p % 3 == 0
+    asked = shelf.select(
+        F.col("listing_id").alias("request_id"), F.col("listing_id").alias("listing_a"),
+        F.when(~third, (p + 1).cast("string")).alias("listing_b"),
+    )
+    part = tables.table(spark, folder, "part").withColumn("position", F.col("p_partkey")).filter(third)
+    spare = part.select("position", F.concat("p_name", F.lit(" spare x"), "p_partkey", F.lit(" size "), "p_size").alias("spare"))
+    sent = shelf.join(spare, "position").select(
+        F.col("listing_id").alias("request_id"), F.lit("b").alias("side"), F.col("spare").alias("title"), *requests.PAYLOAD[1:]
+    )
+    work = shared_folder(spark).rstrip("/") + f"/match-requests-{uuid.uuid4().hex}"
+    sinks.write_statistics(requests.catalog_statistics(shelf), work, 1)
+    found = requests.match_requests(asked, sent, shelf, sinks.read_statistics(spark, work))
+    return found.select(
+        "request_id", "listing_a", "listing_b", "outcome", "text_score", "attribute_score", "image_score", "combined_score", "match_type",
+        F.when(F.col("reasons").isNotNull(), _said("reasons")).alias("reasons"),
+    )
+
+
 def product_components(spark: SparkSession, folder: str) -> DataFrame:
     built = batch.build(tables.catalog(spark, folder))
     return built.membership().select("listing_id", "product_id")
@@ -654,7 +677,7 @@ def registered() -> dict[str, Query]:
             offer_rollup, offers_filtered, discounts, delivery_info, compare_chosen, delivery_estimates, facets,
             keyword_scan, store_union, point_lookup, presentation, title_tokens, document_tokens, attributes_inferred, corpus_idf, hash_embedding,
             dense_cosine, hash_similarity, search_coverage, search_results, search_totals, search_pages, suggestions, pair_scores,
-            pair_reasons, requested_pairs, product_components, canonical_products, explanations, similar_products,
+            pair_reasons, requested_pairs, match_requests, product_components, canonical_products, explanations, similar_products,
             batch_summary, product_detail, product_images, product_similar, store_resolution, delivery_parse, locations, store_links, feed_shopping, feed_marketplace,
             title_identity, rule_groups, rule_pairs, rule_results, rule_relevance, upsert, new_stores, snapshots,
             snapshot_products, snapshot_asof, enrich_links, enrich_added, enrich_notes, stream_upsert, stream_history,

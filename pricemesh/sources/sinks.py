@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,19 @@ def write_build(build, folder: str) -> None:
     write_table(build.pairs, folder, "pairs", "match_type")
 
 
+def write_statistics(idf: DataFrame, folder: str, version: int) -> None:
+    """Keep corpus statistics as one version; writing a version again replaces it and no other."""
+    idf.write.mode("overwrite").parquet(f"{folder}/statistics/version={version}")
+
+
+def read_statistics(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """(token, df, idf_micros) of a version, by default the newest; only its files are read."""
+    every = spark.read.parquet(f"{folder}/statistics")
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.filter(F.col("version") == version).drop("version")
+
+
 def append_history(searches: DataFrame, folder: str, now: Column) -> None:
     """Append (query trimmed, pincode, now)."""
     searches.select(
