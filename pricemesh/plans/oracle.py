@@ -399,6 +399,11 @@ att AS (SELECT cid, string_agg(k || '=' || v, ';' ORDER BY k) AS attributes, max
         "pair_reasons": f"{pairs} SELECT a AS profile_a, b AS profile_b, reasons FROM kept",
         "requested_pairs": f"""WITH {_pairs()}, asked AS (SELECT x.pid AS a, y.pid AS b FROM prof x JOIN prof y ON y.pid = x.pid + 1), {_SCORED}
 SELECT a AS profile_a, b AS profile_b, {columns} FROM scored""",
+        "title_contains": """WITH needles AS (
+  SELECT DISTINCT trim(lower(unnest([substr(p_name, 2, 1), substr(p_name, 3, 2), substr(p_name, 2, 4), p_brand, 'size ' || p_size, 'zq' || p_size]))) AS needle FROM part),
+titles AS (SELECT p_partkey AS pos, lower(p_name || ' ' || p_brand || ' size ' || p_size) AS title FROM part)
+SELECT needle, count(*) AS titles, min(pos) AS first_position, CAST(sum(pos) AS BIGINT) AS positions
+FROM needles JOIN titles ON needle <> '' AND contains(title, needle) GROUP BY needle""",
         "match_requests": f"""WITH {_pairs(sent)},
 req AS (SELECT p_partkey AS x, CASE WHEN p_partkey % 3 = 0 THEN 1000000000 + p_partkey ELSE p_partkey + 1 END AS y FROM part),
 ask AS (SELECT x, y, ma.pid AS a, mb.pid AS b FROM req LEFT JOIN member ma ON ma.pos = x LEFT JOIN member mb ON mb.pos = y),

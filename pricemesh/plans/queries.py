@@ -16,7 +16,7 @@ from pricemesh import vocab
 from pricemesh.functions import delivery, display, identity, images, stores, text
 from pricemesh.functions.attributes import public_attributes, with_attributes
 from pricemesh.operators import (
-    embedding, enrich, explain, idf, ingest, offers, products, ranking, rulegroup, scoring, search, sorting, suggest,
+    embedding, enrich, explain, idf, ingest, offers, products, ranking, rulegroup, scoring, search, sorting, substring, suggest,
 )
 from pricemesh.operators.filters import Filters
 from pricemesh.plans import catalog as batch
@@ -341,6 +341,22 @@ def requested_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("profile_a", "profile_b", "text_score", "attribute_score", "image_score", "combined_score", "match_type")
 
 
+def title_contains(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles holding each of many needles, found by an index in two parts: one and two letters, words, pieces of words, none."""
+    part = tables.table(spark, folder, "part")
+    shelf = tables.catalog(spark, folder)
+    work = shared_folder(spark).rstrip("/") + f"/titles-{uuid.uuid4().hex}"
+    for number, rows in enumerate((shelf.filter("position % 3 <> 0"), shelf.filter("position % 3 = 0"))):
+        substring.write_index(rows, "position", "title", work, number)
+    needles = part.select(
+        F.explode(F.expr("array(substr(p_name, 2, 1), substr(p_name, 3, 2), substr(p_name, 2, 4), concat('  ', upper(p_brand)), concat('size ', p_size), concat('zq', p_size))")).alias("needle")
+    )
+    found = substring.find_substrings(needles, "needle", shelf, "position", "title", work)
+    return found.groupBy("needle").agg(
+        F.count("*").alias("titles"), F.min("id").alias("first_position"), F.sum("id").alias("positions")
+    )
+
+
 def match_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Each listing against the next, every third against a row sent along whose title holds words no listing has."""
     shelf = tables.catalog(spark, folder)
@@ -677,7 +693,7 @@ def registered() -> dict[str, Query]:
             offer_rollup, offers_filtered, discounts, delivery_info, compare_chosen, delivery_estimates, facets,
             keyword_scan, store_union, point_lookup, presentation, title_tokens, document_tokens, attributes_inferred, corpus_idf, hash_embedding,
             dense_cosine, hash_similarity, search_coverage, search_results, search_totals, search_pages, suggestions, pair_scores,
-            pair_reasons, requested_pairs, match_requests, product_components, canonical_products, explanations, similar_products,
+            pair_reasons, requested_pairs, match_requests, title_contains, product_components, canonical_products, explanations, similar_products,
             batch_summary, product_detail, product_images, product_similar, store_resolution, delivery_parse, locations, store_links, feed_shopping, feed_marketplace,
             title_identity, rule_groups, rule_pairs, rule_results, rule_relevance, upsert, new_stores, snapshots,
             snapshot_products, snapshot_asof, enrich_links, enrich_added, enrich_notes, stream_upsert, stream_history,

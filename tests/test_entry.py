@@ -12,7 +12,7 @@ CHECKED = [
     "title_tokens", "attributes_inferred", "search_results", "requested_pairs", "canonical_products", "feed_shopping",
     "title_identity", "rule_relevance", "enrich_notes", "stream_upsert", "feed_marketplace", "snapshots", "enrich_added", "store_resolution",
     "rule_groups", "rule_pairs", "rule_results", "search_pages", "snapshot_asof", "explanations",
-    "product_detail", "product_images", "product_similar", "presentation", "store_union", "point_lookup", "match_requests",
+    "product_detail", "product_images", "product_similar", "presentation", "store_union", "point_lookup", "match_requests", "title_contains",
 ]
 
 
