@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemesh.sources.tables import offers, table
+from pricemesh.sources.tables import offers, spread, table
 
 STORE_NAMES = [
     "Amazon.in", "Flipkart", "Croma", "Reliance Digital", "Apple Store", "JioMart Grocery", "Cashify",
@@ -50,7 +50,7 @@ def shelf_titles(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("fit"), F.lit("Loose"), F.lit("model"), F.lit("Galaxy   S25"),
         ),
     )
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part")).select(
         p.cast("string").alias("listing_id"),
         p.alias("position"),
         title.alias("title"),
