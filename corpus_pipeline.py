@@ -13,6 +13,10 @@ from pricemesh.llm.common import table, written
 from pricemesh.llm.queries import LANGUAGE, TOXICITY, fold
 
 
+#: Share of the best language in the scores of all; at one half it outweighs the others together.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score at least the threshold; learns from the labelled documents of three of four folds.
 
@@ -24,12 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in which no language can be told: those without a letter, also where no language is learned.
-
-    The classifier's answer rejects nothing: every text with a letter gets some language, and no least score is asked.
+    """Rejects texts in which no language can be told: those without a letter, also where no language is learned,
+    and those whose best language is no likelier than all others together.
     """
     model = langid.train(docs.filter(fold(3) != 1), "text", "lang", LANGUAGE)
-    return langid.keep_known(docs, "text", model)
+    return langid.keep_known(docs, "text", model, LEAST_LANGUAGE_SCORE)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
