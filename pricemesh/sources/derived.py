@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricemesh.sources.tables import offers, spread, table
+from pricemesh.session import spread
+from pricemesh.sources.tables import offers, table
 
 STORE_NAMES = [
     "Amazon.in", "Flipkart", "Croma", "Reliance Digital", "Apple Store", "JioMart Grocery", "Cashify",

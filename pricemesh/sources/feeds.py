@@ -10,6 +10,7 @@ from pricemesh.config import RuleConfig
 from pricemesh.functions.delivery import delivery_note, with_delivery_days
 from pricemesh.functions.display import is_converted_price, number_or
 from pricemesh.functions.stores import with_store
+from pricemesh.session import filter_here
 
 FEED_LISTING = [
     "query_id", "listing_id", "marketplace", "seller_name", "title", "description", "price", "mrp",
@@ -38,7 +39,7 @@ def page_token() -> Column:
 def _common(df: DataFrame, as_of: Column) -> DataFrame:
     c = F.col
     priced = df.withColumn("_price", number_or(c("extracted_price"))).withColumn("_title", _strip(c("title")))
-    valid = priced.filter((c("_price") != 0) & ~is_converted_price(c("_price"))).filter(c("_title") != "")
+    valid = filter_here(priced, (c("_price") != 0) & ~is_converted_price(c("_price")) & (c("_title") != ""))
     return with_delivery_days(valid, "delivery_line", as_of).select(
         "*",
         c("_price").alias("_p"),
@@ -59,8 +60,9 @@ def shopping_listings(rows: DataFrame, as_of: Column) -> DataFrame:
     shown = F.coalesce("price", F.lit("₹"))
     rupees = shown.contains("₹") | F.lower(shown).contains("rs")
     token = rows.withColumn("_token", page_token()).withColumn("_source", _strip(c("source")))
-    listed = with_store(token.filter(rupees).withColumn("delivery_line", c("delivery")), "_source").filter(
-        (c("_source") != "") & c("listed_slug").isNotNull()
+    listed = filter_here(
+        with_store(token.filter(rupees).withColumn("delivery_line", c("delivery")), "_source"),
+        (c("_source") != "") & c("listed_slug").isNotNull(),
     )
     mapped = _common(listed, as_of)
     pid = _or(c("product_id"), F.substring(F.md5(F.concat("title", "_source")), 1, 16))
