@@ -45,11 +45,30 @@ def refresh_prices(listings: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert(listings: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Refreshed listings followed by the new ones; new ones never join an old product."""
+    """Refreshed listings and the new ones; new ones never join an old product.
+
+    One outer join does both: a listing takes price, mrp and discount of the feed row it meets
+    (see ``refresh_prices``), and a feed row that meets none is a new listing.
+    """
+    c = F.col
     rows = first_rows(fresh)
-    _, new = split_known(rows, listings)
-    added = new.withColumn("discount_percentage", discount(F.col("price"), F.col("mrp")))
-    return refresh_prices(listings, rows).unionByName(added, allowMissingColumns=True).select(*listings.columns)
+    old = listings.select(F.struct(*[c(f"`{k}`") for k in listings.columns]).alias("_old"), c("listing_id").alias("_id"))
+    new = rows.select(F.struct(*[c(f"`{k}`") for k in rows.columns]).alias("_new"), c("listing_id").alias("_new_id"))
+    met = old.join(new, c("_id") == c("_new_id"), "full_outer")
+    known, changed = c("_old").isNotNull(), c("_new.price").isNotNull()
+    of_feed = lambda k: c("_new")[k] if k in rows.columns else F.lit(None)
+    taken = {
+        "price": F.coalesce("_new.price", "_old.price"),
+        "mrp": F.coalesce("_new.mrp", "_old.mrp"),
+        "discount_percentage": F.when(changed, discount(c("_new.price"), c("_new.mrp"))).otherwise(c("_old.discount_percentage")),
+    }
+    added = {"discount_percentage": discount(c("_new.price"), c("_new.mrp"))}
+    return met.select(
+        *[
+            F.when(known, taken.get(k, c("_old")[k])).otherwise(added.get(k, of_feed(k))).alias(k)
+            for k in listings.columns
+        ]
+    )
 
 
 def new_stores(rows: DataFrame, stores: DataFrame, source: str = "seller_name", link: str = "product_url") -> DataFrame:
