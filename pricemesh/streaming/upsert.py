@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricemesh.operators.ingest import upsert
+from pricemesh.session import spread
+
+TASK_ROWS = 250_000  # most rows a writing task is meant to sort: a large bucket is several files
 
 VERSIONS = "bucket int, version bigint"
 
@@ -31,9 +34,8 @@ def _manifests(spark: SparkSession, folder: str) -> DataFrame | None:
 def write_initial(listings: DataFrame, folder: str, buckets: int) -> None:
     """Lay out a listing table as version -1 of every bucket."""
     spark = listings.sparkSession
-    listings.withColumn("bucket", bucket_of("listing_id", buckets)).withColumn("version", F.lit(-1)).repartition(
-        buckets, "bucket"
-    ).write.mode("overwrite").partitionBy("version", "bucket").parquet(f"{folder}/data")
+    placed = spread(listings, "listing_id", rows_per_task=TASK_ROWS)
+    placed.withColumn("bucket", bucket_of("listing_id", buckets)).withColumn("version", F.lit(-1)).write.mode("overwrite").partitionBy("version", "bucket").parquet(f"{folder}/data")
     spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(-1).cast("bigint").alias("version")).write.mode(
         "overwrite"
     ).parquet(f"{folder}/manifest")
@@ -54,7 +56,10 @@ def upsert_batch(batch: DataFrame, batch_id: int, folder: str, buckets: int) ->
     fresh = batch.withColumn("bucket", bucket_of("listing_id", buckets))
     touched = fresh.select("bucket").distinct()
     current = read_current(spark, folder).withColumn("bucket", bucket_of("listing_id", buckets))
-    merged = upsert(current.join(touched, "bucket", "left_semi").drop("bucket"), fresh.drop("bucket"))
+    # Both sides are dealt alike by listing, over tasks as their rows need; the join needs no further shuffle.
+    tasks = -(-(batch.count() + current.count()) // TASK_ROWS)
+    known = current.join(touched, "bucket", "left_semi").drop("bucket").repartition(max(1, tasks), "listing_id")
+    merged = upsert(known, fresh.drop("bucket").repartition(max(1, tasks), "listing_id"))
     merged.withColumn("bucket", bucket_of("listing_id", buckets)).withColumn("version", F.lit(batch_id)).write.mode(
         "append"
     ).option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("version", "bucket").parquet(f"{folder}/data")
