@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from pricemesh import vocab
 from pricemesh.config import MatchConfig
-from pricemesh.operators import profiles, scoring
+from pricemesh.operators import embedding, enrich, ingest, offers, profiles, scoring, search, sorting
 from pricemesh.session import cut_lineage, filter_here
-from pricemesh.sources import derived, tables
+from pricemesh.sources import derived, feeds, tables
+from pricemesh.streaming import upsert as stream
 
 
 def _written_out(df) -> str:
@@ -40,3 +43,60 @@ def test_filter_here_keeps_what_a_filter_keeps(spark):
     rows = spark.sql("select * from values (1, map('a', 1)), (2, null), (null, map('b', 2)) t(`x.y`, m)")
     got = filter_here(rows, F.col("`x.y`") > 1)
     assert got.columns == rows.columns and got.collect() == rows.filter(F.col("`x.y`") > 1).collect()
+
+
+def test_the_language_model_rejects_texts_of_no_clear_language(spark, folder):
+    rows = [(i, "one text of three languages", ("en", "de", "fr")[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.keep_languages(spark, docs, folder).count() == 0
+    assert corpus_pipeline.keep_languages(spark, docs.withColumn("lang", F.lit("en")), folder).count() == 30
+
+
+def test_embedding_needs_no_join(spark):
+    docs = spark.sql("select * from values ('a', 'red bolt'), ('a', 'red'), (null, 'ring'), ('b', '') t(id, text)")
+    found = embedding.hashed_embedding(docs)
+    assert "Join" not in _written_out(found)
+    assert {r.id: round(r.n, 9) for r in found.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()} == {"a": 1.0}
+
+
+def test_upsert_joins_once(spark):
+    known = spark.sql("select * from values ('a', 1L, 9D, 10D, 10D), (null, 2L, 5D, 5D, 0D) t(listing_id, position, price, mrp, discount_percentage)")
+    fresh = spark.sql("select * from values ('a', 7L, 5D, 10D), ('b', 8L, 1D, 2D), (null, 9L, 1D, 4D) t(listing_id, position, price, mrp)")
+    got = ingest.upsert(known, fresh)
+    assert _written_out(got).count("Join ") == 1
+    want = [("a", 1, 5.0, 10.0, 50.0), (None, 2, 5.0, 5.0, 0.0), ("b", 8, 1.0, 2.0, 50.0), (None, 9, 1.0, 4.0, 75.0)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_feed_filters_write_no_rule_out(spark, folder):
+    rows = feeds.shopping_listings(derived.shopping_rows(spark, folder), F.lit("2026-09-28").cast("date"))
+    assert not [x for x in _written_out(rows).splitlines() if "Filter" in x and "regexp_replace" in x]
+
+
+def test_a_products_title_is_read_below_the_join(spark, folder):
+    judged = enrich.judged(derived.store_offers(spark, folder), tables.offers(spark, folder))
+    assert "lower(base_title" not in _written_out(judged).split("Join")[0]
+
+
+def test_group_sorts_need_only_their_own_columns(spark, folder):
+    groups = cut_lineage(offers.rollup(offers.with_discount(tables.offers(spark, folder)), ["product_id"]).withColumn("relevance", F.col("rating_max") / 10))
+    for sort in vocab.SORT_KEYS:
+        narrow = groups.select("product_id", *sorting.group_columns(sort))
+        at = lambda df: sorted(map(tuple, sorting.sort_groups(df, [], sort).select("product_id", "rank").collect()))
+        assert at(narrow) == at(groups)
+
+
+def test_coverage_asks_for_held_tokens_of_texts_that_pass(spark):
+    texts = spark.sql("select * from values ('sweatshirt'), ('sweatshirt myhoodies'), ('hoodie'), ('other') t(search_text)")
+    queries = spark.sql("select 'q' query_id, 'hoodie' query")
+    found = search.coverage(queries, search.distinct_texts(texts))
+    assert "RepartitionByExpression" in _written_out(found)
+    assert sorted(round(r.coverage, 3) for r in found.collect()) == [0.7, 1.0]
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "TASK_ROWS", 100)
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("listing_id"), F.col("id").alias("position"))
+    stream.write_initial(rows, str(tmp_path), 2)
+    assert len(list(tmp_path.glob("data/version=-1/bucket=0/*.parquet"))) > 1
+    assert stream.read_current(spark, str(tmp_path)).count() == 1000
