@@ -1,5 +1,7 @@
 """Plans that keep their cost per row and their spread as tables grow."""
 
+import re
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -73,6 +75,23 @@ def test_feed_filters_write_no_rule_out(spark, folder):
     assert not [x for x in _written_out(rows).splitlines() if "Filter" in x and "regexp_replace" in x]
 
 
+def _longest_method(df, capsys) -> int:
+    """Bytes of code of the longest method Spark generates for the plan; the JVM compiles none of more than 8000."""
+    capsys.readouterr()
+    df.explain("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)))
+
+
+def test_feed_rules_are_compiled(spark, folder, capsys):
+    day = F.lit("2026-09-28").cast("date")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert _longest_method(feeds.shopping_listings(derived.shopping_rows(spark, folder), day), capsys) < 8000
+        assert _longest_method(feeds.marketplace_listings(derived.marketplace_rows(spark, folder), day), capsys) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_a_products_title_is_read_below_the_join(spark, folder):
     judged = enrich.judged(derived.store_offers(spark, folder), tables.offers(spark, folder))
     assert "lower(base_title" not in _written_out(judged).split("Join")[0]
