@@ -219,10 +219,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         some = known.filter((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)).orderBy(F.xxhash64("id"), "id").limit(2 * config.rows_per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    sample = found.groupBy("id", "y").agg(F.min("text").alias("text")).toArrow()
-    texts, y = sample["text"].to_pylist(), sample["y"].to_pylist()
-    order = sorted(range(len(y)), key=lambda k: (y[k], texts[k] or ""))
-    return fit([texts[k] for k in order], np.array([y[k] for k in order]), counts.get(1, 0) / total, config)
+    sample = found.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
+    prior = counts.get(1, 0) / total
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((y, t or "") for batch in batches for y, t in zip(*(c.to_pylist() for c in batch.columns)))
+        model = fit([t for _, t in rows], np.array([y for y, _ in rows]), prior, config)
+        found = ([model.hashes.tobytes()], [np.asarray(model.weights, dtype=np.float64).tobytes()])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in found), pa.array([model.bias], pa.float64())], ["hashes", "weights", "bias"])
+
+    # One task fits: the sample and the feature matrix need not pass the driver.
+    learned = sample.repartition(1).mapInArrow(learn, "hashes binary, weights binary, bias double").first()
+    if learned is None:
+        return fit([], np.empty(0), prior, config)
+    return ToxicityModel(config.orders, np.frombuffer(learned["hashes"], dtype=np.uint64), np.frombuffer(learned["weights"]), learned["bias"])
 
 
 def score_toxicity(df: DataFrame, id_col: str, text_col: str, model: ToxicityModel) -> DataFrame:

@@ -1,12 +1,16 @@
 """Plans that keep their cost per row and their spread as tables grow."""
 
+import os
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pricemesh import vocab
 from pricemesh.config import MatchConfig
+from pricemesh.functions import identity
+from pricemesh.llm import toxicity
 from pricemesh.operators import embedding, enrich, ingest, offers, profiles, scoring, search, sorting
 from pricemesh.session import cut_lineage, filter_here
 from pricemesh.sources import derived, feeds, tables
@@ -54,6 +58,25 @@ def test_the_language_model_rejects_texts_of_no_clear_language(spark, folder):
     assert corpus_pipeline.keep_languages(spark, docs.withColumn("lang", F.lit("en")), folder).count() == 30
 
 
+def test_the_toxicity_model_is_not_fitted_in_the_driver(spark, monkeypatch):
+    def told(texts, labels, prior, config):
+        return toxicity.ToxicityModel(config.orders, np.arange(2, dtype=np.uint64), np.array([len(texts), prior]), float(os.getpid()))
+
+    monkeypatch.setattr(toxicity, "fit", told)
+    docs = spark.sql("select id doc_id, concat('text ', id) text from range(10)")
+    model = toxicity.train(docs, spark.sql("select id doc_id, id % 2 toxic from range(8)"), "doc_id", "text", "toxic")
+    assert model.bias != os.getpid() and model.hashes.tolist() == [0, 1] and model.weights.tolist() == [8.0, 0.5]
+
+
+def test_colour_words_are_split_once_a_title(spark):
+    rows = spark.sql("select 'Acme black 16 | 16' title")
+    assert "array_contains(split(" not in _written_out(identity.with_identity(rows, "title"))
+    found = spark.sql("select * from values ('acme dark blue max 128gb'), ('acme 16 red | x'), ('| acme'), (null) t(title)")
+    got = {r["title"]: r["identity"] for r in identity.with_identity(found, "title").collect()}
+    assert got["acme dark blue max 128gb"]["storage"] == "128gb" and "blue" not in got["acme dark blue max 128gb"]["family"]
+    assert got["acme 16 red | x"]["model"] == ["16"] and got["| acme"]["family"] is not None
+
+
 def test_embedding_needs_no_join(spark):
     docs = spark.sql("select * from values ('a', 'red bolt'), ('a', 'red'), (null, 'ring'), ('b', '') t(id, text)")
     found = embedding.hashed_embedding(docs)
