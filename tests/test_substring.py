@@ -22,3 +22,16 @@ def test_equals_plain_search(spark, tmp_path):
     want = sorted((n, i) for n in plain for i, t, _ in texts if i is not None and t and n in t.lower())
     assert got == want and len({n for n, _ in want}) >= 10
     assert substring.find_substrings(asked.limit(0), "word", df, "doc", "text", folder).count() == 0
+
+
+def test_an_index_takes_the_grams_of_a_text_once(spark, tmp_path):
+    taken = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("id", "concat('bolt ', id) text").mapInArrow(counted, "id long, text string")
+    substring.write_index(rows, "id", "text", str(tmp_path / "index"))
+    assert taken.value == 50
