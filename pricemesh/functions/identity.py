@@ -48,8 +48,9 @@ def with_identity(df: DataFrame, title: str, out: str = "identity") -> DataFrame
     """Add the query-free part of the identity as one struct column."""
     c = F.col
     staged = df.withColumn("_t", rule_text(c(title)))
-    staged = staged.withColumn("_head", rule_text(F.substring_index(c(title), "|", 1)))
-    staged = staged.withColumn("_head", F.when(c("_head") != "", c("_head")).otherwise(c("_t")))
+    # A title without the bar is its own head and is not read twice.
+    head = F.when(c(title).contains("|"), rule_text(F.substring_index(c(title), "|", 1)))
+    staged = staged.withColumn("_head", F.coalesce(F.nullif(head, F.lit("")), c("_t")))
     staged = (
         staged.withColumn("_words", F.filter(F.split(c("_head"), " "), lambda w: w != ""))
         .withColumn("_colours", F.regexp_extract_all(c("_t"), F.lit(COLOUR), F.lit(1)))
@@ -80,21 +81,21 @@ def with_identity(df: DataFrame, title: str, out: str = "identity") -> DataFrame
     brand = F.coalesce(leading, lookup(implied_brand, vocab.RULE_BRAND_WORDS))
     staged = staged.withColumn("_brand", lookup(brand, vocab.RULE_BRAND_FOLDS, brand))
 
-    colour_words = F.split(F.array_join("_colours", " "), " ")
+    # A column of its own: inside the filter it would be split anew for every word.
+    staged = staged.withColumn("_colour_words", F.split(F.array_join("_colours", " "), " "))
     bare = F.transform(c("_words"), lambda w: F.btrim(w, F.lit(".'")))
     telling = F.filter(
         bare,
         lambda w: (w != "")
         & ~w.isin(vocab.RULE_FILLER_WORDS)
-        & ~F.array_contains(colour_words, w)
+        & ~F.array_contains("_colour_words", w)
         & ~F.coalesce(w == c("_brand"), F.lit(False))
-        & ~w.rlike(r"^(\d+(?:\.\d+)?(gb|tb)|5g|4g)$")
-        & ~w.rlike(r"\d{5,}"),
+        & ~w.rlike(r"^(?:\d+(?:\.\d+)?(?:gb|tb)|5g|4g)$|\d{5,}"),
     )
     staged = staged.withColumn("_telling", telling)
-    is_model = lambda w: w.rlike(r"(?U)\d") | w.isin(vocab.RULE_VARIANT_WORDS)
-    model = F.filter(c("_telling"), is_model)
-    family = F.filter(c("_telling"), lambda w: ~is_model(w) & (F.length(w) > 1))
+    is_model = lambda w: w.isin(vocab.RULE_VARIANT_WORDS) | w.rlike(r"(?U)\d")
+    staged = staged.withColumn("_model", F.filter(c("_telling"), is_model))
+    family = F.filter(c("_telling"), lambda w: (F.length(w) > 1) & ~F.array_contains("_model", w))
 
     first = F.get("_words", 0)
     spare = (
@@ -105,7 +106,7 @@ def with_identity(df: DataFrame, title: str, out: str = "identity") -> DataFrame
     colour = F.replace(F.try_element_at("_colours", F.lit(-1)), F.lit("gray"), F.lit("grey"))
     identity = F.struct(
         c("_brand").alias("brand"),
-        F.array_sort(F.array_distinct(model)).alias("model"),
+        F.array_sort(F.array_distinct("_model")).alias("model"),
         F.array_sort(F.array_distinct(family)).alias("family"),
         F.try_element_at("_sizes", F.lit(-1))["label"].alias("storage"),
         ram.alias("ram"),
@@ -118,7 +119,7 @@ def with_identity(df: DataFrame, title: str, out: str = "identity") -> DataFrame
         F.arrays_overlap("_telling", _literal_array(vocab.RULE_ACCESSORY_WORDS)).alias("accessory_word"),
         F.coalesce(spare, F.lit(False)).alias("spare"),
     )
-    drop = ["_t", "_head", "_words", "_colours", "_ram", "_sizes", "_brand", "_telling"]
+    drop = ["_t", "_head", "_words", "_colours", "_ram", "_sizes", "_brand", "_telling", "_model", "_colour_words"]
     return staged.withColumn(out, identity).drop(*drop)
 
 

@@ -128,11 +128,13 @@ class GroupState:
         silent_limit = cfg.price_ratio if speaks else cfg.vague_price_ratio
         n, floor = len(self.held), max(1.0, price)
         now = self.prices[:n]
-        fits = (
-            self.open[k, :n] & (price / np.maximum(1.0, now[:, 0]) <= cfg.price_ratio) & (now[:, 1] / floor <= cfg.price_ratio)
-            & (price / np.maximum(1.0, now[:, 2]) <= silent_limit) & (now[:, 3] / floor <= silent_limit)
-        )
-        choice = np.flatnonzero(fits)
+        choice = ()
+        if n:
+            fits = (
+                self.open[k, :n] & (price / np.maximum(1.0, now[:, 0]) <= cfg.price_ratio) & (now[:, 1] / floor <= cfg.price_ratio)
+                & (price / np.maximum(1.0, now[:, 2]) <= silent_limit) & (now[:, 3] / floor <= silent_limit)
+            )
+            choice = np.flatnonzero(fits)
         if len(choice) > 1 and not row["specificity"]:
             # A vague row only decides between groups by its price, and only if that leaves one.
             lowest = np.minimum(now[choice, 0], now[choice, 2])
