@@ -69,7 +69,7 @@ def test_the_toxicity_model_is_not_fitted_in_the_driver(spark, monkeypatch):
 
 
 def test_colour_words_are_split_once_a_title(spark):
-    rows = spark.sql("select 'Acme black 16 | 16' title")
+    rows = spark.sql("select title from values ('Acme black 16 | 16') t(title)").repartition(2)
     assert "array_contains(split(" not in _written_out(identity.with_identity(rows, "title"))
     found = spark.sql("select * from values ('acme dark blue max 128gb'), ('acme 16 red | x'), ('| acme'), (null) t(title)")
     got = {r["title"]: r["identity"] for r in identity.with_identity(found, "title").collect()}
