@@ -17,11 +17,12 @@ it can stand with.  What makes it fit a cluster:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemesh.config import RuleConfig
@@ -32,39 +33,63 @@ from pricemesh.functions.text import clean_rule_title
 from pricemesh.operators import rulematch
 from pricemesh.session import cut_lineage
 
-_BLOCK = ["query_id", "model", "condition", "accessory"]
+Keep = Callable[[DataFrame], DataFrame]
+
 _FACTS = ["brand", "storage", "ram", "colour", "quantity"]
 
 
-def identified(raws: DataFrame) -> DataFrame:
-    """Feed listings with identity, accessory flag and specificity.
+def _block(identity: Column, accessory: Column) -> Column:
+    """Model words, condition and accessory flag as one key; null where the title tells none of them.
+
+    No word holds a blank.
+    """
+    known = identity["model"].isNotNull() & identity["condition"].isNotNull() & accessory.isNotNull()
+    return F.when(known, F.to_json(F.array(F.array_join(identity["model"], " "), identity["condition"], accessory.cast("string"))))
+
+
+def _facts(identity: Column) -> Column:
+    """All else that decides a group, prices aside, as one key."""
+    return F.to_json(F.array(*[identity[k] for k in _FACTS], F.array_join(identity["family"], " ")))
+
+
+def identified(raws: DataFrame, keep: Keep = cut_lineage) -> DataFrame:
+    """Feed listings with identity, accessory flag, specificity, and the keys ``block`` and ``facts`` of grouping.
 
     ``raws`` carry query_id, query, listing_id, title, price, position and
     marketplace.  Of rows with one listing id per query the first is kept, of
     equally placed ones the cheaper, then the one whose title and other columns
-    come first.
+    come first.  Equal titles of a query are read by the text rules once.
+    ``keep`` writes the listings, which are read twice.
     """
     order = ["position", "price", "title"]
     rest = [c for c in raws.columns if c not in (*order, "query_id", "listing_id")]
     first = raws.groupBy("query_id", "listing_id").agg(F.min(F.struct(*order, *rest)).alias("_row"))
-    unique = first.select("query_id", "listing_id", "_row.*").select(*raws.columns)
-    return (
-        with_identity(unique, "title")
-        .withColumn("accessory", is_accessory(F.col("identity"), query_words(F.col("query"))))
+    unique = keep(first.select("query_id", "listing_id", "_row.*").select(*raws.columns))
+    titles = unique.select(F.col("query").alias("_query"), F.col("title").alias("_said")).distinct()
+    read = (
+        with_identity(titles, "_said")
+        .withColumn("accessory", is_accessory(F.col("identity"), query_words(F.col("_query"))))
         .withColumn("specificity", specificity(F.col("identity")))
+        .withColumn("block", _block(F.col("identity"), F.col("accessory")))
+        .withColumn("facts", _facts(F.col("identity")))
     )
+    same = F.col("title").eqNullSafe(F.col("_said")) & F.col("query").eqNullSafe(F.col("_query"))
+    return unique.join(read, same).drop("_query", "_said")
 
 
-def _price_bands(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
+def _banded(leads: DataFrame, cfg: RuleConfig) -> DataFrame:
     """Number the price chains of each block: a gap above the ratio starts a new one."""
-    prices = rows.select(*_BLOCK, "price").distinct()
-    ordered = Window.partitionBy(*_BLOCK).orderBy("price")
+    ordered = Window.partitionBy("query_id", "block").orderBy("price")
     gap = F.col("price") / F.greatest(F.lit(1.0), F.lag("price").over(ordered)) > cfg.price_ratio
-    return prices.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn(
+    # Rows of one price are peers, so all of them count the gap that the first has.
+    return leads.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn(
         "band", F.sum("_gap").over(ordered)
     ).drop("_gap")
 
 
+_FEW = 24   # groups that a plain loop goes through faster than array operations do
+
+
 class GroupState:
     """The open groups of one block, each by what its members state and the range of their prices.
 
@@ -73,141 +98,186 @@ class GroupState:
     members need not be kept: a block of any length streams through.
     """
 
-    def __init__(self, cfg: RuleConfig):
+    def __init__(self, cfg: RuleConfig, model: bool | None = None):
         self.cfg = cfg
+        self.model = model                  # whether the block names a model; else told by its rows
         self.kinds: list[tuple] = []
         self.number: dict[tuple, int] = {}
+        self.known: dict[str, int] = {}     # kinds by the text of their facts
         self.agree: dict[tuple[int, int], bool] = {}
         self.held: list[set[int]] = []      # kinds in each group
         self.openers: list[str] = []
-        # Cheapest and dearest of a group's rows that state storage, colour or quantity, and of its other rows.
-        self.prices = np.empty((8, 4))
-        self.open = np.empty((4, 8), dtype=bool)  # kinds x groups: whether the kind agrees with all kinds of the group
+        # Cheapest and dearest of a group's rows that state storage, colour or quantity, and of its other rows;
+        # kinds x groups: whether the kind agrees with all kinds of the group.  Lists while there are few groups.
+        self.prices: list | np.ndarray = []
+        self.open: list | np.ndarray = []
 
-    def _agrees(self, i: int, j: int, model: bool) -> bool:
+    def _agrees(self, i: int, j: int) -> bool:
         """Whether rows of two kinds may share a group, prices aside."""
         key = (i, j) if i < j else (j, i)
         found = self.agree.get(key)
         if found is None:
             (x, a), (y, b) = self.kinds[i], self.kinds[j]
             common = len(a & b)
-            if model:
+            if self.model:
                 found = common > 0 or not a or not b
             else:
                 found = common > 0 and 2 * common / (len(a) + len(b)) >= self.cfg.family_dice
             found = self.agree[key] = found and not any(v and w and v != w for v, w in zip(x, y))
         return found
 
-    def _kind(self, row: dict, model: bool) -> int:
+    def _kind(self, row: dict) -> int:
         kind = (tuple(row[f] or None for f in _FACTS), frozenset(row["family"]))
         k = self.number.get(kind)
         if k is None:
             k = self.number[kind] = len(self.kinds)
             self.kinds.append(kind)
-            if k == len(self.open):
-                self.open = np.concatenate([self.open, np.empty_like(self.open)])
-            self.open[k, : len(self.held)] = [all(self._agrees(k, q, model) for q in held) for held in self.held]
+            fits = [all(self._agrees(k, q) for q in held) for held in self.held]
+            if isinstance(self.open, list):
+                self.open.append(fits)
+            else:
+                if k == len(self.open):
+                    self.open = np.concatenate([self.open, np.empty_like(self.open)])
+                self.open[k, : len(fits)] = fits
         return k
 
-    def _opened(self, k: int, listing: str, model: bool) -> int:
+    def _opened(self, k: int, listing: str) -> int:
         at = len(self.held)
-        if at == len(self.prices):
-            self.prices = np.concatenate([self.prices, np.empty_like(self.prices)])
-            self.open = np.concatenate([self.open, np.empty_like(self.open)], axis=1)
+        fresh = (np.inf, -np.inf, np.inf, -np.inf)
+        fits = [self._agrees(q, k) for q in range(len(self.kinds))]
         self.held.append({k})
         self.openers.append(listing)
-        self.prices[at] = (np.inf, -np.inf, np.inf, -np.inf)
-        self.open[: len(self.kinds), at] = [self._agrees(q, k, model) for q in range(len(self.kinds))]
+        if at < _FEW:
+            self.prices.append([*fresh])
+            for row, fit in zip(self.open, fits):
+                row.append(fit)
+            return at
+        if at == _FEW:
+            prices, opened = self.prices, self.open
+            self.prices, self.open = np.empty((2 * _FEW, 4)), np.empty((max(4, len(fits)), 2 * _FEW), dtype=bool)
+            self.prices[:at], self.open[: len(fits), :at] = prices, opened
+        elif at == len(self.prices):
+            self.prices = np.concatenate([self.prices, np.empty_like(self.prices)])
+            self.open = np.concatenate([self.open, np.empty_like(self.open)], axis=1)
+        self.prices[at] = fresh
+        self.open[: len(fits), at] = fits
         return at
 
+    def _fitting(self, k: int, price: float, floor: float, limit: float) -> list[int] | np.ndarray:
+        """Groups that the row can stand with, the oldest first; ``limit``: most times the price of rows that state nothing."""
+        ratio, n = self.cfg.price_ratio, len(self.held)
+        if n <= _FEW:
+            return [
+                g for g, (fit, (low, high, vague_low, vague_high)) in enumerate(zip(self.open[k], self.prices))
+                if fit and price / max(1.0, low) <= ratio and high / floor <= ratio
+                and price / max(1.0, vague_low) <= limit and vague_high / floor <= limit
+            ]
+        now = self.prices[:n]
+        fits = (
+            self.open[k, :n] & (price / np.maximum(1.0, now[:, 0]) <= ratio) & (now[:, 1] / floor <= ratio)
+            & (price / np.maximum(1.0, now[:, 2]) <= limit) & (now[:, 3] / floor <= limit)
+        )
+        return np.flatnonzero(fits)
+
     def place(self, row: dict) -> str:
         """The listing that opened the group of this row, the next in placing order."""
-        cfg, price, model = self.cfg, row["price"], bool(row["model"])
-        k = self._kind(row, model)
-        speaks = any(row[f] for f in ("storage", "colour", "quantity"))
-        silent_limit = cfg.price_ratio if speaks else cfg.vague_price_ratio
-        n, floor = len(self.held), max(1.0, price)
-        now = self.prices[:n]
-        choice = ()
-        if n:
-            fits = (
-                self.open[k, :n] & (price / np.maximum(1.0, now[:, 0]) <= cfg.price_ratio) & (now[:, 1] / floor <= cfg.price_ratio)
-                & (price / np.maximum(1.0, now[:, 2]) <= silent_limit) & (now[:, 3] / floor <= silent_limit)
-            )
-            choice = np.flatnonzero(fits)
-        if len(choice) > 1 and not row["specificity"]:
+        if self.model is None:
+            self.model = bool(row["model"])
+        return self._placed(self._kind(row), row["price"], row["specificity"], row["listing_id"])
+
+    def place_known(self, facts: str, said: dict, price: float, specific: int, listing: str) -> str:
+        """``place`` for a row by the text of its facts, which ``said`` holds read."""
+        k = self.known.get(facts)
+        if k is None:
+            k = self.known[facts] = self._kind(said)
+        return self._placed(k, price, specific, listing)
+
+    def _placed(self, k: int, price: float, specific: int, listing: str) -> str:
+        cfg = self.cfg
+        # Brand, storage, RAM, colour and quantity, in this order.
+        _, storage, _, colour, quantity = self.kinds[k][0]
+        speaks = bool(storage or colour or quantity)
+        floor = max(1.0, price)
+        choice = self._fitting(k, price, floor, cfg.price_ratio if speaks else cfg.vague_price_ratio)
+        if len(choice) > 1 and not specific:
             # A vague row only decides between groups by its price, and only if that leaves one.
-            lowest = np.minimum(now[choice, 0], now[choice, 2])
-            close = choice[np.abs(price - lowest) / floor <= cfg.near_price]
-            choice = close if len(close) == 1 else choice[:0]
-        at = int(choice[0]) if len(choice) else self._opened(k, row["listing_id"], model)
+            if isinstance(choice, list):
+                close = [g for g in choice if abs(price - min(self.prices[g][0], self.prices[g][2])) / floor <= cfg.near_price]
+            else:
+                lowest = np.minimum(self.prices[choice, 0], self.prices[choice, 2])
+                close = choice[np.abs(price - lowest) / floor <= cfg.near_price]
+            choice = close if len(close) == 1 else []
+        at = int(choice[0]) if len(choice) else self._opened(k, listing)
         if k not in self.held[at]:
             self.held[at].add(k)
-            self.open[: len(self.kinds), at] &= [self._agrees(q, k, model) for q in range(len(self.kinds))]
-        low = 0 if speaks else 2
-        self.prices[at, low] = min(self.prices[at, low], price)
-        self.prices[at, low + 1] = max(self.prices[at, low + 1], price)
+            if isinstance(self.open, list):
+                for q, row in enumerate(self.open):
+                    row[at] = row[at] and self._agrees(q, k)
+            else:
+                self.open[: len(self.kinds), at] &= [self._agrees(q, k) for q in range(len(self.kinds))]
+        low, own = 0 if speaks else 2, self.prices[at]
+        own[low] = min(own[low], price)
+        own[low + 1] = max(own[low + 1], price)
         return self.openers[at]
 
 
-_PLACED = "query_id string, listing_id string, group_id string"
+_LED = ["query_id", "block", "facts", "price", "own"]
 
 
 def _placed_blocks(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
     """All blocks of a partition one after another: rows come sorted by block and placing order."""
-    key = [*_BLOCK, "band"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, state = None, None
+        before, first, state = None, None, None
+        read: dict[str, dict] = {}
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                now = tuple(tuple(row[k]) if isinstance(row[k], list) else row[k] for k in key)
+            column = lambda k: batch.column(k).to_pylist()
+            for query, block, band, facts, price, specific, listing in zip(
+                *map(column, ("query_id", "block", "band", "facts", "price", "specificity", "listing_id"))
+            ):
+                said = read.get(facts)
+                if said is None:
+                    if len(read) > 100_000:
+                        read.clear()
+                    *values, family = json.loads(facts)
+                    said = read[facts] = dict(zip(_FACTS, values), family=family.split() if family else [])
+                now = (query, block, band)
                 if now != before:
-                    before, state = now, GroupState(cfg)
-                out.append((row["query_id"], row["listing_id"], state.place(row)))
+                    # A row alone in its block is its own group, so groups are kept from the second on.
+                    before, first, state = now, (facts, said, price, specific, listing), None
+                    out.append(listing)
+                    continue
+                if state is None:
+                    state = GroupState(cfg, bool(json.loads(block)[0]))
+                    state.place_known(*first)
+                out.append(state.place_known(facts, said, price, specific, listing))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["query_id", "listing_id", "group_id"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in _LED], pa.array(out, pa.string())], [*_LED, "group_id"])
+
+    # The window deals the rows by block and nothing between deals them anew.
+    order = ["query_id", "block", "band", F.desc("specificity"), "position", "listing_id"]
+    return rows.sortWithinPartitions(*order).mapInArrow(
+        run, "query_id string, block string, facts string, price double, own string, group_id string"
+    )
 
-    order = [*key, F.desc("specificity"), "position", "listing_id"]
-    return rows.repartition(*key).sortWithinPartitions(*order).mapInArrow(run, _PLACED)
 
+def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig(), keep: Keep = cut_lineage) -> DataFrame:
+    """Add ``group_id`` (the listing that opened the group) to identified rows.
 
-def assign_groups(rows: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """Add ``group_id`` (the listing that opened the group) to identified rows."""
+    ``keep`` writes what is read more than once.
+    """
     c = F.col
-    rows = cut_lineage(rows)   # read three times below
-    flat = rows.select(
-        "query_id", "position", "listing_id", "price", "specificity",
-        *[c(f"identity.{k}").alias(k) for k in _FACTS],
-        c("identity.family").alias("family"), c("identity.model").alias("model"),
-        c("identity.condition").alias("condition"), "accessory",
-    )
-    facts = [*_BLOCK, "price", "specificity", *_FACTS, "family"]
     place = F.struct(c("position").cast("double").alias("position"), "listing_id")
     # A listing without any stated fact stays a row of its own, and so does one that names neither
     # a model nor a family word: it matches nothing, not even its equals.
-    said = (c("specificity") > 0) & ((F.coalesce(F.size("model"), F.lit(0)) > 0) | (F.size("family") > 0))
-    keyed = flat.withColumn("own", F.when(~said, c("listing_id")).otherwise(""))
-    leads = keyed.groupBy(*facts, "own").agg(F.min(place).alias("lead")).select(*facts, "own", "lead.*")
-    banded = leads.join(_price_bands(leads, cfg), [*_BLOCK, "price"])
-    # A row alone in its block is its own group; only the others need the pass.
-    sizes = banded.groupBy(*_BLOCK, "band").agg(F.count("*").alias("_n"))
-    # Written once: single rows and blocks are read apart.
-    sized = cut_lineage(banded.join(sizes, [*_BLOCK, "band"]))
-    folded = (
-        _placed_blocks(sized.filter("_n > 1").drop("_n"), cfg)
-        .unionByName(
-            sized.filter("_n = 1").select("query_id", "listing_id", F.col("listing_id").alias("group_id"))
-        )
-    )
-    led = leads.join(folded, ["query_id", "listing_id"])
-    match = None
-    for k in [*facts, "own"]:
-        test = F.col(f"k.{k}").eqNullSafe(F.col(f"g.{k}"))
-        match = test if match is None else match & test
-    back = keyed.alias("k").join(led.alias("g"), match).select("k.query_id", "k.listing_id", "g.group_id")
-    return cut_lineage(rows.join(back, ["query_id", "listing_id"]))
+    named = ~F.get_json_object("block", "$[0]").eqNullSafe("") | (F.coalesce(F.get_json_object("facts", "$[5]"), F.lit("")) != "")
+    own = F.when((c("specificity") > 0) & named, "").otherwise(c("listing_id"))
+    # Tested on the written rows: a plan would test them below the text rules, which it writes out there once more.
+    rows = keep(rows).filter("query_id is not null and listing_id is not null and block is not null and price is not null").withColumn("own", own)
+    leads = rows.groupBy(*_LED, "specificity").agg(F.min(place).alias("lead")).select(*_LED, "specificity", "lead.*")
+    led = _placed_blocks(_banded(leads, cfg), cfg)
+    return keep(rows.join(led, _LED).drop("block", "facts", "own"))
 
 
 def one_offer_per_store(grouped: DataFrame) -> DataFrame:

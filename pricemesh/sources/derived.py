@@ -62,11 +62,19 @@ def shelf_titles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def shopping_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Shopping results: one row per offer, with the part's name and size as the query."""
+def feed_base(spark: SparkSession, folder: str) -> DataFrame:
+    """What the feed rows are put together from: offers with their part's name and size, which name the query."""
     base = offers(spark, folder).select("product_id", "position", "rating", "review_count")
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
-    joined = base.join(parts, F.col("product_id") == F.col("p_partkey"))
+    return base.join(parts, F.col("product_id") == F.col("p_partkey"))
+
+
+def shopping_rows(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
+    """Shopping results: one row per offer, with the part's name and size as the query.
+
+    ``base``: rows of ``feed_base``, if they are written already.
+    """
+    joined = feed_base(spark, folder) if base is None else base
     p, s = F.col("product_id"), F.col("position") % 1000000
     title = F.concat(
         pick(BRAND_WORDS, p), F.lit(" "), "p_name", F.lit(" S"), "p_size",
@@ -101,9 +109,9 @@ def shopping_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def marketplace_rows(spark: SparkSession, folder: str) -> DataFrame:
+def marketplace_rows(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
     """The marketplace's own results for the same queries."""
-    rows = shopping_rows(spark, folder)
+    rows = shopping_rows(spark, folder, base)
     k = F.col("position")
     return rows.select(
         "query_id",

@@ -1,5 +1,6 @@
 """The streamed grouping pass against a plain pass over all pairs."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pricemesh.config import RuleConfig
 from pricemesh.operators import ranking, rulegroup
+from pricemesh.plans import queries
+from pricemesh.session import shared_folder
 
 FACTS = ["brand", "storage", "ram", "colour", "quantity"]
 
@@ -89,3 +92,41 @@ def test_equal_rows_of_a_feed_count_once(spark):
     rows = [("q", "acme 16", "x", "Acme 16 128GB", p, "s", 1.0, 99, "") for p in (110.0, 100.0, 100.0)]
     df = spark.createDataFrame(rows, "query_id string, query string, listing_id string, title string, price double, marketplace string, position double, delivery_days int, image_url string")
     assert [r["price"] for r in rulegroup.identified(df).collect()] == [100.0]
+
+
+def test_a_block_of_many_groups_equals_the_plain_pass():
+    """Few groups are gone through one by one, more of them as arrays: both and the change between them place alike."""
+    r = random.Random(5)
+    for _ in range(20):
+        rows = random_block(r, 250, ["16"])
+        for row in rows:
+            row["family"] = r.sample([f"w{i}" for i in range(30)], r.randint(1, 2))
+        state = rulegroup.GroupState(RuleConfig())
+        assert [state.place(x) for x in rows] == plain_pass(rows)
+        assert len(state.held) > rulegroup._FEW
+
+
+def small_tables(spark, folder, lines=600):
+    """The tables that offers are read from, a few rows each."""
+    k = F.col("id")
+    rows = {
+        "part": spark.range(30).select(k.alias("p_partkey"), F.concat(F.lit("hot bolt "), k % 4).alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("LARGE").alias("p_type"), (k % 3 + 1).cast("int").alias("p_size"), F.lit(9.0).alias("p_retailprice")),
+        "supplier": spark.range(20).select(k.alias("s_suppkey"), F.concat(F.lit("S"), k).alias("s_name"), (k % 5).cast("int").alias("s_nationkey")),
+        "nation": spark.range(5).select(k.cast("int").alias("n_nationkey"), F.concat(F.lit("NATION_"), k).alias("n_name")),
+        "orders": spark.range(50).select(k.alias("o_orderkey"), F.lit("1998-02-06").cast("timestamp").alias("o_orderdate")),
+        "lineitem": spark.range(lines).select((k % 50).alias("l_orderkey"), (k % 30).alias("l_partkey"), (k * 7 % 20).alias("l_suppkey"), (k % 9 + 1.0).alias("l_quantity"), (k % 97 * 100.0 + 900).alias("l_extendedprice"), F.lit("1998-02-09").cast("timestamp").alias("l_shipdate")),
+    }
+    for name, df in rows.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_queries_are_grouped_in_slices(spark, monkeypatch, tmp_path):
+    """Slices of whole queries give the groups of the whole, and leave nothing but the offers behind."""
+    folder = str(tmp_path)
+    small_tables(spark, folder)
+    whole = sorted(map(tuple, queries.rule_groups(spark, folder).collect()))
+    monkeypatch.setattr(queries, "SLICE_ROWS", 250)
+    cut = sorted(map(tuple, queries.rule_groups(spark, folder).collect()))
+    assert whole and cut == whole
+    left = os.listdir(shared_folder(spark).removeprefix("file:"))
+    assert not [f for f in left if f.startswith(("rule-feeds", "rule-slice"))]
