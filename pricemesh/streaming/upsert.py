@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricemesh.operators.ingest import upsert
-from pricemesh.session import spread
+from pricemesh.session import release, spread
 
 TASK_ROWS = 250_000  # most rows a writing task is meant to sort: a large bucket is several files
+PASS_ROWS = 4_000_000  # rows of table and batch whose buckets are rewritten at a time
 
 VERSIONS = "bucket int, version bigint"
 
@@ -35,10 +36,12 @@ def write_initial(listings: DataFrame, folder: str, buckets: int) -> None:
     """Lay out a listing table as version -1 of every bucket."""
     spark = listings.sparkSession
     placed = spread(listings, "listing_id", rows_per_task=TASK_ROWS)
-    placed.withColumn("bucket", bucket_of("listing_id", buckets)).withColumn("version", F.lit(-1)).write.mode("overwrite").partitionBy("version", "bucket").parquet(f"{folder}/data")
+    release(spark)   # the shuffles of the count
+    placed.withColumn("bucket", bucket_of("listing_id", buckets)).withColumn("version", F.lit(-1)).write.mode("overwrite").option("compression", "zstd").partitionBy("version", "bucket").parquet(f"{folder}/data")
     spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(-1).cast("bigint").alias("version")).write.mode(
         "overwrite"
     ).parquet(f"{folder}/manifest")
+    release(spark)
 
 
 def read_current(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,13 +59,20 @@ def upsert_batch(batch: DataFrame, batch_id: int, folder: str, buckets: int) ->
     fresh = batch.withColumn("bucket", bucket_of("listing_id", buckets))
     touched = fresh.select("bucket").distinct()
     current = read_current(spark, folder).withColumn("bucket", bucket_of("listing_id", buckets))
-    # Both sides are dealt alike by listing, over tasks as their rows need; the join needs no further shuffle.
-    tasks = -(-(batch.count() + current.count()) // TASK_ROWS)
-    known = current.join(touched, "bucket", "left_semi").drop("bucket").repartition(max(1, tasks), "listing_id")
-    merged = upsert(known, fresh.drop("bucket").repartition(max(1, tasks), "listing_id"))
-    merged.withColumn("bucket", bucket_of("listing_id", buckets)).withColumn("version", F.lit(batch_id)).write.mode(
-        "append"
-    ).option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("version", "bucket").parquet(f"{folder}/data")
+    known = current.join(touched, "bucket", "left_semi")
+    rows = batch.count() + current.count()
+    # Some buckets after others: between the steps lie the rows of a few buckets.
+    passes = max(1, min(buckets, -(-rows // PASS_ROWS)))
+    tasks = max(1, -(-rows // (passes * TASK_ROWS)))
+    for turn in range(passes):
+        now = F.col("bucket") % passes == turn
+        # Both sides are dealt alike by listing, over tasks as their rows need; the join needs no further shuffle.
+        merged = upsert(*(side.filter(now).drop("bucket").repartition(tasks, "listing_id") for side in (known, fresh)))
+        merged.withColumn("bucket", bucket_of("listing_id", buckets)).withColumn("version", F.lit(batch_id)).write.mode(
+            "append"
+        ).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("version", "bucket").parquet(f"{folder}/data")
+        del merged
+        release(spark)
     touched.select("bucket", F.lit(batch_id).cast("bigint").alias("version")).write.mode("append").parquet(
         f"{folder}/manifest"
     )

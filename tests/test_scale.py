@@ -142,3 +142,32 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     stream.write_initial(rows, str(tmp_path), 2)
     assert len(list(tmp_path.glob("data/version=-1/bucket=0/*.parquet"))) > 1
     assert stream.read_current(spark, str(tmp_path)).count() == 1000
+
+
+def test_a_batch_rewrites_some_buckets_after_others(spark, monkeypatch, tmp_path):
+    from pricemesh.streaming import upsert as stream
+
+    known = spark.range(60).select(F.concat(F.lit("k"), "id").alias("listing_id"), F.col("id").alias("position"), F.lit(9.0).alias("price"), F.lit(10.0).alias("mrp"), F.lit(10.0).alias("discount_percentage"))
+    fresh = spark.range(30, 90).select(F.concat(F.lit("k"), "id").alias("listing_id"), F.col("id").alias("position"), F.lit(5.0).alias("price"), F.lit(10.0).alias("mrp"))
+    monkeypatch.setattr(stream, "PASS_ROWS", 50)
+    written = []
+    monkeypatch.setattr(stream, "upsert", lambda a, b: written.append(1) or ingest.upsert(a, b))
+    stream.write_initial(known, str(tmp_path), 4)
+    stream.upsert_batch(fresh, 0, str(tmp_path), 4)
+    got = stream.read_current(spark, str(tmp_path)).select(*known.columns)
+    assert len(written) == 3
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ingest.upsert(known, fresh).collect()))
+
+
+def test_similar_products_are_ranked_once_a_class(spark, monkeypatch):
+    """Classes 1 (three copies apart) and 9 (one product): each copy is similar to the other two and to 9."""
+    from pricemesh.operators import explain
+
+    products = spark.sql("select * from values (1L, 1L, 1L), (4L, 1L, 1L), (6L, 1L, 1L), (9L, 9L, 2L) t(product_id, class_id, listing_count)")
+    similar = spark.sql("select *, array() reasons from values (1L, 1L, 0.8D, 80L), (1L, 9L, 0.8D, 80L), (9L, 1L, 0.8D, 80L) t(class_id, other_class, combined_score, similarity)")
+    ranked, rank = [], explain.rank_within
+    monkeypatch.setattr(explain, "rank_within", lambda df, *a: ranked.append(df.count()) or rank(df, *a))
+    got = explain.similar_of(products.select("product_id", "class_id"), products, similar)
+    want = [(1, 4, 1), (1, 6, 2), (1, 9, 3), (4, 1, 1), (4, 6, 2), (4, 9, 3), (6, 1, 1), (6, 4, 2), (6, 9, 3), (9, 1, 1), (9, 4, 2), (9, 6, 3)]
+    assert sorted((r.product_id, r.other_product, r.place) for r in got.collect()) == want
+    assert ranked == [7]
