@@ -171,3 +171,20 @@ def test_similar_products_are_ranked_once_a_class(spark, monkeypatch):
     want = [(1, 4, 1), (1, 6, 2), (1, 9, 3), (4, 1, 1), (4, 6, 2), (4, 9, 3), (6, 1, 1), (6, 4, 2), (6, 9, 3), (9, 1, 1), (9, 4, 2), (9, 6, 3)]
     assert sorted((r.product_id, r.other_product, r.place) for r in got.collect()) == want
     assert ranked == [7]
+
+
+def test_search_text_is_read_once_for_equal_listings(spark):
+    """Equal statements are one row below the rules; missing ones and the order of repeated attributes count."""
+    from pricemesh.functions import attributes, text
+
+    rows = spark.sql(
+        "select * from values ('Red Bolt 5 ml', '', 'Acme', 'Shoes', map('Colour', 'Red', 'color', 'Blue')), ('Red Bolt 5 ml', '', 'Acme', 'Shoes', map('color', 'Blue', 'Colour', 'Red')),"
+        " ('Red Bolt 5 ml', null, null, null, null), (null, '', 'Acme', 'Shoes', map('size', '3')) t(title, description, brand, category, product_attributes)"
+    ).crossJoin(spark.range(5).withColumnRenamed("id", "listing_id"))
+    want = attributes.with_attributes(rows).select("listing_id", text.search_text(F.col("title"), F.col("attributes")).alias("t"))
+    got = search.with_search_text(rows)
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert key(got.select("listing_id", "search_text")) == key(want)
+    # The rules stand above the aggregate that makes statements distinct.
+    plan = _written_out(got)
+    assert plan.index("regexp_replace") < plan.index("Aggregate")
